@@ -49,6 +49,9 @@ class TriageConfig:
     # Dedup.
     dedup_window_minutes: int = 60
     dedup_fuzzy_threshold: float = 0.90
+    # Order in which alerts meet groups: "input" (by seq), or "time" (as if sorted by time first,
+    # which never needs a row-by-row pass).
+    dedup_order: str = "input"
 
     # Year given to timestamps that carry none (classic syslog). A fixed value keeps reruns equal.
     reference_year: int = 2024
