@@ -9,21 +9,21 @@ from __future__ import annotations
 import datetime as dt
 import warnings
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom.config import TriageConfig
 
 # Zone classes. Times of different classes are never comparable.
 NO_TIME, NAIVE, AWARE = 0, 1, 2
 
+# Shapes the built-in parser reads by itself.
 _ISO = (
-    r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2})(:[0-9]{2})?(?:[.,]([0-9]{1,6})[0-9]*)?"
-    r"(Z|[+-](?:0[0-9]|1[0-3]):?[0-5][0-9])?\z"
+    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?"
+    r"(?:Z|[+-](?:0[0-9]|1[0-3]):[0-5][0-9])?)?\z"
 )
-_ISO_DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
-_SYSLOG = r"\A(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +([0-9]{1,2}) +([0-9]{2}:[0-9]{2}:[0-9]{2})\z"
-_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+_SYSLOG = r"\A(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +[0-9]{1,2} +[0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 
 
 def _dateutil_parser(reference_year: int):
@@ -47,65 +47,56 @@ def _dateutil_parser(reference_year: int):
 
     @F.pandas_udf("struct<us:bigint,zone:int>")
     def parse(texts: pd.Series) -> pd.DataFrame:
-        known = {t: parse_one(t) for t in texts.dropna().unique() if t}
-        parsed = [known.get(t, (None, NO_TIME)) if t is not None else (None, NO_TIME) for t in texts]
-        return pd.DataFrame(
-            {
-                "us": pd.array([p[0] for p in parsed], dtype="Int64"),
-                "zone": pd.array([p[1] for p in parsed], dtype="Int32"),
-            }
-        )
+        us = np.zeros(len(texts), dtype=np.int64)
+        zone = np.zeros(len(texts), dtype=np.int32)
+        present = texts.notna().to_numpy()
+        if present.any():
+            known = {t: parse_one(t) for t in texts[present].unique()}
+            for i in np.flatnonzero(present):
+                micros, zone[i] = known[texts.iat[i]]
+                us[i] = 0 if micros is None else micros
+        return pd.DataFrame({"us": pd.arrays.IntegerArray(us, zone == NO_TIME), "zone": zone})
 
     return parse
 
 
-def _micros(iso_utc: Column) -> Column:
-    return F.unix_micros(iso_utc.try_cast("timestamp"))
-
-
-def parse_timestamp(text: Column, cfg: TriageConfig) -> Column:
-    """struct<us bigint, zone int>: UTC micros (naive times read as UTC) and the zone class."""
-    is_iso = text.rlike(_ISO) & ~text.startswith("0000")
-    seconds = F.nullif(F.regexp_extract(text, _ISO, 3), F.lit(""))
-    fraction = F.nullif(F.regexp_extract(text, _ISO, 4), F.lit(""))
-    # A fraction needs seconds before it; leave the odd rest to the lenient parser.
-    is_iso = is_iso & (fraction.isNull() | seconds.isNotNull())
-    offset = F.regexp_extract(text, _ISO, 5)
-    offset_colon = F.regexp_replace(offset, r"\A([+-][0-9]{2}):?([0-9]{2})\z", "$1:$2")
-    iso = F.concat(
-        F.regexp_extract(text, _ISO, 1),
-        F.lit("T"),
-        F.regexp_extract(text, _ISO, 2),
-        F.coalesce(seconds, F.lit(":00")),
-        F.coalesce(F.concat(F.lit("."), fraction), F.lit("")),
-        F.when(offset_colon == "", F.lit("Z")).otherwise(offset_colon),
-    )
-    is_date = text.rlike(_ISO_DATE) & ~text.startswith("0000")
-    is_syslog = text.rlike(_SYSLOG)
-    month = (F.instr(F.lit(_MONTHS), F.regexp_extract(text, _SYSLOG, 1)) + 2) / 3
-    syslog = F.concat(
-        F.lit(f"{cfg.reference_year:04d}-"),
-        F.lpad(month.cast("int").cast("string"), 2, "0"),
-        F.lit("-"),
-        F.lpad(F.regexp_extract(text, _SYSLOG, 2), 2, "0"),
-        F.lit("T"),
-        F.regexp_extract(text, _SYSLOG, 3),
-        F.lit("Z"),
+def parse_timestamp(df: DataFrame, text: str, cfg: TriageConfig) -> DataFrame:
+    """Adds ``ts_us`` (UTC micros; times without a zone read as UTC; null when there is no
+    usable time) and ``ts_zone``. Done in steps so that each pattern runs once per row."""
+    stamp = F.col(text)
+    # Year 0 does not exist for the lenient parser, so not for the built-in one either.
+    is_iso = stamp.rlike(_ISO) & ~stamp.startswith("0000")
+    zoned = (F.length(stamp) > 10) & (
+        stamp.endswith("Z") | F.substring(stamp, -6, 1).isin("+", "-")
     )
-    known = is_iso | is_date | is_syslog
-    us = F.when(is_iso, _micros(iso)).when(is_date, _micros(F.concat(text, F.lit("T00:00:00Z")))).when(
-        is_syslog, _micros(syslog)
+    shape = (
+        F.when(is_iso, F.when(zoned, F.lit("zoned")).when(F.length(stamp) == 10, F.lit("date")).otherwise(F.lit("plain")))
+        .when(stamp.rlike(_SYSLOG), F.lit("syslog"))
+        .when(F.length(stamp) > 0, F.lit("other"))
     )
-    zone = (
-        F.when(us.isNull(), NO_TIME).when(is_iso & (offset != ""), AWARE).otherwise(NAIVE).cast("int")
+    suffix = F.when(F.col("_shape") == "zoned", F.lit("")).when(F.col("_shape") == "date", F.lit("T00:00:00Z")).otherwise(
+        F.lit("Z")
     )
-    built_in = F.struct(us.alias("us"), zone.alias("zone"))
-    if not cfg.lenient_timestamps:
-        return built_in
-    lenient = _dateutil_parser(cfg.reference_year)(
-        F.when(~known & (F.length(text) > 0), text)
+    with_year = F.concat(F.lit(f"{cfg.reference_year:04d} "), F.regexp_replace(stamp, " +", " "), F.lit(" Z"))
+    instant = F.when(
+        F.col("_shape") == "syslog", F.try_to_timestamp(with_year, F.lit("yyyy MMM d HH:mm:ss X"))
+    ).when(F.col("_shape") != "other", F.concat(stamp, suffix).try_cast("timestamp"))
+    zone = F.when(F.col("ts_us").isNull(), NO_TIME).when(F.col("_shape") == "zoned", AWARE).otherwise(NAIVE)
+    parsed = (
+        df.withColumn("_shape", shape)
+        .withColumn("ts_us", F.unix_micros(instant))
+        .withColumn("ts_zone", zone.cast("int"))
     )
-    return F.when(F.coalesce(known, F.lit(True)), built_in).otherwise(lenient)
+    if cfg.lenient_timestamps:
+        other = F.col("_shape") == "other"
+        lenient = _dateutil_parser(cfg.reference_year)(F.when(other, stamp))
+        parsed = (
+            parsed.withColumn("_t", lenient)
+            .withColumn("ts_us", F.coalesce("ts_us", F.col("_t.us")))
+            .withColumn("ts_zone", F.when(other, F.col("_t.zone")).otherwise(F.col("ts_zone")))
+            .drop("_t")
+        )
+    return parsed.drop("_shape")
 
 
 def within_window(a_us: Column, a_zone: Column, b_us: Column, b_zone: Column, cfg: TriageConfig) -> Column:

@@ -46,18 +46,14 @@ def _cell_micros(cfg: TriageConfig) -> int:
 
 def with_event_time(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
     """Adds ``ts_us`` (UTC micros, null when there is no usable time) and ``ts_zone``."""
-    return (
-        alerts.withColumn("_t", parse_timestamp(F.col("timestamp"), cfg))
-        .withColumn("ts_us", F.col("_t.us"))
-        .withColumn("ts_zone", F.col("_t.zone"))
-        .drop("_t")
-    )
+    return parse_timestamp(alerts, "timestamp", cfg)
 
 
 def _narrow(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
     """Only what grouping reads. Rows without a time share one instant of their own zone class."""
     timed = alerts if "ts_us" in alerts.columns else with_event_time(alerts, cfg)
-    us = F.coalesce("ts_us", F.lit(0))
+    us = F.coalesce("ts_us", F.lit(0).cast("bigint"))
+    width = F.lit(_cell_micros(cfg))
     return timed.select(
         "seq",
         (F.col("id") if "id" in timed.columns else F.lit(None).cast("string")).alias("id"),
@@ -65,7 +61,7 @@ def _narrow(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
         _key("dest_ip").alias("dest_key"),
         F.when(F.col("ts_us").isNull(), F.lit(NO_TIME)).otherwise(F.col("ts_zone")).alias("zone"),
         us.alias("us"),
-        F.floor(us / F.lit(_cell_micros(cfg))).alias("cell"),
+        ((us - F.pmod(us, width)) / width).cast("bigint").alias("cell"),
         F.coalesce("signature", F.lit("")).alias("signature"),
         F.when(F.col("timestamp") != "", F.col("timestamp")).alias("stamp"),
     )
@@ -74,90 +70,18 @@ def _narrow(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
 # --- islands -----------------------------------------------------------------------------
 
 
-def _pair_cells(rows: DataFrame, cfg: TriageConfig, measure_lateness: bool) -> DataFrame:
-    """(pair, cell) with time and sequence bounds and the lateness inside the cell.
-
-    Lateness is how far a row lies behind the latest time seen before it. It is measured in
-    blocks of ``block_rows`` sequence numbers, so a hot cell is spread over many tasks, and
-    carried across blocks by their bounds.
-    """
-    bounds = [
-        F.min("us").alias("min_us"),
-        F.max("us").alias("max_us"),
-        F.min("seq").alias("min_seq"),
-        F.max("seq").alias("max_seq"),
-    ]
-    if not measure_lateness:
-        return rows.groupBy(*PAIR, "cell").agg(*bounds, F.lit(0).cast("bigint").alias("late"))
-    block = [*PAIR, "cell", "block"]
-    before = Window.partitionBy(*block).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        rows.select("seq", *PAIR, "us", "cell", F.floor(F.col("seq") / cfg.block_rows).alias("block"))
-        .withColumn("late", F.max("us").over(before) - F.col("us"))
-        .groupBy(*block)
-        .agg(*bounds, F.max("late").alias("late"))
-    )
-    earlier = Window.partitionBy(*PAIR, "cell").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocks.withColumn("late", F.greatest("late", F.max("max_us").over(earlier) - F.col("min_us"), F.lit(0)))
-        .groupBy(*PAIR, "cell")
-        .agg(
-            F.min("min_us").alias("min_us"),
-            F.max("max_us").alias("max_us"),
-            F.min("min_seq").alias("min_seq"),
-            F.max("max_seq").alias("max_seq"),
-            F.max("late").alias("late"),
-        )
-    )
-
-
-def _islands(pair_cells: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """Adds ``island``, numbered per pair: a new one after each silence longer than the window."""
+def gap_islands(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """(seq, src_ip, dest_ip, ts_zone, island): the independent stretch each alert falls into,
+    numbered per pair; a new one starts after each silence longer than the window."""
+    rows = _narrow(alerts, cfg)
     in_time = Window.partitionBy(*PAIR).orderBy("cell")
-    gap = F.col("min_us") - F.lag("max_us").over(in_time)
-    return pair_cells.withColumn(
-        "island",
-        F.sum(F.when(gap > cfg.window_micros, 1).otherwise(0)).over(
-            in_time.rowsBetween(Window.unboundedPreceding, 0)
-        ),
+    cells = (
+        rows.groupBy(*PAIR, "cell")
+        .agg(F.min("us").alias("min_us"), F.max("us").alias("max_us"))
+        .withColumn("cut", F.col("min_us") - F.lag("max_us").over(in_time) > cfg.window_micros)
+        .withColumn("island", F.count_if("cut").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+        .select(*PAIR, "cell", "island")
     )
-
-
-def _island_lateness(islands: DataFrame) -> DataFrame:
-    """(pair, cell, island, island_late): adds what rows lag behind rows of later cells.
-
-    Reading cells in input order, a cell opens at its first row and closes at its last. A row of
-    the cell may lag behind any later cell opened before it closes.
-    """
-    key = [*PAIR, "island"]
-    events = islands.select(
-        *key,
-        "cell",
-        "min_us",
-        "late",
-        F.explode(
-            F.array(
-                F.struct(F.col("min_seq").alias("at"), F.lit(0).alias("closing"), F.col("max_us").alias("reach")),
-                F.struct(F.col("max_seq").alias("at"), F.lit(1).alias("closing"), F.col("max_us").alias("reach")),
-            )
-        ).alias("e"),
-    ).select(*key, "cell", "min_us", "late", "e.*")
-    so_far = Window.partitionBy(*key).orderBy("at", "closing").rowsBetween(Window.unboundedPreceding, 0)
-    closings = (
-        events.withColumn("top_cell", F.max("cell").over(so_far))
-        .withColumn("top_us", F.max("reach").over(so_far))
-        .filter("closing = 1")
-    )
-    behind = F.when(F.col("top_cell") > F.col("cell"), F.col("top_us") - F.col("min_us")).otherwise(F.lit(0))
-    lateness = closings.groupBy(*key).agg(F.max(F.greatest("late", behind)).alias("island_late"))
-    return islands.select(*key, "cell").join(lateness, key)
-
-
-def gap_islands(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """(seq, src_ip, dest_ip, ts_zone, island): the independent stretch each alert falls into."""
-    timed = with_event_time(alerts, cfg)
-    rows = _narrow(timed, cfg)
-    cells = _islands(_pair_cells(rows, cfg, measure_lateness=False), cfg).select(*PAIR, "cell", "island")
     placed = lookup_join(rows.select("seq", *PAIR, "cell"), cells, [*PAIR, "cell"], cfg)
 
     def address(key: str) -> Column:
@@ -175,49 +99,114 @@ def gap_islands(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
 # --- sessions ----------------------------------------------------------------------------
 
 
-def _session_cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """One row per (pair, signature, cell): its island, its session and what to aggregate.
+def _cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """One row per (pair, signature, cell), with the pair's lateness inside the cell.
 
-    ``session`` is the sequence number of the session's first row, unique over all sessions.
+    Lateness is how far a row lies behind the latest time its pair has shown before. In input
+    order it is measured in blocks of ``block_rows`` sequence numbers, so that a hot cell is
+    spread over many tasks, and carried from block to block by their bounds.
     """
     by_time = cfg.dedup_order == "time"
-    first = F.min(F.struct("us", "seq")) if by_time else F.min(F.struct("seq", "us"))
-    cells = rows.groupBy(*PAIR, "signature", "cell").agg(
-        first.alias("first"),
+    combine = [
+        F.min("first").alias("first"),
+        F.min("min_us").alias("min_us"),
+        F.max("max_us").alias("max_us"),
+        F.max("max_seq").alias("max_seq"),
+        F.sum("n").alias("n"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max("late").alias("late"),
+    ]
+    gather = [
+        F.min(F.struct("us", "seq") if by_time else F.struct("seq", "us")).alias("first"),
         F.min("us").alias("min_us"),
         F.max("us").alias("max_us"),
+        F.max("seq").alias("max_seq"),
         F.count("*").alias("n"),
         F.min("stamp").alias("first_seen"),
         F.max("stamp").alias("last_seen"),
-    )
-    pair_cells = _islands(_pair_cells(rows, cfg, measure_lateness=not by_time), cfg)
+    ]
     if by_time:
-        islands = pair_cells.select(*PAIR, "cell", "island", F.lit(0).cast("bigint").alias("island_late"))
-    else:
-        islands = _island_lateness(pair_cells)
-    located = cells.join(islands, [*PAIR, "cell"])
+        nothing_late = F.lit(0).cast("bigint").alias("late")
+        return rows.groupBy(*PAIR, "signature", "cell").agg(*gather, nothing_late)
+    block = [*PAIR, "cell", "block"]
+    before = Window.partitionBy(*block).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        rows.withColumn("block", (F.col("seq") / cfg.block_rows).cast("bigint"))
+        .withColumn("late", F.max("us").over(before) - F.col("us"))
+        .groupBy(*block, "signature")
+        .agg(*gather, F.max("late").alias("late"))
+    )
+    earlier = Window.partitionBy(*PAIR, "cell").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    lag_behind = F.max("max_us").over(earlier) - F.col("min_us")
+    return (
+        blocks.withColumn("late", F.greatest("late", lag_behind, F.lit(0).cast("bigint")))
+        .groupBy(*PAIR, "cell", "signature")
+        .agg(*combine)
+    )
 
+
+def _session_cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """The cells, each with its island, its session and whether that session can be trusted.
+
+    ``island`` is the number of its first cell. ``session`` is the sequence number of the
+    session's first row, unique over all sessions. Every step below is partitioned by pair or
+    finer, so the cells are shuffled once more in all.
+    """
     window = F.lit(cfg.window_micros)
-    in_time = Window.partitionBy(*PAIR, "island", "signature").orderBy("cell")
-    gap = F.col("min_us") - F.lag("max_us").over(in_time)
-    late = F.col("island_late")
-    marked = (
-        located.withColumn("gap", gap)
-        .withColumn(
-            "session_no",
-            F.sum(F.when(F.col("gap") > window, 1).otherwise(0)).over(
-                in_time.rowsBetween(Window.unboundedPreceding, 0)
+    in_time = Window.partitionBy(*PAIR).orderBy("cell")
+    this_cell = in_time.rangeBetween(0, 0)
+    past = in_time.rangeBetween(Window.unboundedPreceding, -1)
+    up_to_here = in_time.rangeBetween(Window.unboundedPreceding, 0)
+    silence = F.min("min_us").over(this_cell) - F.max("max_us").over(past)
+    df = _cells(rows, cfg).withColumn("silence", silence)
+    starts = F.when(F.col("silence").isNull() | (F.col("silence") > window), F.col("cell"))
+    df = df.withColumn("island", F.max(starts).over(up_to_here)).drop("silence")
+
+    island = Window.partitionBy(*PAIR, "island")
+    if cfg.dedup_order == "time":
+        df = df.withColumn("island_late", F.col("late"))
+    else:
+        # Read in input order, a cell opens at its first row and closes at its last. Its rows may
+        # lag behind any later cell opened before it closes.
+        df = df.withColumn(
+            "event",
+            F.explode(
+                F.array(
+                    F.struct(F.col("first.seq").alias("at"), F.lit(0).alias("closing")),
+                    F.struct(F.col("max_seq").alias("at"), F.lit(1).alias("closing")),
+                )
             ),
         )
-        # Too close to the window length for the lateness at hand, or lateness out of bounds.
+        so_far = island.orderBy("event.at", "event.closing").rowsBetween(Window.unboundedPreceding, 0)
+        df = (
+            df.withColumn("top_cell", F.max("cell").over(so_far))
+            .withColumn("top_us", F.max("max_us").over(so_far))
+            .filter("event.closing = 1")
+        )
+        behind = F.when(F.col("top_cell") > F.col("cell"), F.col("top_us") - F.col("min_us"))
+        df = df.withColumn("island_late", F.max(F.greatest("late", behind)).over(island)).drop(
+            "event", "top_cell", "top_us"
+        )
+
+    own = Window.partitionBy(*PAIR, "island", "signature").orderBy("cell")
+    late = F.col("island_late")
+    near_edge = (F.col("gap") > window - late) & (F.col("gap") <= window + late)
+    df = (
+        df.withColumn("gap", F.col("min_us") - F.lag("max_us").over(own))
         .withColumn(
-            "unsure",
-            (late > window / 2)
-            | F.coalesce((F.col("gap") > window - late) & (F.col("gap") <= window + late), F.lit(False)),
+            "session_no",
+            F.count_if(F.col("gap") > window).over(own.rowsBetween(Window.unboundedPreceding, 0)),
         )
+        # A gap too close to the window length for the lateness at hand, or lateness out of bounds.
+        .withColumn("unsure", (late > window / 2) | F.coalesce(near_edge, F.lit(False)))
     )
     session = Window.partitionBy(*PAIR, "island", "signature", "session_no")
-    return marked.withColumn("session", F.min("first").over(session)["seq"]).drop("gap", "session_no")
+    return (
+        df.withColumn("session", F.min("first").over(session)["seq"])
+        .withColumn("alone", F.min("signature").over(island) == F.max("signature").over(island))
+        .drop("gap", "session_no", "late", "max_seq")
+    )
 
 
 def _sessions(cells: DataFrame) -> DataFrame:
@@ -474,44 +463,39 @@ def dedup(alerts: DataFrame, cfg: TriageConfig, fuzzy: bool = True) -> Dedup:
     ``fuzzy=False`` merges equal signatures only.
     """
     rows = _narrow(alerts, cfg)
-    cells = materialize(_session_cells(rows, cfg))
-    sessions = _sessions(cells)
-
-    if fuzzy:
-        signatures = sessions.groupBy(*_STREAM_KEY).agg(
-            F.min("signature").alias("lo"), F.max("signature").alias("hi")
-        )
-        sessions = sessions.join(signatures, _STREAM_KEY).withColumn("alone", F.col("lo") == F.col("hi"))
-    else:
-        sessions = sessions.withColumn("alone", F.lit(True))
-    out_columns = [*_STREAM_KEY, "signature", "session"]
-    alone = sessions.filter("alone")
-    # A signature on its own: a group is a session, or the rows decide.
-    decided = alone.select(*out_columns, F.col("session").alias("group_seq"))
-    doubtful = (
-        alone.filter("unsure").select(*_STREAM_KEY, "signature").distinct().withColumn("part", F.lit(0).cast("bigint"))
-    )
+    cells = _session_cells(rows, cfg)
     if not fuzzy:
-        # Without similarity every signature is a stream of its own.
-        doubtful = doubtful.withColumn("part", F.xxhash64("signature"))
-    if fuzzy:
+        # Without similarity every signature is on its own.
+        cells = cells.withColumn("alone", F.lit(True))
+    cells = materialize(cells)
+    todo = cells.agg(
+        F.count_if(~F.col("alone")).alias("mixed"), F.count_if(F.col("alone") & F.col("unsure")).alias("unsure")
+    ).first()
+
+    signature_key = [*_STREAM_KEY, "signature"]
+    alone = cells.filter("alone")
+    # A signature on its own: a group is a session, or the rows decide.
+    decided = alone.select(*signature_key, "session", F.col("session").alias("group_seq")).distinct()
+    doubtful = None
+    if todo.unsure:
+        doubtful = (
+            alone.filter("unsure").select(*signature_key).distinct().withColumn("part", F.xxhash64("signature"))
+        )
+    if todo.mixed:
         order = "start" if cfg.dedup_order == "time" else "session"
         looped = materialize(
-            sessions.filter("not alone")
-            .select(*out_columns, "first_us", "start", "end", "late", "unsure")
+            _sessions(cells.filter("not alone"))
             .repartition(*[F.col(c) for c in _STREAM_KEY])
             .sortWithinPartitions(*_STREAM_KEY, order, "session")
             .mapInPandas(_group_sessions(cfg.dedup_fuzzy_threshold, cfg.window_micros), _SESSION_OUT)
         )
-        decided = decided.unionByName(
-            looped.filter("part is null").select(*out_columns, "group_seq")
-        )
-        doubtful = doubtful.unionByName(looped.filter("part is not null").select(*_STREAM_KEY, "signature", "part"))
-    doubtful = materialize(doubtful)
+        decided = decided.unionByName(looped.filter("part is null").select(*signature_key, "session", "group_seq"))
+        mixed = looped.filter("part is not null").select(*signature_key, "part")
+        if not mixed.isEmpty():
+            doubtful = mixed if doubtful is None else doubtful.unionByName(mixed)
 
     row_groups = None
-    if not doubtful.isEmpty():
-        signature_key = [*_STREAM_KEY, "signature"]
+    if doubtful is not None:
         decided = decided.join(doubtful.select(*signature_key), signature_key, "left_anti")
         threshold = cfg.dedup_fuzzy_threshold if fuzzy else 2.0
         doubtful_cells = cells.join(doubtful, signature_key).select(
@@ -534,7 +518,7 @@ def dedup(alerts: DataFrame, cfg: TriageConfig, fuzzy: bool = True) -> Dedup:
             )
         )
 
-    cell_groups = cells.join(decided.select(*PAIR, "signature", "session", "group_seq"), [*PAIR, "signature", "session"])
+    cell_groups = cells.join(decided.select("session", "group_seq"), "session")
     partial = cell_groups.groupBy("group_seq", "src_key", "dest_key").agg(
         F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from alertloom.config import TriageConfig
 from alertloom.functions.indicators import hash_type
@@ -182,6 +182,13 @@ def fuse(reports: DataFrame, cfg: TriageConfig) -> DataFrame:
     return fuse_ip(reports, cfg).unionByName(fuse_domain(reports, cfg)).unionByName(fuse_hash(reports, cfg))
 
 
+def no_reputations(spark: SparkSession) -> DataFrame:
+    fields = [f for f in REPUTATION.fields if f.name != "ioc"]
+    key = [T.StructField("ioc_type", T.StringType()), T.StructField("ioc", T.StringType())]
+    when = [T.StructField("fetched_at", T.TimestampType())]
+    return spark.createDataFrame([], T.StructType(key + when + fields))
+
+
 # --- freshness ---------------------------------------------------------------------------
 
 

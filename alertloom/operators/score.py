@@ -104,15 +104,19 @@ def with_nested_confidence(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
     ).drop("_results")
 
 
+def no_confidence() -> dict[str, Column]:
+    """The columns of an alert nothing is known about."""
+    zero = F.lit(0)
+    return {
+        "enrichment_confidence": _confidence_struct(zero, zero, zero, F.array().cast("array<string>")),
+        "intel_points": zero,
+    }
+
+
 def with_long_confidence(alerts: DataFrame, results: DataFrame, cfg: TriageConfig) -> DataFrame:
     """The same columns from the long table; alerts without indicators get the empty confidence."""
-    zero = F.lit(0)
-    empty = _confidence_struct(zero, zero, zero, F.array().cast("array<string>"))
-    return (
-        alerts.join(confidence_table(results, cfg), "seq", "left")
-        .withColumn("enrichment_confidence", F.coalesce("enrichment_confidence", empty))
-        .withColumn("intel_points", F.coalesce("intel_points", F.lit(0)))
-    )
+    joined = alerts.join(confidence_table(results, cfg), "seq", "left")
+    return joined.withColumns({name: F.coalesce(name, empty) for name, empty in no_confidence().items()})
 
 
 def with_asset_points(alerts: DataFrame, assets: DataFrame | None, cfg: TriageConfig) -> DataFrame:

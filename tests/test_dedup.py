@@ -123,8 +123,8 @@ def random_batch(rng, n, disorder, span_hours, pairs=2):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("disorder", [0, 60, 1500, 7200, 10**6])
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("disorder", [0, 60, 1500, 10**6])
 def test_equals_the_naive_loop(spark, seed, disorder):
     rng = random.Random(f"{seed}/{disorder}")
     rows = []
