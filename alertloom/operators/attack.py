@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertloom.config import TriageConfig
+from alertloom.functions.settle import settle
 from alertloom.operators.skew import fits_broadcast
 from alertloom.schemas import TECHNIQUE
 
@@ -87,7 +88,8 @@ def haystack() -> Column:
 
 def tag_with_rules(alerts: DataFrame) -> DataFrame:
     """Adds ``mitre`` (empty where nothing matches) and ``mitre_source``."""
-    return alerts.withColumn("mitre", map_technique(haystack())).withColumn("mitre_source", F.lit("heuristic"))
+    tagged = settle(alerts.withColumn("mitre", map_technique(haystack())), ["mitre"])
+    return tagged.withColumn("mitre_source", F.lit("heuristic"))
 
 
 def technique_index(objects: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertloom.config import TriageConfig
+from alertloom.functions.settle import settle
 from alertloom.functions.similarity import SignatureIndex, ratio_bound, signature_ratio
 from alertloom.functions.timestamps import NO_TIME, parse_timestamp
 from alertloom.operators.materialize import materialize
@@ -54,6 +55,8 @@ def _narrow(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
     timed = alerts if "ts_us" in alerts.columns else with_event_time(alerts, cfg)
     us = F.coalesce("ts_us", F.lit(0).cast("bigint"))
     width = F.lit(_cell_micros(cfg))
+    if "ts_us" not in alerts.columns:
+        timed = settle(timed, ["ts_us", "ts_zone"])
     return timed.select(
         "seq",
         (F.col("id") if "id" in timed.columns else F.lit(None).cast("string")).alias("id"),

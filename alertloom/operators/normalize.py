@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom.functions.cef import extension_map
+from alertloom.functions.settle import settle
 from alertloom.functions.severity import severity
 from alertloom.functions.text import SPACE, WORD, empty_to_null, loose_ips, strip
 
@@ -154,7 +155,7 @@ def _normalize(records: DataFrame, kinds: list[str]) -> DataFrame:
         F.when(F.col("level").isNull(), F.lit("severity_not_finite")),
     )
     # A missing source is the text's first address, a missing target its second.
-    return df.select(
+    parsed = df.select(
         *carried,
         F.coalesce("f_id", generated_id(F.col("seq"), record)).alias("id"),
         F.col("f_timestamp").alias("timestamp"),
@@ -168,6 +169,7 @@ def _normalize(records: DataFrame, kinds: list[str]) -> DataFrame:
         record.alias("raw"),
         reject.alias("reject"),
     )
+    return settle(parsed, [c for c in parsed.columns if c not in carried])
 
 
 def _only(records: DataFrame, kind: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom.config import TriageConfig
+from alertloom.functions.settle import settle
 from alertloom.operators.skew import fits_broadcast, lookup_join
 
 TIERS = ["P1", "P2", "P3", "P4"]
@@ -172,9 +173,9 @@ def threat_intelligence() -> Column:
 
 def score_alerts(alerts: DataFrame, assets: DataFrame | None, cfg: TriageConfig) -> DataFrame:
     """Score, tier and roll-up for alerts that already carry confidence columns."""
+    scored = with_asset_points(alerts, assets, cfg).withColumn("priority_score", priority_score(cfg))
     return (
-        with_asset_points(alerts, assets, cfg)
-        .withColumn("priority_score", priority_score(cfg))
+        settle(scored, ["priority_score"])
         .withColumn("priority_tier", priority_tier(F.col("priority_score"), cfg))
         .withColumn("threat_intelligence", threat_intelligence())
         .drop("intel_points", "asset_points")
