@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom.config import TriageConfig
 from alertloom.functions.settle import settle
+from alertloom.operators.attack import TECHNIQUE_LIST
 from alertloom.operators.skew import fits_broadcast, lookup_join
 
 TIERS = ["P1", "P2", "P3", "P4"]
@@ -173,6 +174,8 @@ def threat_intelligence() -> Column:
 
 def score_alerts(alerts: DataFrame, assets: DataFrame | None, cfg: TriageConfig) -> DataFrame:
     """Score, tier and roll-up for alerts that already carry confidence columns."""
+    if "mitre" not in alerts.columns:
+        alerts = alerts.withColumn("mitre", F.array().cast(TECHNIQUE_LIST))
     scored = with_asset_points(alerts, assets, cfg).withColumn("priority_score", priority_score(cfg))
     return (
         settle(scored, ["priority_score"])

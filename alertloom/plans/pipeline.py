@@ -11,6 +11,7 @@ from alertloom.config import TriageConfig
 from alertloom.operators import attack, intel, report, score
 from alertloom.operators.dedup import dedup, without_dedup
 from alertloom.operators.ioc import ioc_table, with_extraction
+from alertloom.operators.materialize import materialize
 from alertloom.operators.normalize import normalize
 from alertloom.operators.validate import project_alert, with_reason
 from alertloom.sources.alerts import read_alert_array
@@ -67,7 +68,8 @@ def run(
     rejected = checked.filter("reason is not null")
 
     grouped = dedup(alerts, cfg)
-    first = attack.tag(grouped.representatives(), cfg, index)
+    # Read by every output below; parsed and joined once.
+    first = materialize(attack.tag(grouped.representatives(), cfg, index))
     iocs = ioc_table(first)
     if reputations is None:
         known = intel.no_reputations(parsed.sparkSession)
