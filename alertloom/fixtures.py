@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table is a single file and would be a single task."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks, key)
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A fresh folder below the session's checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -25,7 +31,7 @@ def scratch_path(spark: SparkSession) -> str:
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     """One alert per event: public and private addresses, hosts, hashes, two spellings of one rule.
     A third of all alerts concern one address pair."""
-    return table(spark, sf, "events").selectExpr(
+    return spread(table(spark, sf, "events"), "event_id").selectExpr(
         "event_id as seq",
         "cast(event_id as string) as id",
         "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") as timestamp",
@@ -199,7 +205,7 @@ def site_alerts(spark: SparkSession, sf: str) -> DataFrame:
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """(key, text) of documents, pages and conversations."""
     return (
-        table(spark, sf, "documents").selectExpr("concat('d', doc_id) as key", "text")
+        spread(table(spark, sf, "documents"), "doc_id").selectExpr("concat('d', doc_id) as key", "text")
         .unionByName(table(spark, sf, "pages").selectExpr("concat('p', page_id) as key", "concat(url, '\n', html) as text"))
         .unionByName(table(spark, sf, "conversations").selectExpr("concat('c', conv_id, '-', turn) as key", "text"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from alertloom.functions.cef import extension_map
+from alertloom.functions.cef import with_extension
 from alertloom.functions.settle import settle
 from alertloom.functions.severity import severity
 from alertloom.functions.text import SPACE, WORD, empty_to_null, loose_ips, strip
@@ -135,7 +135,7 @@ def _normalize(records: DataFrame, kinds: list[str]) -> DataFrame:
         df = df.withColumn("js", F.when(is_kind["json"] & is_object, F.from_json(record, _JSON_SCHEMA)))
     if "cef" in kinds:
         df = df.withColumn("parts", F.when(is_kind["cef"], F.split(record, r"\|", 8)))
-        df = df.withColumn("ext", F.when(is_kind["cef"], extension_map(F.get("parts", F.lit(7)))))
+        df = with_extension(df, F.get("parts", F.lit(7)), "ext")
     if "syslog" in kinds:
         df = df.withColumn("time", F.when(is_kind["syslog"], F.regexp_extract(strip(record), SYSLOG, 1)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from alertloom import fixtures as fx
 from alertloom.config import TriageConfig
 from alertloom.functions import indicators, net
-from alertloom.functions.cef import extension_map, unescape
+from alertloom.functions.cef import unescape, with_extension
 from alertloom.functions.severity import severity
 from alertloom.functions.timestamps import within_window
 from alertloom.operators import attack, intel, report, score, validate
@@ -183,7 +183,7 @@ def cef_alerts(spark, sf):
 @query
 def cef_extension(spark, sf):
     ext = F.expr("concat('junk src=', src_ip, ' msg=', message, ' a = b  dup=1 cs1.label=x dup=', seq, '  ')")
-    parsed = fx.alerts(spark, sf).select("seq", extension_map(ext).alias("m"))
+    parsed = with_extension(fx.alerts(spark, sf).select("seq", ext.alias("ext")), F.col("ext"), "m")
     return parsed.select("seq", *[F.col("m")[k].alias(k.replace(".", "_")) for k in ("src", "msg", "dup", "cs1.label")], F.size("m").alias("n_keys"))
 
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from alertloom.functions.cef import extension_map
+from alertloom.functions.cef import with_extension
 from alertloom.functions.net import is_ip, is_private_ip
 from alertloom.functions.severity import severity
 from alertloom.operators.normalize import normalize, normalize_cef, normalize_json, normalize_syslog
@@ -48,7 +48,9 @@ CEF_CASES = [
 
 
 def test_cef_extension(spark):
-    assert values(spark, [c[0] for c in CEF_CASES], extension_map) == [c[1] for c in CEF_CASES]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CEF_CASES)], "i int, x string")
+    got = [r.m for r in with_extension(rows, F.col("x"), "m").orderBy("i").collect()]
+    assert got == [c[1] for c in CEF_CASES]
 
 
 def test_severity(spark):
