@@ -73,113 +73,92 @@ def score_reports(reports: DataFrame, cfg: TriageConfig) -> DataFrame:
     return reports.withColumn("score", chain)
 
 
-def _latest_per_provider(reports: DataFrame, ioc_type: str) -> DataFrame:
+def _latest_per_provider(reports: DataFrame) -> DataFrame:
     """One row per indicator with a column per provider: its latest report, or null."""
+    rates_type = F.lit(False)
+    for ioc_type, providers in PROVIDERS.items():
+        rates_type = rates_type | ((F.col("ioc_type") == ioc_type) & F.col("provider").isin(providers))
     order = F.struct(
         F.coalesce("fetched_at", F.lit(dt.datetime(1970, 1, 1))), "abuse_confidence_score", "pulse_count", "error"
     )
     report = F.struct(*_REPORT_FIELDS)
+
+    def latest_of(provider: str) -> Column:
+        mine = F.col("provider") == provider
+        return F.max_by(F.when(mine, report), F.when(mine, order)).alias(provider)
+
     return (
-        reports.filter((F.col("ioc_type") == ioc_type) & F.col("provider").isin(PROVIDERS[ioc_type]))
+        reports.filter(rates_type)
         .groupBy("ioc_type", "ioc")
-        .agg(
-            F.max("fetched_at").alias("fetched_at"),
-            *[
-                F.max_by(F.when(F.col("provider") == p, report), F.when(F.col("provider") == p, order)).alias(p)
-                for p in PROVIDERS[ioc_type]
-            ],
-        )
+        .agg(F.max("fetched_at").alias("fetched_at"), *[latest_of(p) for p in _STRUCTS])
     )
 
 
-def _reputation_columns(df: DataFrame, ioc_type: str) -> DataFrame:
-    """Shape to (ioc_type, ioc, fetched_at, reputation columns)."""
-    have = PROVIDERS[ioc_type]
-    used = F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.lit(p)) for p in have]))
-    none = {f.name: F.lit(None).cast(f.dataType) for f in REPUTATION.fields}
+def fuse(reports: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """One reputation per indicator, all types in one aggregation.
 
-    def detail(provider: str) -> Column:
-        target = REPUTATION[provider].dataType
-        if provider not in have:
-            return none[provider]
-        fields = [F.col(provider)[f.name].alias(f.name) for f in target.fields]
-        if provider == "virustotal" and ioc_type == "hash":
-            fields = [
-                F.slice(F.col(provider)["names"], 1, 5).alias("names") if f.name == "names" else c
-                for f, c in zip(target.fields, fields)
-            ]
-        return F.when(F.col(provider).isNotNull(), F.struct(*fields)).cast(target)
-
-    note = F.when(F.col("type") == "hash:unknown", F.lit(NOTE_BAD_HASH)).when(
-        F.size(used) == 0, F.lit(NOTE_NO_REPORT)
-    )
-    columns = {
-        "type": F.col("type"),
-        "providers_used": used,
-        "verdict": F.col("verdict"),
-        "score": F.col("score"),
-        "note": note,
-        **{p: detail(p) for p in _STRUCTS},
-        "cached": F.lit(False),
-    }
-    return df.select(
-        "ioc_type", "ioc", "fetched_at", *[columns[c].alias(c) for c in REPUTATION_COLUMNS]
+    Addresses and domains get the mean of the provider scores, their verdict by its unrounded
+    value; file hashes the share of malicious votes, their verdict by the number of votes.
+    """
+    is_hash = F.col("ioc_type") == "hash"
+    kind = hash_type(F.col("ioc"))
+    df = _latest_per_provider(reports).withColumn(
+        "type", F.when(is_hash, F.concat(F.lit("hash:"), F.coalesce(kind, F.lit("unknown")))).otherwise(F.col("ioc_type"))
     )
+    bad_hash = F.col("type") == "hash:unknown"
+    df = df.withColumn("virustotal", F.when(~bad_hash, F.col("virustotal")))
 
-
-def _fuse_by_mean(reports: DataFrame, ioc_type: str, cfg: TriageConfig) -> DataFrame:
-    scores = F.array_compact(
-        F.array(*[provider_score(p, F.col(p), cfg) for p in PROVIDERS[ioc_type]])
+    vt = F.col("virustotal")
+    votes = _malicious_votes(vt["stats"])
+    cast = F.aggregate(
+        F.coalesce(F.map_values(vt["stats"]), F.array().cast("array<int>")), F.lit(0), lambda acc, x: acc + x
+    )
+    voted = vt.isNotNull() & vt["error"].isNull()
+    by_votes = (
+        F.when(~voted, F.lit("unknown"))
+        .when(votes >= cfg.hash_malicious_vendors, F.lit("malicious"))
+        .when(votes >= cfg.hash_suspicious_vendors, F.lit("suspicious"))
+        .otherwise(F.lit("clean"))
     )
+    share = F.when(voted, F.bround(100 * votes / F.when(cast == 0, 1).otherwise(cast), 1))
+
+    scores = F.array_compact(F.array(*[provider_score(p, F.col(p), cfg) for p in _STRUCTS]))
     total = F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + x)
     df = (
-        _latest_per_provider(reports, ioc_type)
-        .withColumn("scores", scores)
+        df.withColumn("scores", scores)
         .withColumn("mean", F.when(F.size("scores") > 0, total / F.size("scores")))
-        .withColumn("type", F.lit(ioc_type))
-        .withColumn("score", F.bround("mean", 1))
-        .withColumn("verdict", verdict_of(F.col("mean"), cfg))
+        .withColumn("score", F.when(is_hash, share).otherwise(F.bround("mean", 1)))
+        .withColumn("verdict", F.when(is_hash, by_votes).otherwise(verdict_of(F.col("mean"), cfg)))
+        .withColumn(
+            "providers_used", F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.lit(p)) for p in _STRUCTS]))
+        )
     )
-    return _reputation_columns(df, ioc_type)
+
+    def detail(provider: str) -> Column:
+        target = REPUTATION[provider].dataType
+        fields = {f.name: F.col(provider)[f.name] for f in target.fields}
+        if "names" in fields:
+            fields["names"] = F.slice(fields["names"], 1, 5)
+        struct = F.struct(*[value.alias(name) for name, value in fields.items()])
+        return F.when(F.col(provider).isNotNull(), struct).cast(target).alias(provider)
+
+    note = F.when(bad_hash, F.lit(NOTE_BAD_HASH)).when(F.size("providers_used") == 0, F.lit(NOTE_NO_REPORT))
+    return df.select(
+        "ioc_type", "ioc", "fetched_at", "type", "providers_used", "verdict", "score", note.alias("note"),
+        *[detail(p) for p in _STRUCTS], F.lit(False).alias("cached"),
+    )
 
 
 def fuse_ip(reports: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """One reputation per IP: mean of the provider scores, verdict by its unrounded value."""
-    return _fuse_by_mean(reports, "ip", cfg)
+    return fuse(reports.filter("ioc_type = 'ip'"), cfg)
 
 
 def fuse_domain(reports: DataFrame, cfg: TriageConfig) -> DataFrame:
-    return _fuse_by_mean(reports, "domain", cfg)
+    return fuse(reports.filter("ioc_type = 'domain'"), cfg)
 
 
 def fuse_hash(reports: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """One reputation per file hash: share of malicious votes, verdict by their number."""
-    kind = hash_type(F.col("ioc"))
-    vt = F.col("virustotal")
-    votes = _malicious_votes(vt["stats"])
-    cast = F.aggregate(
-        F.coalesce(F.map_values(vt["stats"]), F.array().cast("array<int>")), F.lit(0), lambda acc, x: acc + x
-    )
-    answered = vt.isNotNull() & vt["error"].isNull() & kind.isNotNull()
-    df = (
-        _latest_per_provider(reports, "hash")
-        .withColumn("type", F.concat(F.lit("hash:"), F.coalesce(kind, F.lit("unknown"))))
-        .withColumn("score", F.when(answered, F.bround(100 * votes / F.when(cast == 0, 1).otherwise(cast), 1)))
-        .withColumn(
-            "verdict",
-            F.when(~answered, F.lit("unknown"))
-            .when(votes >= cfg.hash_malicious_vendors, F.lit("malicious"))
-            .when(votes >= cfg.hash_suspicious_vendors, F.lit("suspicious"))
-            .otherwise(F.lit("clean")),
-        )
-        .withColumn("virustotal", F.when(kind.isNotNull(), vt))
-    )
-    return _reputation_columns(df, "hash")
-
-
-def fuse(reports: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """Reputations of all three indicator types."""
-    return fuse_ip(reports, cfg).unionByName(fuse_domain(reports, cfg)).unionByName(fuse_hash(reports, cfg))
+    return fuse(reports.filter("ioc_type = 'hash'"), cfg)
 
 
 def no_reputations(spark: SparkSession) -> DataFrame:
