@@ -20,7 +20,7 @@ NO_TIME, NAIVE, AWARE = 0, 1, 2
 
 # Shapes the built-in parser reads by itself.
 _ISO = (
-    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?"
+    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?"
     r"(?:Z|[+-](?:0[0-9]|1[0-3]):[0-5][0-9])?)?\z"
 )
 _SYSLOG = r"\A(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +[0-9]{1,2} +[0-9]{2}:[0-9]{2}:[0-9]{2}\z"
