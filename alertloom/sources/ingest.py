@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from alertloom.functions.text import is_blank, lines, strip
 
 FILE_STRIDE = 1 << 32
+# The table of file splits is broadcast up to this many rows (about 100 bytes each).
+BROADCAST_SPLITS = 2_000_000
 
 
 def _file_numbers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -29,6 +31,15 @@ def read_blobs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return blobs.join(_file_numbers(spark, paths), "file").select("file", "file_no", "blob")
 
 
+def _most_splits(spark: SparkSession, paths: str | list[str]) -> int:
+    """An upper bound on the number of file splits, from file lengths and the reader's settings."""
+    conf = spark._jsparkSession.sessionState().conf()
+    smallest = max(1, min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
+    lengths = spark.read.format("binaryFile").load(paths).select("length")
+    bound = lengths.agg(F.sum(F.floor(F.col("length") / smallest) + 1)).first()[0]
+    return bound or 0
+
+
 def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per non-blank line of splittable logs: (seq, file, record).
 
@@ -50,6 +61,9 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "block_start",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_id")).alias("shift"),
     )
+    # Without the broadcast the raw text itself would be shuffled.
+    if _most_splits(spark, paths) <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     return (
         text.join(splits, ["file", "block_start"])
         .select((F.col("row_id") + F.col("shift")).alias("seq"), "file", strip(F.col("record")).alias("record"))

@@ -7,11 +7,13 @@ from alertloom.functions.net import is_ip, is_private_ip
 from alertloom.functions.severity import severity
 from alertloom.operators.normalize import normalize, normalize_cef, normalize_json, normalize_syslog
 from alertloom.operators.validate import (
+    observe_quality,
     project_alert,
     quality_metrics,
     quarantine,
     require_valid,
     valid_alerts,
+    with_reason,
 )
 from alertloom.sources.ingest import (
     json_records,
@@ -247,4 +249,8 @@ def test_validation(spark, changes, reason):
 
 def test_quality_metrics(spark):
     df = raw(spark).unionAll(raw(spark, message="")).unionAll(raw(spark, id=""))
-    assert quality_metrics(df).first().asDict() == {"parsed": 3, "valid": 2, "dropped": 1, "empty_messages": 1}
+    want = {"parsed": 3, "valid": 2, "dropped": 1, "empty_messages": 1}
+    assert quality_metrics(df).first().asDict() == want
+    observed, observation = observe_quality(with_reason(df))
+    assert observed.filter("reason is null").count() == 2
+    assert observation.get == want
