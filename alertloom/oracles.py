@@ -178,6 +178,8 @@ d AS (
 MIXED_TEXT = f"CASE (seq // 500) % 3 WHEN 0 THEN {JSON_TEXT} WHEN 1 THEN {CEF_TEXT} ELSE {SYSLOG_TEXT} END"
 LINE_TEXT = f"CASE 1 + (seq // 500) % 2 WHEN 1 THEN {CEF_TEXT} ELSE {SYSLOG_TEXT} END"
 LINE_KIND = "CASE WHEN (seq // 500) % 2 = 0 THEN 'cef' ELSE 'syslog' END"
+SYSLOG_TIME = """'Jan ' || (1 + seq % 28) || ' 10:' || lpad(CAST(seq % 60 AS VARCHAR), 2, '0') || ':00'"""
+SYSLOG_MESSAGE = "'from ' || src_ip || ' to ' || dest_ip || ' ' || message"
 CEF_COLS = f"""seq, id, "timestamp", 'Acme/' || source AS source, (seq % 7) || ':' || signature AS signature, severity, src_ip, dest_ip, "user", message"""
 
 
@@ -226,8 +228,11 @@ ORACLES: dict[str, str] = {
     "address_backfill": q(A, select="""SELECT seq, CASE WHEN seq % 5 = 0 THEN '8.8.8.8' WHEN seq % 3 = 0 THEN dest_ip ELSE src_ip END AS src_ip,
         CASE WHEN seq % 3 <> 0 THEN dest_ip WHEN seq % 2 = 1 THEN '999.1.1.1' END AS dest_ip FROM a"""),
     "generated_ids": q(A, select=f"SELECT seq, substr(sha256(seq || '|' || {SYSLOG_TEXT}), 1, 12) AS id, {SYSLOG_TEXT} AS raw FROM a"),
-    "mixed_alerts": q(A, select=f"SELECT {PARSED_COLS} FROM a WHERE seq % 3 = 0 UNION ALL SELECT {CEF_COLS} FROM a WHERE seq % 3 = 1"),
-    "files_to_alerts": q(A, select='SELECT id, "timestamp", severity, src_ip, dest_ip, "user", message FROM a WHERE (seq // 500) % 3 < 2'),
+    "mixed_alerts": q(A, select=f"""SELECT {PARSED_COLS} FROM a WHERE seq % 3 = 0 UNION ALL SELECT {CEF_COLS} FROM a WHERE seq % 3 = 1
+        UNION ALL SELECT seq, substr(sha256(seq || '|' || {SYSLOG_TEXT}), 1, 12), {SYSLOG_TIME}, source, 'proc-' || (seq % 9), 5, src_ip, dest_ip, NULL, {SYSLOG_MESSAGE} FROM a WHERE seq % 3 = 2"""),
+    "files_to_alerts": q(A, select=f"""SELECT id, "timestamp", severity, src_ip, dest_ip, "user", message FROM a WHERE (seq // 500) % 3 < 2
+        UNION ALL SELECT substr(sha256(((seq // 500) * {STRIDE} + 2 * (seq % 500) + 1) || '|' || {SYSLOG_TEXT}), 1, 12), {SYSLOG_TIME}, 5, src_ip, dest_ip, NULL, {SYSLOG_MESSAGE}
+        FROM a WHERE (seq // 500) % 3 = 2"""),
     "valid_alerts": q(A, DIRTY, select="SELECT seq, id, signature, severity, src_ip, dest_ip FROM d WHERE reason IS NULL"),
     "quarantine": q(A, DIRTY, select="SELECT seq, reason FROM d WHERE reason IS NOT NULL"),
     "strict_validation": q(A, select="SELECT seq, id FROM a"),
@@ -299,7 +304,7 @@ ORACLES: dict[str, str] = {
     "scores": q(A, L, REP, att(), CONF, W, scored("a"), select="SELECT seq, priority_score FROM tr"),
     "tiers": q(A, L, REP, att(), CONF, W, scored("a"), select="SELECT seq, priority_tier FROM tr"),
     "threat_intelligence": q(A, L, REP, att(), CONF, select="SELECT seq, verdict, consensus, confidence FROM cons"),
-    "priority_order": q(*TRIAGE, select="""SELECT id, priority_tier, CAST(row_number() OVER (PARTITION BY priority_tier ORDER BY priority_score DESC, bucket_seq, seq) AS INTEGER) AS rank FROM tr WHERE priority_tier <> 'P4'"""),
+    "priority_order": q(*TRIAGE, select="""SELECT id, priority_tier, CAST(row_number() OVER (PARTITION BY priority_tier ORDER BY priority_score DESC, bucket_seq, seq) AS INTEGER) AS rank FROM tr"""),
     "full_triage": q(*TRIAGE, select=f"SELECT {TRIAGE_COLS}, techniques, verdict FROM tr"),
     "fresh_triage": q(A, L, REP, FRESH, att("fresh"), CONF, W, groups(), FIRST, scored("f", occurrences="a.occurrence_count"), select=f"SELECT {TRIAGE_COLS} FROM tr"),
     "triage_given_alerts": q(A, L, REP, att(), CONF, W, groups(), FIRST, scored("f", severity="CASE WHEN a.seq % 10 > 0 THEN a.severity ELSE 5 END", mitre=False, occurrences="a.occurrence_count"),
@@ -313,12 +318,15 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 1, count(*) || ' P1 (critical) alert(s):' FROM tr WHERE priority_tier = 'P1' HAVING count(*) > 0
         UNION ALL SELECT 2, '  - [' || priority_score || '] ' || signature || ' src=' || src_ip || ' dest=' || dest_ip || ' (x' || occurrence_count_ || ')' FROM tr WHERE priority_tier = 'P1'
         UNION ALL SELECT 3, count(*) || ' P2 (high) alert(s):' FROM tr WHERE priority_tier = 'P2' HAVING count(*) > 0
-        UNION ALL SELECT 4, '  - [' || priority_score || '] ' || signature || ' src=' || src_ip || ' dest=' || dest_ip FROM tr WHERE priority_tier = 'P2'"""),
+        UNION ALL SELECT 4, '  - [' || priority_score || '] ' || signature || ' src=' || src_ip || ' dest=' || dest_ip FROM tr WHERE priority_tier = 'P2'
+        UNION ALL SELECT 5, 'No P1/P2 alerts in this batch — likely routine noise, spot-check P3s.' FROM tr HAVING count(*) > 0 AND count(*) FILTER (priority_tier IN ('P1', 'P2')) = 0
+        UNION ALL SELECT 6, '[Note: generated from a template.]'"""),
     "empty_summary": "SELECT 'No alerts to summarize.' AS summary",
     "compact_top": q(*TRIAGE, select="""SELECT CAST(row_number() OVER (ORDER BY priority_score DESC, bucket_seq, seq) AS INTEGER) AS rank, id, priority_score,
         (SELECT verdict FROM att WHERE att.seq = tr.seq AND slot = 'dest_ip') AS dest_verdict, CAST(length(message) AS INTEGER) AS n_message FROM tr ORDER BY priority_score DESC, bucket_seq, seq LIMIT 25"""),
     "triage_listing": q(*TRIAGE, select="SELECT priority_tier AS priority, CAST(priority_score AS VARCHAR) AS score, signature, src_ip AS source, dest_ip AS target FROM tr"),
-    "stream_normalize": q(A, select='SELECT id, "timestamp", severity, src_ip, dest_ip, message FROM a WHERE (seq // 500) % 2 = 0'),
+    "stream_normalize": q(A, select=f"""SELECT "timestamp", 'Acme/' || source AS source, severity, src_ip, dest_ip, message FROM a WHERE (seq // 500) % 2 = 0
+        UNION ALL SELECT {SYSLOG_TIME}, source, 5, src_ip, dest_ip, {SYSLOG_MESSAGE} FROM a WHERE (seq // 500) % 2 = 1"""),
     "stream_dedup_exact": q(A, groups("signature"), select=f"""SELECT m.src_ip, m.dest_ip, m.signature, g.occurrence_count, g.first_seen, g.last_seen FROM g JOIN a m ON m.seq = g.group_seq WHERE {CLOSED}"""),
     "stream_dedup_fuzzy": q(A, groups(), select=f"SELECT group_seq, occurrence_count, first_seen, last_seen FROM g WHERE {CLOSED}"),
     "stream_reputation_join": q(A, L, REP, FRESH, att("fresh"), select="SELECT seq, slot, ioc, verdict, score FROM att"),
