@@ -2,19 +2,21 @@
 
 Documents are sets of distinct word shingles; equal sets are one class, represented by its least doc_id. A class has a
 sketch of minwise values (the least shingle under each of several hash orders). Independent trees start with all
-classes. A node chooses a few of the hash orders by its own hash and branches its classes by the least shingle in each: two
-classes of similarity s go down together in a branch with probability s. A node of at most LEAF classes is a leaf
-and is compared exhaustively; larger ones branch again, down to DEPTH. With TREES x ROOT_BRANCHES branches at the roots a
-pair at the threshold is missed with probability 0.2^8 (under 3e-6) where these are leaves, and under 2e-5 below them.
-
-Nodes still too large at the last level hold classes that resemble each other, or share a very frequent passage.
-They are dealt into blocks of about LEAF classes; a few hubs of the node stand in every block, so that large groups
-of near copies become one component by their links to hubs. After that, classes outside the node's main component
-(strays) meet every block of the node, in cells of bounded size. So every pair of the node is compared,
-but for pairs already known to be connected, and no task ever holds more than a few hundred documents of a node.
-
-Comparison: pairs whose sketches agree in under LEAST_AGREEING of SKETCH places are passed over (a pair at the threshold
-does so with probability under 1e-6); every other pair not yet connected in its node is confirmed on the
+classes. A node chooses hash orders by its own hash and branches its classes by the least shingle in each: two classes
+of similarity s go down together in a branch with probability s. A node of at most LEAF classes is a leaf and is compared
+exhaustively. With TREES x BRANCHES branches at the roots a pair at the threshold is missed with probability
+0.2^8 (under 3e-6) where these are leaves, and under 2e-5 below them.
+
+Trees come one pass after another: nodes whose classes an earlier pass has already connected are dropped, so later
+trees cost little. A larger node is first dealt into blocks of about LEAF classes in which a few hubs of the node
+stand each, so that a large group of near copies becomes one component by its links to hubs. If many of its classes are
+still outside its main component (they only share a frequent passage), the node branches again, DEPTH levels at
+most. Otherwise, and at the last level, the classes outside (strays) meet every block of the node, in cells of bounded
+size: every pair of the node is then compared but for pairs already connected. No task holds a whole large node.
+
+Comparison has two steps. The sketches of a group alone tell which of its classes have a partner at all; only the
+texts of these are brought to the group. Pairs whose sketches agree in under LEAST_AGREEING of SKETCH places are passed over (a pair at the threshold
+does so with probability under 1e-6); every other pair not yet connected in its group is confirmed on the
 full sets, made from whole texts. Confirmed links give components; copies are never expanded to pairs.
 
 Null or empty text: an empty set, linked with nothing. Rows with equal doc_id and
@@ -35,12 +37,14 @@ from alertloom.llm.store import saved
 
 SHINGLE = 4
 PERCENT = 80
-SKETCH = 32
-TREES, ROOT_BRANCHES, BRANCHES = 4, 2, 2
-LEAF = 64
-DEPTH = 3
+SKETCH = 64
+TREES, BRANCHES = 4, 2
+LEAF = 512
+DEPTH = 2
 HUBS = 4
-LEAST_AGREEING = 13
+LEAST_AGREEING = 34
+#: Share of a large node that may be strays for them to meet all of it at once.
+FEW_STRAYS = 8
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -57,7 +61,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
                     batch.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([m.tobytes() for m in marks], pa.binary()),
+                    pa.array([(m >> 16).astype("<u2").tobytes() for m in marks], pa.binary()),
                 ],
                 ["id", "n", "key", "sketch"],
             )
@@ -65,38 +69,44 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, key binary, sketch binary")
 
 
-def _place(sketch, j):
-    """The j-th value of a sketch."""
-    return F.substring(sketch, j * 4 + 1, 4)
+def _value(order):
+    """The sketch's value in a hash order."""
+    return F.expr("sketch").substr(order * 2 + 1, F.lit(2))
 
 
-def _branches(node, sketch, n: int):
-    """n different hash orders, beyond those of the roots, chosen by the node's hash."""
-    used, free = TREES * ROOT_BRANCHES, SKETCH - TREES * ROOT_BRANCHES
-    first = F.pmod(F.xxhash64(node, F.lit("order")), F.lit(free)).cast("int")
-    orders = [F.lit(used) + F.pmod(first + F.lit(k * (free // n)), F.lit(free)).cast("int") for k in range(n)]
-    return F.array(*[F.xxhash64(node, o, F.expr("sketch").substr(o * 4 + 1, F.lit(4))) for o in orders])
+def roots(classes: DataFrame, trees: range) -> DataFrame:
+    """(node, id) below the roots of these trees."""
+    orders = [F.lit(t * BRANCHES + k) for t in trees for k in range(BRANCHES)]
+    below = F.array(*[F.xxhash64(F.lit("root"), o, _value(o)) for o in orders])
+    return classes.select("id", F.explode(below).alias("node"))
 
 
-def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of the leaves with two classes or more, and of the large nodes of the last level."""
-    roots = F.array(*[F.xxhash64(F.lit(j), _place(F.col("sketch"), j)) for j in range(TREES * ROOT_BRANCHES)])
-    level = classes.select("id", "sketch", F.explode(roots).alias("node"))
-    leaves, large = [], None
-    for depth in range(DEPTH):
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        rows = saved(level.select("node", "id").join(sizes, "node"))
-        leaves.append(rows.where(F.col("size") <= LEAF).select("node", "id"))
-        large = rows.where(F.col("size") > LEAF)
-        if depth < DEPTH - 1:
-            if large.isEmpty():
-                break
-            below = large.join(classes.select("id", "sketch"), "id")
-            level = below.select("id", "sketch", F.explode(_branches(F.col("node"), F.col("sketch"), BRANCHES)).alias("node"))
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out, large
+def branched(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, id) below these nodes; their hash orders, beyond those of the roots, are chosen by the node's hash."""
+    used, free = TREES * BRANCHES, SKETCH - TREES * BRANCHES
+    first = F.pmod(F.xxhash64("node", F.lit("order")), F.lit(free)).cast("int")
+    orders = [F.lit(used) + F.pmod(first + F.lit(k * (free // BRANCHES)), F.lit(free)).cast("int") for k in range(BRANCHES)]
+    below = F.array(*[F.xxhash64("node", o, _value(o)) for o in orders])
+    return rows.join(classes.select("id", "sketch"), "id").select("id", F.explode(below).alias("node"))
+
+
+def unsettled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(node, id, label, size, n_main, main) of nodes with classes not yet connected; main is the commonest label."""
+    if found is None:
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        held = rows.join(sizes, "node").withColumn("label", F.col("id"))
+        return saved(held.withColumns({"n_main": F.lit(1).cast("long"), "main": F.col("id")}))
+    held = rows.join(found.select(F.col("vertex").alias("id"), "component"), "id", "left")
+    held = held.select("node", "id", F.coalesce("component", "id").alias("label"))
+    counts = held.groupBy("node", "label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("m"))
+    sizes = sizes.select("node", "size", F.col("m.n").alias("n_main"), F.col("m.label").alias("main")).where("n_main < size")
+    return saved(held.join(sizes, "node"))
+
+
+def groups_of(rows: DataFrame) -> DataFrame:
+    """(group, id): leaves whole, larger nodes in blocks."""
+    return leaf_groups(rows.where(F.col("size") <= LEAF)).unionByName(block_groups(rows.where(F.col("size") > LEAF)))
 
 
 def leaf_groups(leaves: DataFrame) -> DataFrame:
@@ -124,25 +134,24 @@ def _least_in_part(ranked, k: int):
     return F.min(F.when(F.pmod(F.xxhash64("id", F.lit("hub")), F.lit(HUBS - 1)) == k - 1, ranked)).alias(f"h{k}")
 
 
-def stray_groups(large: DataFrame, found: DataFrame) -> DataFrame:
+def stray_groups(rows: DataFrame) -> DataFrame:
     """(group, id): cells in which classes outside their node's main component meet all of the node."""
-    label = F.coalesce("component", "id").alias("label")
-    rows = saved(large.join(found.withColumnRenamed("vertex", "id"), "id", "left").select("node", "id", "size", label))
-    counts = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m")).select("node", F.col("m.label").alias("main"), F.col("m.n").alias("n_main"))
-    rows = rows.join(main, "node").where("n_main < size")
-    strays = rows.where("label <> main")
     size, half = F.col("size"), LEAF // 2
     n_blocks, n_parts = F.ceil(size / half), F.ceil((size - F.col("n_main")) / half)
     block = F.pmod(F.xxhash64("id", F.lit("cell")), n_blocks)
     part = F.pmod(F.xxhash64("id", F.lit("part")), n_parts)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     down = rows.select("node", "id", block.alias("block"), every(n_parts).alias("part"))
-    across = strays.select("node", "id", part.alias("part"), every(n_blocks).alias("block"))
+    across = rows.where("label <> main").select("node", "id", part.alias("part"), every(n_blocks).alias("block"))
     cells = down.unionByName(across.select("node", "id", "block", "part")).distinct()
     return cells.select(F.xxhash64("node", "block", "part", F.lit("stray")).alias("group"), "id")
 
 
+def _alike(marks: np.ndarray) -> np.ndarray:
+    """In how many places the sketches agree, of each with each."""
+    return np.array([(marks == m).sum(axis=1) for m in marks])
+
+
 def _compared(ids, labels, marks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between classes of a group that are not yet connected, enough to connect what belongs together."""
     root = {}
@@ -153,10 +162,13 @@ def _compared(ids, labels, marks: np.ndarray, sets: list[np.ndarray], percent: i
             x = root[x]
         return x
 
-    out = []
-    for i in range(len(ids)):
-        alike = np.flatnonzero((marks[i + 1 :] == marks[i]).sum(axis=1) >= LEAST_AGREEING) + i + 1
-        for j in alike:
+    if len(ids) < 2:
+        return []
+    out, todo, agreeing = [], np.ones(len(ids), bool), _alike(marks)
+    # what resembles most others first: its links spare the others' comparisons
+    for i in np.argsort(-agreeing.sum(axis=1), kind="stable"):
+        todo[i] = False
+        for j in np.flatnonzero(todo & (agreeing[i] >= LEAST_AGREEING)):
             a, b = find(labels[i]), find(labels[j])
             if a == b:
                 continue
@@ -170,52 +182,76 @@ def _compared(ids, labels, marks: np.ndarray, sets: list[np.ndarray], percent: i
     return out
 
 
+def _runs(batches, names: list[str]):
+    """Tables of whole groups, from batches in which the rows of a group follow each other."""
+    held = None
+    for batch in blocks(batches, names[-1], 2 << 20):
+        table = pa.Table.from_batches([batch.select(names)])
+        table = pa.concat_tables([held, table]) if held else table
+        group = table["group"].to_numpy()
+        last = len(group) - int(np.argmin(group[::-1] == group[-1])) if (group != group[-1]).any() else 0
+        held = table.slice(last).combine_chunks()
+        if last:
+            yield table.slice(0, last).combine_chunks()
+    if held:
+        yield held
+
+
+def _cuts(table: pa.Table) -> list[tuple[int, int]]:
+    group = table["group"].to_numpy()
+    at = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
+    return list(zip(at[:-1], at[1:]))
+
+
+def _marks(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
+
+
+def partnered(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (group, id, label, key, n, sketch) that have a possible partner of another label in their group."""
+    names = ["group", "id", "label", "key", "n", "sketch"]
+
+    def run(batches):
+        for table in _runs(batches, names):
+            marks, labels, n = _marks(table), table["label"].to_numpy(), table["n"].to_numpy()
+            keep = np.zeros(len(n), bool)
+            for a, b in _cuts(table):
+                own, size = labels[a:b], n[a:b]
+                for i in range(b - a):
+                    alike = (marks[a:b] == marks[a + i]).sum(axis=1) >= LEAST_AGREEING
+                    near = (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & (own != own[i])
+                    keep[a + i] = (alike & near).any()
+            if keep.any():
+                yield from table.filter(pa.array(keep)).to_batches()
+
+    spread = rows.repartition("group").sortWithinPartitions("group").select(*names)
+    return spread.mapInArrow(run, "group long, id long, label long, key binary, n long, sketch binary")
+
+
 def confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, found: DataFrame | None, shingle: int, percent: int) -> DataFrame:
     """Links a, b; classes with one label in `found` are not compared."""
-    rows = groups.join(classes.select("id", "key", "sketch"), "id")
+    rows = groups.join(classes, "id")
     if found is None:
         rows = rows.withColumn("label", F.col("id"))
     else:
         rows = rows.join(found.select(F.col("vertex").alias("id"), F.col("component").alias("label")), "id", "left")
         rows = rows.withColumn("label", F.coalesce("label", "id"))
-    rows = rows.join(docs, "id")
-    spread = rows.repartition("group").sortWithinPartitions("group")
+    rows = saved(partnered(rows, percent)).join(docs, "id")
+    names = ["group", "id", "label", "key", "sketch", "text"]
 
     def run(batches):
-        names = ["group", "id", "label", "key", "sketch", "text"]
-
-        def compare(table):
+        for table in _runs(batches, names):
             sets = shingle_sets(*word_hashes(table["text"].combine_chunks()), shingle)
-            keys, ids = table["key"].to_pylist(), table["id"].to_pylist()
-            # rows with the class's id but another text are not the class
-            own = [k for k, s in enumerate(sets) if len(s) and digest(s) == keys[k]]
-            marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
-            group, labels = table["group"].to_numpy(), table["label"].to_pylist()
-            links, cuts = [], np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
-            kept = np.zeros(len(group), bool)
-            kept[own] = True
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                at = np.flatnonzero(kept[a:b]) + a
+            keys, ids, labels, marks = table["key"].to_pylist(), table["id"].to_pylist(), table["label"].to_pylist(), _marks(table)
+            links = []
+            for a, b in _cuts(table):
+                # rows with the class's id but another text are not the class
+                at = [k for k in range(a, b) if len(sets[k]) and digest(sets[k]) == keys[k]]
                 links += _compared([ids[k] for k in at], [labels[k] for k in at], marks[at], [sets[k] for k in at], percent)
-            return links
-
-        held = None
-        for batch in blocks(batches, most_bytes=2 << 20):
-            table = pa.Table.from_batches([batch.select(names)])
-            table = pa.concat_tables([held, table]) if held else table
-            group = table["group"].to_numpy()
-            last = len(group) - int(np.argmin(group[::-1] == group[-1])) if (group != group[-1]).any() else 0
-            held = table.slice(last).combine_chunks()
-            if last:
-                links = compare(table.slice(0, last))
-                if links:
-                    yield _links(links)
-        if held:
-            links = compare(held)
             if links:
                 yield _links(links)
 
-    return spread.select("group", "id", "label", "key", "sketch", "text").mapInArrow(run, "a long, b long")
+    return rows.repartition("group").sortWithinPartitions("group").select(*names).mapInArrow(run, "a long, b long")
 
 
 def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -228,18 +264,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     marked = saved(sketched(docs, shingle))
     least = F.min(F.struct("id", "sketch")).alias("c")
-    classes = saved(marked.where("key IS NOT NULL").groupBy("key").agg(least).select("key", "c.id", "c.sketch"))
-    leaves, large = nodes(classes)
-    groups = leaf_groups(leaves)
-    crowded = not large.isEmpty()
-    if crowded:
-        groups = groups.unionByName(block_groups(large))
-    links = saved(confirmed(groups, classes, docs, None, shingle, percent))
-    found = saved(components(links))
-    if crowded:
-        more = saved(confirmed(stray_groups(large, found), classes, docs, found, shingle, percent))
-        if not more.isEmpty():
-            found = saved(components(links.unionByName(more)))
+    classes = saved(marked.where("key IS NOT NULL").groupBy("key").agg(least, F.first("n").alias("n")).select("key", "n", "c.id", "c.sketch"))
+    links, found, large = None, None, None
+
+    def learn(groups: DataFrame) -> None:
+        nonlocal links, found
+        more = saved(confirmed(groups, classes, docs, found, shingle, percent))
+        if found is not None and more.isEmpty():
+            return
+        links = more if links is None else links.unionByName(more)
+        found = saved(components(links))
+
+    for trees in (range(1), range(1, TREES)):
+        rows = unsettled(roots(classes, trees), found)
+        learn(groups_of(rows))
+        own = rows.where(F.col("size") > LEAF).select("node", "id")
+        large = own if large is None else large.unionByName(own)
+    for depth in range(DEPTH):
+        rows = unsettled(large, found)
+        if rows.isEmpty():
+            break
+        many = F.col("size") - F.col("n_main") > F.greatest(F.lit(LEAF), F.col("size") / FEW_STRAYS)
+        last = depth == DEPTH - 1
+        learn(stray_groups(rows if last else rows.where(~many)))
+        if not last:
+            below = unsettled(branched(rows.where(many).select("node", "id"), classes), found)
+            learn(groups_of(below))
+            large = below.where(F.col("size") > LEAF).select("node", "id")
     labels = classes.join(found, classes["id"] == found["vertex"], "left").select("key", F.coalesce("component", "id").alias("component"))
     whole = marked.join(labels, "key", "left").withColumn("component", F.coalesce("component", "id"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

@@ -21,12 +21,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (between ASCII white space, A-Z in lower case), and where each text's begin."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     bounds = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
     bounds = bounds - bounds[0]
     coded = flat.dictionary_encode()
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    names = pc.ascii_lower(coded.dictionary).to_pylist()
+    table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
     hashes = table[coded.indices.to_numpy()] if len(flat) else np.empty(0, np.uint64)
     real = pc.binary_length(flat).to_numpy() > 0
     if not real.all():
