@@ -141,6 +141,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return _scanned(docs, automata(benchmark, block_bytes))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that are not contaminated, with all their columns."""
+    searches = automata(benchmark, block_bytes)
+
+    def run(batches):
+        for batch in blocks(batches):
+            clean = []
+            for text in batch.column("text").to_pylist():
+                own = words(text)
+                hit = np.unique(np.concatenate([np.empty(0, np.int64), *[scan(own, s.value)[0] for s in searches]]))
+                clean.append(not len(hit) or SHARE * len(hit) < len(own))
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
