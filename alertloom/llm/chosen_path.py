@@ -61,7 +61,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
                     batch.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([(m >> 16).astype("<u2").tobytes() for m in marks], pa.binary()),
+                    pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary()),
                 ],
                 ["id", "n", "key", "sketch"],
             )
@@ -71,7 +71,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _value(order):
     """The sketch's value in a hash order."""
-    return F.expr("sketch").substr(order * 2 + 1, F.lit(2))
+    return F.expr("sketch").substr(order * 4 + 1, F.lit(4))
 
 
 def roots(classes: DataFrame, trees: range) -> DataFrame:
@@ -204,7 +204,7 @@ def _cuts(table: pa.Table) -> list[tuple[int, int]]:
 
 
 def _marks(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
+    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
 
 
 def partnered(rows: DataFrame, percent: int) -> DataFrame:

@@ -113,7 +113,7 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
             uid, key, part = zip(*rows)
             part = pa.array(part, pa.large_string())
             sets = shingle_sets(*word_hashes(part), SHINGLE)
-            marks = (sketches(sets, SKETCH) >> 16).astype("<u2")
+            marks = sketches(sets, SKETCH).astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(uid, pa.int64()), pa.array(key, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),

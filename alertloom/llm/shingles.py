@@ -64,7 +64,7 @@ def factors(n: int, seed: int = 1) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray], n: int) -> np.ndarray:
-    """For each set that isn't empty, n minwise values of 32 bits; empty sets get zeros."""
+    """For each set that isn't empty, n minwise values, by their lower 32 bits (a minimum's upper bits are nearly always zero); empty sets get zeros."""
     out = np.zeros((len(sets), n), np.uint32)
     full = [k for k, s in enumerate(sets) if len(s)]
     if full:
@@ -72,7 +72,7 @@ def sketches(sets: list[np.ndarray], n: int) -> np.ndarray:
         starts = np.concatenate(([0], np.cumsum([len(sets[k]) for k in full])[:-1]))
         for j, a in enumerate(factors(n)):
             x = flat * a
-            out[full, j] = np.minimum.reduceat(x ^ (x >> np.uint64(31)), starts) >> np.uint64(32)
+            out[full, j] = np.minimum.reduceat(x ^ (x >> np.uint64(31)), starts) & np.uint64(0xFFFFFFFF)
     return out
 
 
