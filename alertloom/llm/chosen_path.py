@@ -152,6 +152,23 @@ def _alike(marks: np.ndarray) -> np.ndarray:
     return np.array([(marks == m).sum(axis=1) for m in marks])
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, from products of 0/1 matrices over the shingles that two sets have."""
+    names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times[column] > 1
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
 def _compared(ids, labels, marks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between classes of a group that are not yet connected, enough to connect what belongs together."""
     root = {}
@@ -164,19 +181,22 @@ def _compared(ids, labels, marks: np.ndarray, sets: list[np.ndarray], percent: i
 
     if len(ids) < 2:
         return []
+    sizes = np.array([len(x) for x in sets])
     out, todo, agreeing = [], np.ones(len(ids), bool), _alike(marks)
+    near = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    near &= agreeing >= LEAST_AGREEING
+    common = _common(sets) if near.sum() > 40 * len(ids) else None
+    if common is not None:
+        near &= 100 * common >= percent * (np.add.outer(sizes, sizes) - common)
     # what resembles most others first: its links spare the others' comparisons
     for i in np.argsort(-agreeing.sum(axis=1), kind="stable"):
         todo[i] = False
-        for j in np.flatnonzero(todo & (agreeing[i] >= LEAST_AGREEING)):
+        for j in np.flatnonzero(todo & near[i]):
             a, b = find(labels[i]), find(labels[j])
             if a == b:
                 continue
-            small, great = sorted((len(sets[i]), len(sets[j])))
-            if 100 * small < percent * great:
-                continue
-            common = overlap(sets[i], sets[j])
-            if 100 * common >= percent * (small + great - common):
+            both = common[i, j] if common is not None else overlap(sets[i], sets[j])
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                 root[a] = b
                 out.append((ids[i], ids[j]))
     return out
