@@ -172,8 +172,10 @@ def no_reputations(spark: SparkSession) -> DataFrame:
 
 
 def latest(reputations: DataFrame) -> DataFrame:
-    newest = Window.partitionBy("ioc_type", "ioc").orderBy(F.desc("fetched_at"))
-    return reputations.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+    """One row per indicator: the newest, and of equally new ones the one with the greatest hash of the whole row."""
+    row = F.struct(*reputations.columns)
+    newest = F.max_by(row, F.struct("fetched_at", F.xxhash64(F.to_json(row)))).alias("row")
+    return reputations.groupBy("ioc_type", "ioc").agg(newest).select("row.*")
 
 
 def fresh(reputations: DataFrame, as_of: dt.datetime | Column, cfg: TriageConfig) -> DataFrame:

@@ -290,10 +290,12 @@ def quality_metrics(spark, sf):
 
 @query
 def keyword_rule_hits(spark, sf):
-    """Keywords by number of alerts that contain them: the rules as a table, joined on contains."""
+    """Keywords by number of alerts that contain them: each alert is tested against the fixed list in its own row."""
     texts = fx.alerts(spark, sf).select(F.lower(attack.haystack()).alias("t"))
-    rules = attack.keyword_rules(spark)
-    hits = texts.join(F.broadcast(rules), F.contains("t", "keyword"))
+    every = [(tid, keyword) for keywords, tid, _, _ in attack.KEYWORD_RULES for keyword in keywords]
+    rules = F.array(*[F.struct(F.lit(tid).alias("technique_id"), F.lit(k).alias("keyword")) for tid, k in every])
+    found = F.filter(rules, lambda r: F.contains(F.col("t"), r.keyword))
+    hits = texts.select(F.explode(found).alias("r")).select("r.*")
     return hits.groupBy("technique_id", "keyword").agg(F.count("*").alias("alerts"))
 
 
