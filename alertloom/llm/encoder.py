@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Any character that some definition counts as white space, next to a blank.
 BESIDE_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}] | [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Words kept between batches; beyond that the memory is emptied.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 #: Words put into one line for the tokenizer.
 LINE = 1000
 
@@ -171,7 +171,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def blocks(batches, text: str = "text", most_bytes: int = 8 << 20):
+def blocks(batches, text: str = "text", most_bytes: int = 4 << 20):
     """Record batches in runs of about so many bytes of text, never cutting a row."""
     for batch in batches:
         if not batch.num_rows:
