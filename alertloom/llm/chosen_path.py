@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm.components import components
+from alertloom.llm.components import components, labels, stars
 from alertloom.llm.encoder import blocks
 from alertloom.llm.shingles import digest, overlap, shingle_sets, sketches, word_hashes
 from alertloom.llm.store import saved
@@ -45,6 +45,8 @@ HUBS = 4
 LEAST_AGREEING = 34
 #: Share of a large node that may be strays for them to meet all of it at once.
 FEW_STRAYS = 8
+#: Rounds towards components between passes: equal labels mean connected, which is all that a pass needs.
+ROUNDS = 2
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -285,34 +287,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     marked = saved(sketched(docs, shingle))
     least = F.min(F.struct("id", "sketch")).alias("c")
     classes = saved(marked.where("key IS NOT NULL").groupBy("key").agg(least, F.first("n").alias("n")).select("key", "n", "c.id", "c.sketch"))
-    links, found, large = None, None, None
+    links = found = large = None
 
-    def learn(groups: DataFrame) -> None:
-        nonlocal links, found
+    def compare(groups: DataFrame) -> None:
+        nonlocal links
         more = saved(confirmed(groups, classes, docs, found, shingle, percent))
-        if found is not None and more.isEmpty():
-            return
         links = more if links is None else links.unionByName(more)
-        found = saved(components(links))
+
+    def learn() -> None:
+        nonlocal links, found
+        links = stars(links, ROUNDS)
+        found = labels(links)
 
     for trees in (range(1), range(1, TREES)):
         rows = unsettled(roots(classes, trees), found)
-        learn(groups_of(rows))
+        compare(groups_of(rows))
         own = rows.where(F.col("size") > LEAF).select("node", "id")
         large = own if large is None else large.unionByName(own)
+        if found is None:
+            learn()
     for depth in range(DEPTH):
-        rows = unsettled(large, found)
-        if rows.isEmpty():
+        if large.isEmpty():
             break
+        learn()
+        rows = unsettled(large, found)
         many = F.col("size") - F.col("n_main") > F.greatest(F.lit(LEAF), F.col("size") / FEW_STRAYS)
-        last = depth == DEPTH - 1
-        learn(stray_groups(rows if last else rows.where(~many)))
-        if not last:
+        if depth == DEPTH - 1:
+            compare(stray_groups(rows))
+        else:
             below = unsettled(branched(rows.where(many).select("node", "id"), classes), found)
-            learn(groups_of(below))
+            compare(stray_groups(rows.where(~many)).unionByName(groups_of(below)))
             large = below.where(F.col("size") > LEAF).select("node", "id")
-    labels = classes.join(found, classes["id"] == found["vertex"], "left").select("key", F.coalesce("component", "id").alias("component"))
-    whole = marked.join(labels, "key", "left").withColumn("component", F.coalesce("component", "id"))
+    found = components(links)
+    named = classes.join(found, classes["id"] == found["vertex"], "left").select("key", F.coalesce("component", "id").alias("component"))
+    whole = marked.join(named, "key", "left").withColumn("component", F.coalesce("component", "id"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return whole.select(
         back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"),
