@@ -1,32 +1,42 @@
-"""Repeated passages: paragraph MinHash banding.
+"""Repeated passages: paragraph MinHash banding, and exact runs of shorter units below it.
 
-A text is cut into paragraphs at line ends and sentence ends. So that a passage inserted into running text is cut
-alike wherever it stands, a sentence ends a paragraph by its own last characters' hash, once the paragraph has MIN_WORDS
-words. Paragraphs are sets of distinct five-word shingles. Equal sets are one class; classes
+A text is cut into units at every line end and sentence end and, between these, before words chosen by their content: where
+the hash of two words is the least within REACH words on both sides. Such units have REACH + 1 words at least, about 9
+on average, and are the same wherever a passage stands, but for the words at its edges.
+
+Paragraphs are runs of units up to a line end or sentence end; a sentence ends a paragraph by its own last characters' hash,
+once the paragraph has MIN_WORDS words. Paragraphs are sets of distinct five-word shingles. Equal sets are one class; classes
 are banded: BANDS keys of ROWS minwise values each, which find a pair at the threshold of 0.8 with probability
 1 - (1 - 0.8^2)^6 = 0.998. Classes that collide are brought together with their texts and confirmed by exact Jaccard
 similarity; crowded bands are dealt into blocks with hubs, and strays meet the rest in cells (see chosen_path).
 Components of confirmed links are clusters: the first paragraph of each (least doc_id, then place) stays, the others
 are removed. Paragraphs of fewer than MIN_WORDS words are never removed.
 
-Null or empty text: no paragraphs. Rows with equal doc_id are one document with the paragraphs of all of them. A null
+What then remains is compared by spans: for every unit, the shortest runs of units of MIN_WORDS words that begin and that end
+with it. Spans of the same words (A-Z in lower case, by a 128-bit hash) are one; the first outside removed paragraphs
+stays, those behind it are removed. Adjoining spans together
+are the whole of a repeated passage from its first cut to its last, and the first place of every unit stays.
+
+Null or empty text: no units. Rows with equal doc_id are one document with the units of all of them. A null
 doc_id counts as the least. Other columns are ignored. No rows: no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm.chosen_path import LEAF, NO_ID, SKETCH, confirmed, groups_of, stray_groups, unsettled
 from alertloom.llm.components import components
 from alertloom.llm.encoder import blocks
-from alertloom.llm.shingles import digest, factors, shingle_sets, sketches, word_hashes
+from alertloom.llm.shingles import digest, factors, mixed, shingle_sets, sketches, word_hashes
 from alertloom.llm.store import saved
 
 SHINGLE = 5
@@ -35,27 +45,102 @@ MIN_WORDS = 10
 MOST_WORDS = 60
 BANDS, ROWS = 6, 2
 
+#: Words on both sides among which a cut between words has the least hash.
+REACH = 4
+
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = [np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)]
 _END = re.compile(rb"[.!?][\"')\]]*[ \t]+|\n+")
 
 
-def cuts(text: bytes) -> list[tuple[int, int]]:
-    """Begin and end of each paragraph, in bytes; together they cover the text."""
-    out, begin, words = [], 0, 0
-    at = 0
-    for m in _END.finditer(text):
-        end = m.end()
-        words += len(text[at:end].split())
-        at = end
-        if words >= MIN_WORDS:
-            line = text[m.start()] == 10
-            if line or words >= MOST_WORDS or zlib.crc32(text[max(begin, m.start() - 8) : m.start()]) & 1:
-                out.append((begin, end))
-                begin, words = end, 0
-    if begin < len(text):
-        out.append((begin, len(text)))
+def _units(texts: list[bytes], hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each unit, first word of each paragraph (both in all texts' words), each text's first unit, and the
+    byte in its text at which a unit or paragraph with that first word begins."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    words = np.flatnonzero(~white & np.concatenate(([True], white[:-1]))) if len(data) else np.empty(0, np.int64)
+    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+    at = words - np.repeat(offsets[:-1], np.diff(bounds))
+    n = len(words)
+    first = np.zeros(n + 1, bool)  # of a line, sentence or text
+    first[bounds] = True
+    large = first.copy()  # of a paragraph
+    for k, text in enumerate(texts):
+        low, high = bounds[k], bounds[k + 1]
+        if low == high:
+            continue
+        at[low] = 0
+        matches = list(_END.finditer(text))
+        own = words[low:high] - offsets[k]
+        begin, begin_byte = low, 0
+        for m, word in zip(matches, low + np.searchsorted(own, [m.end() for m in matches])):
+            if low < word < high:
+                first[word] = True
+                at[word] = m.end()
+                if word - begin >= MIN_WORDS:
+                    line = text[m.start()] == 10
+                    if line or word - begin >= MOST_WORDS or zlib.crc32(text[max(begin_byte, m.start() - 8) : m.start()]) & 1:
+                        large[word] = True
+                        begin, begin_byte = word, m.end()
+    starts = np.flatnonzero(first)
+    part = np.cumsum(first[:n]) - 1
+    index = np.arange(n)
+    free = (index - starts[part] > REACH) & (starts[part + 1] - index > REACH) if n else np.empty(0, bool)
+    marks = np.full(n + 2 * REACH, np.iinfo(np.uint64).max, np.uint64)
+    if n:
+        marks[REACH : REACH + n][free] = mixed(hashes * _PAIR + np.append(hashes[1:], hashes[:1]))[free]
+    middle = marks[REACH : REACH + n]
+    for k in range(1, REACH + 1):
+        free = free & (middle < marks[REACH - k : REACH - k + n]) & (middle <= marks[REACH + k : REACH + k + n])
+    first[:n] |= free
+    starts = np.flatnonzero(first)
+    for k in np.flatnonzero(np.diff(starts) > MOST_WORDS):
+        first[np.arange(starts[k] + MOST_WORDS // 2, starts[k + 1] - REACH, MOST_WORDS // 2)] = True
+    units = np.flatnonzero(first[:n])
+    return units, np.flatnonzero(large[:n]), np.searchsorted(units, bounds), at
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+
+
+def _ends(starts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The byte at which each of these ends: where the next one of its text begins, or at the text's end."""
+    out = sizes[owner]
+    inner = np.flatnonzero(owner[:-1] == owner[1:])
+    out[inner] = at[starts[inner + 1]]
     return out
 
 
+def cuts(text: bytes) -> list[tuple[int, int]]:
+    """Begin and end of each unit, in bytes; together they cover the text."""
+    units, _, _, at = _units([text], *_words([text]))
+    begins = [int(x) for x in at[units]] or [0] * bool(text)
+    return list(zip(begins, [*begins[1:], len(text)]))
+
+
+def _spans(hashes: np.ndarray, units: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of MIN_WORDS words or more: first unit, last unit, and two hashes of the words."""
+    n, edges = len(units), np.append(units, len(hashes))
+    index = np.arange(n)
+    owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    low, high = firsts[:-1][owner], firsts[1:][owner] - 1
+    last = np.searchsorted(edges, edges[:-1] + MIN_WORDS) - 1
+    begin = np.searchsorted(edges, edges[1:] - MIN_WORDS, side="right") - 1
+    onward, back = last <= high, begin >= low
+    pairs = np.unique(np.stack((np.concatenate((index[onward], begin[back])), np.concatenate((last[onward], index[back])))), axis=1)
+    a, b = pairs[0], pairs[1]
+    x, y = edges[a], edges[b + 1]
+    keys = []
+    for factor in _FACTORS:
+        powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), factor, np.uint64))))
+        inverse = np.uint64(pow(int(factor), -1, 1 << 64))
+        down = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(hashes), inverse, np.uint64))))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(hashes ^ factor) * powers[:-1], dtype=np.uint64)))
+        keys.append(mixed((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64)).view(np.int64))
+    return a, b, *keys
+
+
 def _bands(sets: list[np.ndarray]) -> np.ndarray:
     marks = sketches(sets, BANDS * ROWS).astype(np.uint64).reshape(len(sets), BANDS, ROWS)
     mixed = np.arange(1, BANDS + 1, dtype=np.uint64) * factors(1, 7)[0]
@@ -66,38 +151,48 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 _PARAGRAPHS = "paragraphs array<struct<begin:int,end:int,n:int,key:binary,bands:array<long>>>"
+_SPANS = "spans array<struct<x:long,y:long,begin:int,end:int>>"
+
+
+def _list(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """The values as lists of n rows; owner: each value's row, ascending."""
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32), values)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """id, n_bytes and the paragraphs of at least MIN_WORDS words of every row; n_paragraphs counts all."""
+    """id, n_bytes, where the units end, their spans and the paragraphs of at least MIN_WORDS words of every row."""
 
     def run(batches):
         for batch in blocks(batches, most_bytes=4 << 20):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            spans = [cuts(t) for t in texts]
-            owner = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
-            flat = [(k, a, b) for k, own in enumerate(spans) for a, b in own]
-            units = pa.array([texts[k][a:b] for k, a, b in flat], pa.large_binary()).cast(pa.large_string())
-            hashes, bounds = word_hashes(units)
-            long = np.flatnonzero(np.diff(bounds) >= MIN_WORDS)
-            sets = shingle_sets(hashes, bounds, SHINGLE)
+            lengths, rows = np.array([len(t) for t in texts], np.int64), len(texts)
+            hashes, bounds = _words(texts)
+            units, large, firsts, at = _units(texts, hashes, bounds)
+            owner = np.repeat(np.arange(rows), np.diff(firsts))
+            ends = _ends(units, lengths, owner, at)
+            whole = np.flatnonzero((lengths > 0) & (np.diff(bounds) == 0))  # white space only: one unit
+            places = np.searchsorted(owner, whole)
+            every = _list(np.insert(owner, places, whole), rows, pa.array(np.insert(ends, places, lengths[whole]).astype(np.int32)))
+            a, b, x, y = _spans(hashes, units, firsts)
+            parts = [x, y, at[units[a]].astype(np.int32), ends[b].astype(np.int32)]
+            spans = _list(owner[a], rows, pa.StructArray.from_arrays([*map(pa.array, parts)], ["x", "y", "begin", "end"]))
+            edges = np.append(large, len(hashes))
+            owner = np.searchsorted(bounds, large, side="right") - 1
+            ends = _ends(large, lengths, owner, at)
+            long = np.flatnonzero(np.diff(edges) >= MIN_WORDS)
+            sets = shingle_sets(hashes, edges, SHINGLE)
             sets = [sets[k] for k in long]
-            places = np.array(flat, np.int64).reshape(-1, 3)[long]
             n = len(long)
             kind = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
             bands = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(_bands(sets).ravel() if n else [], pa.int64()))
-            columns = [places[:, 1].astype(np.int32), places[:, 2].astype(np.int32), np.array([len(s) for s in sets], np.int32)]
-            rows = pa.StructArray.from_arrays([*map(pa.array, columns), pa.array([digest(s) for s in sets], pa.binary()), bands], fields=list(kind))
-            ends = np.concatenate(([0], np.cumsum(np.bincount(owner[long], minlength=len(texts))))).astype(np.int32)
+            columns = [at[large[long]].astype(np.int32), ends[long].astype(np.int32), np.array([len(s) for s in sets], np.int32)]
+            held = pa.StructArray.from_arrays([*map(pa.array, columns), pa.array([digest(s) for s in sets], pa.binary()), bands], fields=list(kind))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
-                    pa.ListArray.from_arrays(ends, rows),
-                ],
-                ["id", "n_bytes", "n_paragraphs", "paragraphs"],
-            )
+                [batch.column("id"), pa.array(lengths), every, spans, _list(owner[long], rows, held)],
+                ["id", "n_bytes", "ends", "spans", "paragraphs"],
+            )
 
-    return docs.mapInArrow(run, f"id long, n_bytes long, n_paragraphs long, {_PARAGRAPHS}")
+    return docs.mapInArrow(run, f"id long, n_bytes long, ends array<int>, {_SPANS}, {_PARAGRAPHS}")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -151,8 +246,47 @@ def clusters(docs: DataFrame, held: DataFrame) -> DataFrame:
     return named.select("key", label, F.struct("f.id", "f.begin").alias("f"))
 
 
+_PLACES = "array<struct<begin:int,end:int>>"
+
+
+def _covered(gone: list[dict] | None, ends: np.ndarray) -> np.ndarray:
+    """For each unit, by where they end, whether it lies in one of these places; all of them begin and end with a unit."""
+    if not gone:
+        return np.zeros(len(ends), bool)
+    begins = np.concatenate(([0], ends[:-1]))
+    steps = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(steps, np.searchsorted(begins, [g["begin"] for g in gone]), 1)
+    np.add.at(steps, np.searchsorted(ends, [g["end"] for g in gone]) + 1, -1)
+    return np.cumsum(steps)[:-1] > 0
+
+
+def repeated_spans(held: DataFrame, gone: DataFrame) -> DataFrame:
+    """id and the places of spans found before, at a place that touches no removed paragraph (gone: id, places)."""
+    flat = held.select("id", F.explode("spans").alias("s")).select("id", "s.*")
+    twice = flat.groupBy("x", "y").agg(F.count("*").alias("times")).where("times > 1").select("x", "y")
+    by_doc = flat.join(twice, ["x", "y"]).groupBy("id").agg(F.collect_list(F.struct("x", "y", "begin", "end")).alias("spans"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, spans, places in zip(*(batch.column(c).to_pylist() for c in ("id", "spans", "places"))):
+                places = sorted((p["begin"], p["end"]) for p in places or [])
+                begins, ends = [p[0] for p in places], [p[1] for p in places]
+                for s in spans:
+                    free = bisect.bisect_right(ends, s["begin"]) == bisect.bisect_left(begins, s["end"])
+                    rows.append((name, s["x"], s["y"], s["begin"], s["end"], free))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "x", "y", "begin", "end", "free"])
+
+    left = saved(by_doc.join(gone, "id", "left").mapInArrow(run, "id long, x long, y long, begin int, end int, free boolean"))
+    firsts = left.where("free").groupBy("x", "y").agg(F.min(F.struct("id", "begin")).alias("first"))
+    later = left.join(firsts, ["x", "y"]).where("first.id < id OR first.id = id AND first.begin < begin")
+    return later.groupBy("id").agg(F.collect_set(F.struct("begin", "end")).alias("more"))
+
+
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_paragraphs, n_removed (bytes), n_spans and the removed spans (bytes) of every row."""
+    """doc_id, n_bytes, n_paragraphs (units), n_removed (bytes), n_spans and the removed units (bytes) of every row."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     held = saved(paragraphs(docs))
     named = saved(clusters(docs, held))
@@ -160,14 +294,28 @@ def removals(docs: DataFrame) -> DataFrame:
     named = named.join(firsts, "cluster").select("key", "first")
     flat = held.select("id", F.explode("paragraphs").alias("p")).select("id", "p.begin", "p.end", "p.key")
     gone = flat.join(named, "key").where("first.id <> id OR first.begin <> begin")
-    by_doc = gone.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
-    none = F.array().cast("array<struct<begin:int,end:int>>")
-    whole = held.select("id", "n_bytes", "n_paragraphs").join(by_doc, "id", "left").withColumn("spans", F.coalesce("spans", none))
-    total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.begin)
-    return whole.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_paragraphs",
-        total.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans",
-    )
+    gone = saved(gone.groupBy("id").agg(F.collect_set(F.struct("begin", "end")).alias("places")))
+    whole = held.select("id", "n_bytes", "ends").join(gone, "id", "left").join(repeated_spans(held, gone), "id", "left")
+
+    def run(batches):
+        for batch in batches:
+            spans, total = [], []
+            for ends, places, more in zip(*(batch.column(c).to_pylist() for c in ("ends", "places", "more"))):
+                ends = np.array(ends, np.int64)
+                at = np.flatnonzero(_covered(places, ends) | _covered(more, ends)) if places or more else []
+                spans.append([{"begin": int(ends[k - 1]) if k else 0, "end": int(ends[k])} for k in at])
+                total.append(sum(s["end"] - s["begin"] for s in spans[-1]))
+            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"), batch.column("n_bytes"), pc.list_value_length(batch.column("ends")).cast(pa.int64()),
+                    pa.array(total, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind),
+                ],
+                ["id", "n_bytes", "n_paragraphs", "n_removed", "n_spans", "spans"],
+            )
+
+    judged = whole.mapInArrow(run, f"id long, n_bytes long, n_paragraphs long, n_removed long, n_spans long, spans {_PLACES}")
+    return judged.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_paragraphs", "n_removed", "n_spans", "spans")
 
 
 def op10_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,6 +335,56 @@ def test_paragraphs(docs, nothing):
     assert rows_of(paragraphs.removals(nothing)) == []
 
 
+def passages(punctuated):
+    """Twice as many texts as passages of 51 to 120 words; text k + 60 holds passage k once more, at another word."""
+    rng, out, held = random.Random(7 + punctuated), {}, {}
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) + ("." if punctuated and rng.random() < 0.08 else "")
+    for k in range(60):
+        passage = [word() for _ in range(rng.randint(51, 120))]
+        for i in (k, k + 60):
+            before, behind = ([word() for _ in range(rng.randint(40, 200))] for _ in range(2))
+            out[i], held[i] = " ".join(before + passage + behind), (len(" ".join(before)) + 1, len(" ".join(passage)))
+    return out, held
+
+
+@pytest.mark.parametrize("punctuated", [False, True])
+def test_passages_in_running_text(spark, punctuated):
+    texts, held = passages(punctuated)
+    got = {r.doc_id: r for r in rows_of(paragraphs.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))}
+    assert all(got[i].n_removed == 0 for i in range(60))
+    assert all(got[i].n_removed > 0 for i in range(60, 120))
+    assert sum(got[i].n_removed for i in range(60, 120)) > 0.75 * sum(held[i][1] for i in range(60, 120))
+    for i in range(60, 120):
+        begin, size = held[i]
+        # a paragraph that is nearly the passage may go with a few words beside it
+        assert sum(min(s.end, begin + size + 1) - max(s.begin, begin) for s in got[i].spans) > 0.8 * got[i].n_removed
+
+
+def test_repeated_spans(spark):
+    """Against all runs of units; paragraphs repeat exactly or not at all."""
+    texts = passages(False)[0] | {200 + i: t for i, t in passages(True)[0].items()}
+    texts |= {400: texts[3] + "\n" + texts[9], 401: texts[63][: len(texts[63]) // 2], 402: " ".join(["aa bb cc"] * 40), 403: "\n \t", 404: texts[7].upper()}
+    first, runs = {}, []
+    for i, text in sorted(texts.items()):
+        own = paragraphs.cuts(text.encode())
+        words = [WORD.findall(text.encode()[a:b].decode().translate(LOW)) for a, b in own]
+        n = [len(w) for w in words]
+        for j in range(len(own)):
+            onward = next((e for e in range(j, len(own)) if sum(n[j : e + 1]) >= 10), None)
+            back = next((b for b in range(j, -1, -1) if sum(n[b : j + 1]) >= 10), None)
+            for a, b in {(j, onward), (back, j)}:
+                if a is not None and b is not None:
+                    key = tuple(w for k in range(a, b + 1) for w in words[k])
+                    runs.append((key, i, own[a : b + 1]))
+                    first[key] = min(first.get(key, (i, own[a][0])), (i, own[a][0]))
+    want = {(i, *u) for key, i, units in runs if first[key] != (i, units[0][0]) for u in units}
+    removed = rows_of(paragraphs.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    got = {(r.doc_id, s.begin, s.end) for r in removed for s in r.spans}
+    assert want <= got and len(want) > 300
+    by_paragraph = got - want
+    assert len(by_paragraph) < len(want) // 20
+
+
 def test_pipeline(spark, docs, sf):
     import corpus_pipeline
 
