@@ -159,6 +159,56 @@ def test_divergence(docs, nothing):
     assert rows_of(divergence.keep(nothing)) == []
 
 
+def test_verdict(spark):
+    """Against a plain version of the rules; prose stays, words in pipes and words with signs go, of 60 words too."""
+    rng = random.Random(4)
+    common = {"en": divergence.COMMON["en"], "de": divergence.COMMON["de"]}
+    rare = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    rows, kind = [], {}
+    for i in range(600):
+        lang, n = rng.choice(["en", "de"]), rng.choice([12, 60, 90, 150, 600])
+        prose = [rng.choice(common[lang]) if rng.random() < 0.35 else rng.choice(rare) for _ in range(n)]
+        kind[i] = "prose" if i % 10 else "pipes" if i % 20 else "signs"
+        text = " ".join(prose) + "."
+        if kind[i] == "pipes":
+            text = " | ".join(rng.choice(rare) for _ in range(n // 2))
+        elif kind[i] == "signs":
+            text = " ".join(rng.choice(rare) + rng.choice(["&&&", "%%%", "$$$"]) for _ in range(n))
+        rows.append((i, lang if i % 50 != 1 else "xx", text))
+    rows += [(600, "en", None), (601, "en", " ".join(["the same five words again"] * 30))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("f", divergence.features(F.col("text")))
+    held = {r.doc_id: r for r in rows_of(df)}
+
+    def distance(p, q):
+        part = lambda x, y: sum(a * math.log2(2 * a / (a + b)) for a, b in zip(x, y) if a)
+        return math.sqrt(max((part(p, q) + part(q, p)) / 2, 0))
+
+    shares = lambda counts, total: [c / total for c in counts]
+    words = lambda f: [*f.common, f.n_words - sum(f.common)]
+    known = {}
+    for lang in ("en", "de"):
+        own = [r.f for r in held.values() if r.lang == lang]
+        sums = [[sum(c) for c in zip(*part)] for part in ([f.chars for f in own], [words(f) for f in own])]
+        known[lang] = [shares(c, sum(c)) for c in sums]
+    judged = divergence.judge(df, "f", "lang", divergence.references(df, "lang", "f"), "v")
+    got = {r.doc_id: r.v for r in rows_of(judged)}
+    for i, r in held.items():
+        f, near = r.f, [known[r.lang]] if r.lang in known else list(known.values())
+        base = f.n_words < 10 or 100 * f.n_repeat_words > 20 * f.n_words
+        c = min(distance(shares(f.chars, sum(f.chars)), k[0]) for k in near) if f.word_chars >= 200 else None
+        w = min(distance(shares(words(f), f.n_words), k[1]) for k in near) if f.n_words >= 10 else None
+        far = (c or 0) > 0.33 or (f.n_words >= 100 and w > 0.40) or ((c or 0) > 0.11 and w > 0.10 + 1.2 / math.sqrt(f.n_words))
+        v = got[i]
+        assert (v.base_failed, v.kept) == (base, not base and not far), i
+        assert v.chars_distance == (c if c is None else pytest.approx(c, abs=2e-6)) and v.words_distance == (w if w is None else pytest.approx(w, abs=2e-6))
+    long = [i for i in kind if held[i].f.word_chars >= 200]
+    wrong = [(held[i].f.n_words, got[i]) for i in long if kind[i] == "prose" and not got[i].kept]
+    assert len(wrong) <= 4 and all(n < 100 for n, _ in wrong), wrong
+    missed = [(kind[i], held[i].f.n_words, got[i]) for i in long if kind[i] != "prose" and held[i].f.n_words >= 60 and got[i].kept]
+    assert not missed, missed
+    assert not got[600].kept and not got[601].kept
+
+
 def test_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     row = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(divergence.distance(F.col("p"), F.col("q"))).first()
