@@ -2,11 +2,14 @@
 
 BPE never merges across the borders its pre-tokenizer sets, so a text may be cut at such borders and the
 parts encoded alone. Words are cut and numbered by Arrow, the library encodes those not met before, and
-numpy puts the ids of a batch together. Texts in which a cut might not be such a border are encoded whole.
+numpy puts the ids of a batch together. Texts in which a cut might not be such a border are encoded whole, and so
+are texts that hold an added token such as <|endoftext|>: it gets its own id, as the library does by default.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,9 +30,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.style = style
         vocabulary = self.tokenizer.get_vocab()
+        #: Matches any added token, in any case: words are put in lower case before they are encoded.
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
         #: Ids that begin (style "bytes") or end (style "words") a word in a line of words.
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
@@ -112,10 +116,13 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        whole = np.zeros(n, bool)
+        if self.added:
+            whole |= pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False)
         if self.style == "words":
-            pieces = pc.ascii_split_whitespace(texts)
+            pieces = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts))
         else:
-            whole = pc.match_substring_regex(texts, BESIDE_BLANK).to_numpy(zero_copy_only=False)
+            whole |= pc.match_substring_regex(texts, BESIDE_BLANK).to_numpy(zero_copy_only=False)
             pieces = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         bounds = pieces.offsets.to_numpy().astype(np.int64)
         coded = pieces.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
@@ -123,6 +130,11 @@ class Encoder:
         index = coded.indices.to_numpy().astype(np.int64)
         if self.style == "words":
             flat, sizes = self._table(coded.dictionary)
+            at = np.flatnonzero(whole)
+            if len(at):
+                own_flat, own_sizes = self._encode(texts.take(pa.array(at)).to_pylist())
+                index[bounds[at]] = len(sizes) + np.arange(len(at))
+                flat, sizes = np.concatenate((flat, own_flat)), np.concatenate((sizes, own_sizes))
         else:
             # A text's first piece has no blank before it. An empty later piece is a blank at the text's end.
             heads = coded.dictionary.take(pa.array(index[bounds[:-1]])).to_pylist()

@@ -217,6 +217,24 @@ def test_distance(spark):
     assert row[0] == pytest.approx(math.sqrt((part(p) + part(q)) / 2))
 
 
+@pytest.mark.parametrize("name, style", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_added_tokens(name, style):
+    """As the plain library encodes them, in texts with each added token."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from alertloom.llm.encoder import Encoder
+
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in added
+    some = ["end {} go", "{}", "{}{} x{}y", "A b.{}. C,\n{}\tz", " {} ", "{} " + TEXTS[5]]
+    texts = [s.replace("{}", form) for s in some for t in added for form in (t, t.upper(), t[:-1])] + [TEXTS[9], "", None, "Plain text."]
+    ids, bounds = Encoder(tokenizer_path(name), style).batch(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert list(ids[bounds[k] : bounds[k + 1]]) == plain.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_arrow_files(spark, docs, nothing):
     manifest = arrow_files.write(docs, shared_folder(spark), tokenizer_path("word_bpe_49k.json"), shards=4)
     got = sorted(rows_of(arrow_files.read(manifest)), key=lambda r: r.start)
