@@ -328,9 +328,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The least document of each component, with all columns; rows that repeat its doc_id stay with it."""
-    first = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    first = near_duplicates(docs, shingle).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(first, F.col("__kept").eqNullSafe(docs["doc_id"].cast("long")), "left_semi")
 
 

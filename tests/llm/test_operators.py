@@ -453,6 +453,21 @@ def test_repeated_spans(spark):
     assert len(by_paragraph) < len(want) // 20
 
 
+def test_pipeline_near_duplicates(spark):
+    """One word of 40 is new: 33 of 41 four-word shingles are common, but only 31 of 41 five-word ones; of 60 words 51 of 61."""
+    import corpus_pipeline
+
+    rows = []
+    for i, n in ((0, 40), (2, 60)):
+        words = [f"w{i}x{k}" for k in range(n)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words[: n // 2], "new", *words[n // 2 + 1 :]]))]
+    for (_, a), (_, b), size, alike in ((*rows[:2], 4, True), (*rows[:2], 5, False), (*rows[2:], 5, True)):
+        x, y = shingled(a, size), shingled(b, size)
+        assert (100 * len(x & y) >= 80 * len(x | y)) == alike
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in rows_of(kept)) == [0, 1, 2]
+
+
 def test_pipeline(spark, docs, sf):
     import corpus_pipeline
 
