@@ -4,16 +4,21 @@ An alert joins the first group of its address pair whose signature is similar en
 latest member is at most the window away; groups form in input order (``seq``). Done literally
 that is one sequential loop per address pair, and one pair may hold a third of all rows. So:
 
-1. Rows shrink to *cells*: one row per (pair, signature, quarter window), combined before the
-   shuffle. Everything below works on cells, whose number follows the time span, not the rows.
-2. Where a pair is silent for longer than the window no group can span the silence, in any input
-   order. These *islands* are independent.
-3. Cells of one signature without such a gap form a *session*. When input order follows time up
+1. Signatures fall into *blocks* of similar ones (``operators/signatures.py``); no group spans two.
+   A pair's rows are dealt out by block, and every step below looks at one block of one pair.
+2. Rows shrink to *cells*: one row per (pair, signature, small part of the window), combined before
+   the shuffle. The rest works on cells, whose number follows the time span, not the rows.
+3. Where a block of a pair is silent for longer than the window no group can span the silence, in
+   any input order. These *islands* are independent.
+4. Cells of one signature without such a gap form a *session*. When input order follows time up
    to a lateness L, all rows of a session land in one group, provided no gap that matters lies
-   within L of the window length. Then groups form over sessions instead of rows.
-4. An island with one signature needs no more: a group is a session. Islands with several
+   within L of the window length. Then groups form over sessions instead of rows. L is read off the
+   cells' first and last times and sequence numbers, like a zone map: rows of a cell are late by its
+   width at most, rows of different cells by what their bounds allow. No row is sorted for that.
+   Islands where this bound is too coarse have their lateness measured row by row, and only they.
+5. An island with one signature needs no more: a group is a session. Islands with several
    signatures stream their sessions, in order, through a small grouping loop.
-5. Only signatures for which step 3 cannot be shown to hold go row by row, and only with the
+6. Only signatures for which step 4 cannot be shown to hold go row by row, and only with the
    signatures of the same island they can be mixed up with.
 """
 
@@ -30,10 +35,15 @@ from alertloom.config import TriageConfig
 from alertloom.functions.settle import settle
 from alertloom.functions.similarity import SignatureIndex, ratio_bound, signature_ratio
 from alertloom.functions.timestamps import NO_TIME, parse_timestamp
-from alertloom.operators.materialize import materialize
+from alertloom.operators.materialize import staged
+from alertloom.operators.signatures import blocks
 from alertloom.operators.skew import lookup_join
 
 PAIR = ["src_key", "dest_key", "zone"]
+# What is grouped apart from everything else.
+UNIT = [*PAIR, "block"]
+# Cells to a window.
+CELLS = 64
 
 
 def _key(name: str) -> Column:
@@ -42,7 +52,7 @@ def _key(name: str) -> Column:
 
 
 def _cell_micros(cfg: TriageConfig) -> int:
-    return max(1, cfg.window_micros // 4)
+    return max(1, cfg.window_micros // CELLS)
 
 
 def with_event_time(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
@@ -102,14 +112,40 @@ def gap_islands(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
 # --- sessions ----------------------------------------------------------------------------
 
 
+def _in_blocks(rows: DataFrame, cfg: TriageConfig, fuzzy: bool) -> DataFrame:
+    """The rows with their signature's block: a number that all signatures of a block have, and few others."""
+    if not fuzzy:
+        return rows.withColumn("block", F.xxhash64("signature"))
+    known = blocks(rows.select("signature").distinct(), cfg)
+    if known is None:
+        return rows.withColumn("block", F.xxhash64("signature"))
+    known = known.select("signature", F.xxhash64("block").alias("block"))
+    return rows.join(known, "signature", "left").withColumn("block", F.coalesce("block", F.xxhash64("signature")))
+
+
+def _gathered(by_time: bool) -> list[Column]:
+    return [
+        F.min(F.struct("us", "seq") if by_time else F.struct("seq", "us")).alias("first"),
+        F.min("us").alias("min_us"),
+        F.max("us").alias("max_us"),
+        F.max("seq").alias("max_seq"),
+        F.count("*").alias("n"),
+        F.min("stamp").alias("first_seen"),
+        F.max("stamp").alias("last_seen"),
+    ]
+
+
 def _cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """One row per (pair, signature, cell), with the pair's lateness inside the cell.
+    """One row per (unit, signature, cell)."""
+    return rows.groupBy(*UNIT, "signature", "cell").agg(*_gathered(cfg.dedup_order == "time"))
+
+
+def _measured_cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """The same with ``late``: how far a row of the cell lies behind the latest time its unit has shown in it before.
 
-    Lateness is how far a row lies behind the latest time its pair has shown before. In input
-    order it is measured in blocks of ``block_rows`` sequence numbers, so that a hot cell is
-    spread over many tasks, and carried from block to block by their bounds.
+    In input order it is measured in stretches of ``block_rows`` sequence numbers, so that a hot
+    cell is spread over many tasks, and carried from one to the next by their bounds.
     """
-    by_time = cfg.dedup_order == "time"
     combine = [
         F.min("first").alias("first"),
         F.min("min_us").alias("min_us"),
@@ -120,53 +156,48 @@ def _cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
         F.max("last_seen").alias("last_seen"),
         F.max("late").alias("late"),
     ]
-    gather = [
-        F.min(F.struct("us", "seq") if by_time else F.struct("seq", "us")).alias("first"),
-        F.min("us").alias("min_us"),
-        F.max("us").alias("max_us"),
-        F.max("seq").alias("max_seq"),
-        F.count("*").alias("n"),
-        F.min("stamp").alias("first_seen"),
-        F.max("stamp").alias("last_seen"),
-    ]
-    if by_time:
-        nothing_late = F.lit(0).cast("bigint").alias("late")
-        return rows.groupBy(*PAIR, "signature", "cell").agg(*gather, nothing_late)
-    block = [*PAIR, "cell", "block"]
-    before = Window.partitionBy(*block).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        rows.withColumn("block", (F.col("seq") / cfg.block_rows).cast("bigint"))
+    stretch = [*UNIT, "cell", "stretch"]
+    before = Window.partitionBy(*stretch).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        rows.withColumn("stretch", (F.col("seq") / cfg.block_rows).cast("bigint"))
         .withColumn("late", F.max("us").over(before) - F.col("us"))
-        .groupBy(*block, "signature")
-        .agg(*gather, F.max("late").alias("late"))
+        .groupBy(*stretch, "signature")
+        .agg(*_gathered(False), F.max("late").alias("late"))
     )
-    earlier = Window.partitionBy(*PAIR, "cell").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*UNIT, "cell").orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
     lag_behind = F.max("max_us").over(earlier) - F.col("min_us")
     return (
-        blocks.withColumn("late", F.greatest("late", lag_behind, F.lit(0).cast("bigint")))
-        .groupBy(*PAIR, "cell", "signature")
+        parts.withColumn("late", F.greatest("late", lag_behind, F.lit(0).cast("bigint")))
+        .groupBy(*UNIT, "cell", "signature")
         .agg(*combine)
     )
 
 
-def _session_cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
+def _session_cells(cells: DataFrame, cfg: TriageConfig) -> DataFrame:
     """The cells, each with its island, its session and whether that session can be trusted.
 
     ``island`` is the number of its first cell. ``session`` is the sequence number of the
-    session's first row, unique over all sessions. Every step below is partitioned by pair or
+    session's first row, unique over all sessions. Every step below is partitioned by unit or
     finer, so the cells are shuffled once more in all.
     """
     window = F.lit(cfg.window_micros)
-    in_time = Window.partitionBy(*PAIR).orderBy("cell")
+    in_time = Window.partitionBy(*UNIT).orderBy("cell")
     this_cell = in_time.rangeBetween(0, 0)
     past = in_time.rangeBetween(Window.unboundedPreceding, -1)
     up_to_here = in_time.rangeBetween(Window.unboundedPreceding, 0)
     silence = F.min("min_us").over(this_cell) - F.max("max_us").over(past)
-    df = _cells(rows, cfg).withColumn("silence", silence)
+    if cfg.dedup_order == "time":
+        df = cells.withColumn("late", F.lit(0).cast("bigint"))
+    elif "late" in cells.columns:
+        df = cells
+    else:
+        # Not measured: no more than the cell is wide.
+        df = cells.withColumn("late", F.max("max_us").over(this_cell) - F.min("min_us").over(this_cell))
+    df = df.withColumn("silence", silence)
     starts = F.when(F.col("silence").isNull() | (F.col("silence") > window), F.col("cell"))
     df = df.withColumn("island", F.max(starts).over(up_to_here)).drop("silence")
 
-    island = Window.partitionBy(*PAIR, "island")
+    island = Window.partitionBy(*UNIT, "island")
     if cfg.dedup_order == "time":
         df = df.withColumn("island_late", F.col("late"))
     else:
@@ -192,7 +223,7 @@ def _session_cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
             "event", "top_cell", "top_us"
         )
 
-    own = Window.partitionBy(*PAIR, "island", "signature").orderBy("cell")
+    own = Window.partitionBy(*UNIT, "island", "signature").orderBy("cell")
     late = F.col("island_late")
     near_edge = (F.col("gap") > window - late) & (F.col("gap") <= window + late)
     df = (
@@ -204,7 +235,7 @@ def _session_cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
         # A gap too close to the window length for the lateness at hand, or lateness out of bounds.
         .withColumn("unsure", (late > window / 2) | F.coalesce(near_edge, F.lit(False)))
     )
-    session = Window.partitionBy(*PAIR, "island", "signature", "session_no")
+    session = Window.partitionBy(*UNIT, "island", "signature", "session_no")
     return (
         df.withColumn("session", F.min("first").over(session)["seq"])
         .withColumn("alone", F.min("signature").over(island) == F.max("signature").over(island))
@@ -213,7 +244,7 @@ def _session_cells(rows: DataFrame, cfg: TriageConfig) -> DataFrame:
 
 
 def _sessions(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(*PAIR, "island", "signature", "session").agg(
+    return cells.groupBy(*UNIT, "island", "signature", "session").agg(
         F.min("first").getField("us").alias("first_us"),
         F.min("min_us").alias("start"),
         F.max("max_us").alias("end"),
@@ -224,8 +255,8 @@ def _sessions(cells: DataFrame) -> DataFrame:
 
 # --- grouping loops (inside tasks) --------------------------------------------------------
 
-_STREAM_KEY = [*PAIR, "island"]
-_SESSION_OUT = "src_key string, dest_key string, zone int, island bigint, signature string, session bigint, group_seq bigint, part bigint"
+_STREAM_KEY = [*UNIT, "island"]
+_SESSION_OUT = "src_key string, dest_key string, zone int, block bigint, island bigint, signature string, session bigint, group_seq bigint, part bigint"
 
 
 def _runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -431,10 +462,8 @@ class Dedup:
 
     def members(self) -> DataFrame:
         """(group_seq, seq, id) of every alert, whole however large a group is."""
-        rows = self.rows.select("seq", "id", *PAIR, "signature", "cell")
-        placed = lookup_join(
-            rows, self.cell_groups, [*PAIR, "signature", "cell"], self.cfg, how="inner"
-        ).select("group_seq", "seq", "id")
+        rows = self.rows.select("seq", "id", *UNIT, "signature", "cell")
+        placed = rows.join(self.cell_groups, [*UNIT, "signature", "cell"]).select("group_seq", "seq", "id")
         if self.row_groups is not None:
             placed = placed.unionByName(self.row_groups.select("group_seq", "seq", "id"))
         return placed
@@ -456,25 +485,15 @@ class Dedup:
         stats = self.groups.select(
             F.col("group_seq").alias("seq"), "bucket_seq", "occurrence_count", "first_seen", "last_seen"
         )
-        kept = [c for c in self.alerts.columns if c not in stats.columns or c == "seq"]
+        kept = [c for c in self.alerts.columns if c not in [*stats.columns, "ts_us", "ts_zone"] or c == "seq"]
         return self.alerts.select(*kept).join(stats, "seq")
 
 
-def dedup(alerts: DataFrame, cfg: TriageConfig, fuzzy: bool = True) -> Dedup:
-    """Group repeated alerts; ``seq`` must be unique.
-
-    ``fuzzy=False`` merges equal signatures only.
-    """
-    rows = _narrow(alerts, cfg)
-    cells = _session_cells(rows, cfg)
-    if not fuzzy:
-        # Without similarity every signature is on its own.
-        cells = cells.withColumn("alone", F.lit(True))
-    cells = materialize(cells)
+def _decided(cells: DataFrame, cfg: TriageConfig) -> tuple[DataFrame, DataFrame | None]:
+    """(sessions with their group, signatures with a part of an island whose rows have to decide or None)."""
     todo = cells.agg(
         F.count_if(~F.col("alone")).alias("mixed"), F.count_if(F.col("alone") & F.col("unsure")).alias("unsure")
     ).first()
-
     signature_key = [*_STREAM_KEY, "signature"]
     alone = cells.filter("alone")
     # A signature on its own: a group is a session, or the rows decide.
@@ -486,7 +505,7 @@ def dedup(alerts: DataFrame, cfg: TriageConfig, fuzzy: bool = True) -> Dedup:
         )
     if todo.mixed:
         order = "start" if cfg.dedup_order == "time" else "session"
-        looped = materialize(
+        looped = staged(
             _sessions(cells.filter("not alone"))
             .repartition(*[F.col(c) for c in _STREAM_KEY])
             .sortWithinPartitions(*_STREAM_KEY, order, "session")
@@ -496,22 +515,45 @@ def dedup(alerts: DataFrame, cfg: TriageConfig, fuzzy: bool = True) -> Dedup:
         mixed = looped.filter("part is not null").select(*signature_key, "part")
         if not mixed.isEmpty():
             doubtful = mixed if doubtful is None else doubtful.unionByName(mixed)
+    return decided, doubtful
+
+
+def dedup(alerts: DataFrame, cfg: TriageConfig, fuzzy: bool = True) -> Dedup:
+    """Group repeated alerts; ``seq`` must be unique.
+
+    ``fuzzy=False`` merges equal signatures only. Alerts that come with ``ts_us`` and ``ts_zone``
+    are read several times as they are (a written table is meant); others are parsed once first.
+    """
+    rows = _narrow(alerts, cfg)
+    rows = _in_blocks(rows if "ts_us" in alerts.columns else staged(rows), cfg, fuzzy)
+
+    def placed(cells: DataFrame) -> DataFrame:
+        cells = _session_cells(cells, cfg)
+        # Without similarity every signature is on its own.
+        return staged(cells if fuzzy else cells.withColumn("alone", F.lit(True)))
+
+    cells = placed(_cells(rows, cfg))
+    decided, doubtful = _decided(cells, cfg)
+    if doubtful is not None and cfg.dedup_order != "time":
+        # Bounds leave doubts in these islands: measure how late their rows are.
+        coarse = staged(doubtful.select(*_STREAM_KEY).distinct())
+        own = cells.join(coarse, _STREAM_KEY, "left_semi").select(*UNIT, "cell").distinct()
+        measured = placed(_measured_cells(rows.join(own, [*UNIT, "cell"], "left_semi"), cfg))
+        again, doubtful = _decided(measured, cfg)
+        decided = decided.join(coarse, _STREAM_KEY, "left_anti").unionByName(again)
+        cells = cells.join(coarse, _STREAM_KEY, "left_anti").unionByName(measured)
+    signature_key = [*_STREAM_KEY, "signature"]
 
     row_groups = None
     if doubtful is not None:
         decided = decided.join(doubtful.select(*signature_key), signature_key, "left_anti")
         threshold = cfg.dedup_fuzzy_threshold if fuzzy else 2.0
         doubtful_cells = cells.join(doubtful, signature_key).select(
-            *PAIR, "signature", "cell", "island", "part"
+            *UNIT, "signature", "cell", "island", "part"
         )
-        row_groups = materialize(
-            lookup_join(
-                rows.select("seq", "id", *PAIR, "signature", "cell", "us", "stamp"),
-                doubtful_cells,
-                [*PAIR, "signature", "cell"],
-                cfg,
-                how="inner",
-            )
+        row_groups = staged(
+            rows.select("seq", "id", *UNIT, "signature", "cell", "us", "stamp")
+            .join(doubtful_cells, [*UNIT, "signature", "cell"])
             .select("seq", "id", *_STREAM_KEY, "part", "signature", "us", "stamp")
             .repartition(*[F.col(c) for c in [*_STREAM_KEY, "part"]])
             .sortWithinPartitions(*_STREAM_KEY, "part", "seq")
@@ -538,7 +580,7 @@ def dedup(alerts: DataFrame, cfg: TriageConfig, fuzzy: bool = True) -> Dedup:
     )
     return Dedup(
         groups=groups,
-        cell_groups=cell_groups.select(*PAIR, "signature", "cell", "group_seq"),
+        cell_groups=cell_groups.select(*UNIT, "signature", "cell", "group_seq"),
         row_groups=row_groups,
         rows=rows,
         alerts=alerts,

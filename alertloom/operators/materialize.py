@@ -1,8 +1,9 @@
-"""Cutting lineage with reliable checkpoints."""
+"""Cutting lineage with reliable checkpoints and written tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Computed once, written to the checkpoint folder: survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Computed once and written as Parquet to the checkpoint folder. Later reads take only the columns they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

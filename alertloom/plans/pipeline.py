@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertloom.config import TriageConfig
 from alertloom.operators import attack, intel, report, score
-from alertloom.operators.dedup import dedup, without_dedup
+from alertloom.operators.dedup import dedup, with_event_time, without_dedup
 from alertloom.operators.ioc import ioc_table, with_extraction
-from alertloom.operators.materialize import materialize
+from alertloom.operators.materialize import staged
 from alertloom.operators.normalize import normalize
 from alertloom.operators.validate import project_alert, with_reason
 from alertloom.sources.alerts import read_alert_array
@@ -62,14 +62,17 @@ def run(
 
     Groups form before tagging and enrichment: neither changes what dedup reads, and only a
     group's first alert is tagged, enriched and scored. So both run on the survivors.
+
+    Records are parsed once and written with their times. Grouping reads the narrow columns of that
+    table; whole alerts are read again only where they lead a group.
     """
-    checked = with_reason(parsed)
-    alerts = checked.filter("reason is null").select("seq", *[f.name for f in PARSED.fields])
-    rejected = checked.filter("reason is not null")
+    checked = staged(with_event_time(with_reason(parsed), cfg))
+    alerts = checked.filter("reason is null").select("seq", *[f.name for f in PARSED.fields], "ts_us", "ts_zone")
+    rejected = checked.filter("reason is not null").drop("ts_us", "ts_zone")
 
     grouped = dedup(alerts, cfg)
-    # Read by every output below; parsed and joined once.
-    first = materialize(attack.tag(grouped.representatives(), cfg, index))
+    # Read by every output below.
+    first = staged(attack.tag(grouped.representatives(), cfg, index))
     iocs = ioc_table(first)
     if reputations is None:
         known = intel.no_reputations(parsed.sparkSession)
