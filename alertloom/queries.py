@@ -717,35 +717,36 @@ def triage_listing(spark, sf):
 
 @query
 def stream_normalize(spark, sf):
+    """Numbers and ids are hashes of places: all different, equal ones for no two lines."""
     path = fx.write_files(fx.blobs(spark, sf, "lines"), fx.scratch_path(spark))
-    return jobs.batch_of(jobs.normalized_stream(jobs.read_lines(spark, path)), fx.scratch_path(spark)).select(
-        "timestamp", "source", "severity", "src_ip", "dest_ip", "message"
+    rows = jobs.batch_of(jobs.normalized_stream(jobs.read_lines(spark, path)), fx.scratch_path(spark))
+    keyed = rows.groupBy("timestamp", "source", "severity", "src_ip", "dest_ip", "message").agg(
+        F.count_distinct("seq").alias("n_seq"), F.count_distinct("id").alias("n_id")
     )
+    return keyed
 
 
 @query
 def stream_dedup_exact(spark, sf):
-    path = _alert_files(spark, sf)
-    stream = jobs.read_alerts(spark, path)
-    groups = jobs.batch_of(jobs.exact_dedup_stream(stream, CFG, delay="10 minutes"), fx.scratch_path(spark))
-    return groups.select("src_ip", "dest_ip", "signature", "occurrence_count", "first_seen", "last_seen")
+    stream = jobs.exact_dedup_stream(jobs.read_alerts(spark, _alert_files(spark, sf)), CFG, delay="10 minutes")
+    groups = jobs.all_groups(stream, fx.scratch_path(spark))
+    return groups.select("group_seq", "src_ip", "dest_ip", "signature", "occurrence_count", "first_seen", "last_seen")
 
 
 @query
 def stream_dedup_fuzzy(spark, sf):
-    path = _alert_files(spark, sf)
-    stream = jobs.read_alerts(spark, path)
-    groups = jobs.batch_of(jobs.fuzzy_dedup_stream(stream, CFG, delay="10 minutes"), fx.scratch_path(spark))
+    stream = jobs.fuzzy_dedup_stream(jobs.read_alerts(spark, _alert_files(spark, sf)), CFG, delay="10 minutes")
+    groups = jobs.all_groups(stream, fx.scratch_path(spark))
     return groups.select("group_seq", "occurrence_count", "first_seen", "last_seen")
 
 
 @query
 def stream_reputation_join(spark, sf):
     path = _alert_files(spark, sf)
-    snapshot = fx.scratch_path(spark)
+    snapshot, folder = fx.scratch_path(spark), fx.scratch_path(spark)
     intel.write_snapshot(_reputations(spark, sf), snapshot)
-    out = jobs.enrich_stream(jobs.read_alerts(spark, path), snapshot, CFG, fx.scratch_path(spark), as_of=fx.as_of())
-    return spark.read.parquet(out).select("seq", "slot", "ioc", "verdict", "score")
+    jobs.enrich_stream(jobs.read_alerts(spark, path), snapshot, CFG, folder, as_of=fx.as_of()).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("seq", "slot", "ioc", "verdict", "score")
 
 
 def _alert_files(spark, sf):

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from alertloom.functions.text import is_blank, lines, strip
 
 FILE_STRIDE = 1 << 32
-# The table of file splits is broadcast up to this many rows (about 100 bytes each).
-BROADCAST_SPLITS = 2_000_000
+# Bits of a line's place in its task, below the number of its split.
+ROW_BITS = 33
+# A line scan names its files by a broadcast table of about 100 bytes each. Spark's own listing of
+# them, which the driver holds anyway, is larger.
+MOST_FILES = 2_000_000
 
 
 def _file_numbers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -31,46 +34,62 @@ def read_blobs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return blobs.join(_file_numbers(spark, paths), "file").select("file", "file_no", "blob")
 
 
-def _most_splits(spark: SparkSession, paths: str | list[str]) -> int:
-    """An upper bound on the number of file splits, from file lengths and the reader's settings."""
+def _split_bytes(spark: SparkSession) -> int:
+    """What every file split but a file's last is at least long, by the reader's settings."""
     conf = spark._jsparkSession.sessionState().conf()
-    smallest = max(1, min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
-    lengths = spark.read.format("binaryFile").load(paths).select("length")
-    bound = lengths.agg(F.sum(F.floor(F.col("length") / smallest) + 1)).first()[0]
-    return bound or 0
+    return max(1, min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
+
+
+def _first_splits(spark: SparkSession, paths: str | list[str], unit: int) -> DataFrame:
+    """(file, first_split): numbers of splits so far, in name order, if each were ``unit`` bytes."""
+    files = spark.read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("file"), (F.floor(F.col("length") / unit) + 1).alias("splits")
+    )
+    size = files.agg(F.count("*").alias("files"), F.sum("splits").alias("splits")).first()
+    if size.files > MOST_FILES or (size.splits or 0) >> (63 - ROW_BITS):
+        raise ValueError(f"{size.files} files in {size.splits} splits are too many for one scan; merge small files first")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file", F.coalesce(F.sum("splits").over(before), F.lit(0)).alias("first_split"))
+
+
+def _row_in_task() -> Column:
+    """Grows with the rows of a task, hence with those of each file split."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
 
 
 def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per non-blank line of splittable logs: (seq, file, record).
 
-    Lines are numbered across files in two passes, like a distributed zipWithIndex: count
-    the lines of each file split, then add the split's offset to the position inside it.
+    A line's ``seq`` is the number of its file split, then its place among the rows its task reads: a
+    task reads a split from front to back. Splits are numbered from the files' lengths and
+    where they start, so the text is read once and never moved. Numbers grow with (file, position), with gaps.
+    They stay the same as long as the reader's split settings and the number of cores do.
     """
+    unit = _split_bytes(spark)
     text = spark.read.text(paths).select(
         F.col("value").alias("record"),
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row_id"),
+        F.floor(F.col("_metadata.file_block_start") / unit).alias("split"),
+        _row_in_task().alias("row"),
     )
-    splits = text.groupBy("file", "block_start").agg(
-        F.min("row_id").alias("first_id"), F.count("*").alias("n")
-    )
-    before = Window.orderBy("file", "block_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        "file",
-        "block_start",
-        (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_id")).alias("shift"),
-    )
-    # Without the broadcast the raw text itself would be shuffled.
-    if _most_splits(spark, paths) <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
+    seq = F.shiftleft(F.col("first_split") + F.col("split"), ROW_BITS).bitwiseOR(F.col("row"))
     return (
-        text.join(splits, ["file", "block_start"])
-        .select((F.col("row_id") + F.col("shift")).alias("seq"), "file", strip(F.col("record")).alias("record"))
+        text.join(F.broadcast(_first_splits(spark, paths, unit)), "file")
+        .select(seq.alias("seq"), "file", strip(F.col("record")).alias("record"))
         .filter(~is_blank(F.col("record")))
     )
 
 
+def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files as they arrive. A stream has no order of files, so ``seq`` is a hash of the
+    line's place (file, split, row): equal lines stay apart, and a repeated batch gives the same numbers."""
+    lines = spark.readStream.option("recursiveFileLookup", "true").text(path)
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), _row_in_task())
+    return lines.select(
+        place.alias("seq"), F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("record")
+    ).filter(~is_blank(F.col("record")))
+
+
 def reject_empty(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blobs with content, rejects): an input without any text is an error row."""
     blank = is_blank(F.col("blob"))

@@ -1,38 +1,37 @@
 """Structured Streaming jobs: normalise, merge repeats, attach reputations.
 
-The stateless part is the batch code unchanged. Merging keeps one open group per address pair and
-signature until event time has moved past its window; rows later than the watermark are dropped.
-Rows without a usable time cannot take part in event-time state and pass by the merging jobs.
+The stateless part is the batch code unchanged. Merging keeps the open groups of an address pair until
+event time has moved past their window; rows later than the watermark are dropped. Alerts without a
+usable time merge with each other, as in the batch. Groups come out once they are closed, and those
+still open can be read from the state at any time, so nothing is lost when the input ends.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from alertloom.config import TriageConfig
 from alertloom.functions.similarity import SignatureIndex
+from alertloom.functions.timestamps import NO_TIME
 from alertloom.operators import attack, intel
 from alertloom.operators.dedup import _key, with_event_time
 from alertloom.operators.ioc import ioc_table, with_extraction
 from alertloom.operators.normalize import normalize
 from alertloom.operators.validate import valid_alerts
 from alertloom.schemas import PARSED
-from alertloom.sources.ingest import route_lines
-from alertloom.functions.text import is_blank, strip
+from alertloom.sources.ingest import route_lines, stream_log_lines
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_lines(spark: SparkSession, path: str, jsonl: bool = False) -> DataFrame:
-    """(seq, file, kind, record) of log files as they arrive. ``seq`` is a hash: a stream has no
-    global line number."""
-    lines = spark.readStream.option("recursiveFileLookup", "true").text(path)
-    rows = lines.select(
-        F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("record")
-    ).filter(~is_blank(F.col("record")))
-    return route_lines(rows.withColumn("seq", F.xxhash64("file", "record")), jsonl)
+    """(seq, file, kind, record) of log files as they arrive. ``seq`` tells lines apart but does not order
+    them; merging such a stream goes by event time (``dedup_order="time"``)."""
+    return route_lines(stream_log_lines(spark, path), jsonl)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -46,139 +45,194 @@ def normalized_stream(records: DataFrame) -> DataFrame:
     return with_extraction(attack.tag_with_rules(alerts))
 
 
-def _timed(alerts: DataFrame, cfg: TriageConfig, delay: str) -> DataFrame:
+def _keyed(alerts: DataFrame, cfg: TriageConfig, delay: str) -> DataFrame:
+    """What grouping reads. A null event time is never late and never moves the watermark."""
+    timed = with_event_time(alerts, cfg).withColumn("event_time", F.timestamp_micros("ts_us"))
+    return timed.withWatermark("event_time", delay).select(
+        "seq", "event_time",
+        F.coalesce("ts_us", F.lit(0).cast("bigint")).alias("us"),
+        F.when(F.col("ts_us").isNull(), F.lit(NO_TIME)).otherwise(F.col("ts_zone")).alias("zone"),
+        F.coalesce("signature", F.lit("")).alias("signature"),
+        F.when(F.col("timestamp") != "", F.col("timestamp")).alias("stamp"),
+        _key("src_ip").alias("src_key"), _key("dest_ip").alias("dest_key"),
+    )
+
+
+GROUP_OUT = (
+    "group_seq bigint, src_key string, dest_key string, zone int, signature string, "
+    "occurrence_count int, first_seen string, last_seen string"
+)
+_GROUP_STATE = "signature string, us bigint, n bigint, first_seen string, last_seen string"
+
+
+class OpenGroups(StatefulProcessor):
+    """The open groups of one address pair and zone class (and of one signature, where equal ones are merged only).
+
+    Each group is a row of its own in the state, by the number of its first alert; a micro-batch
+    writes back the rows it touched. A timer per changed group closes what event time has left behind.
+    Groups without a time have no timer: like in a batch, they stay open as long as the stream lives.
+    """
+
+    def __init__(self, threshold: float, window: int, by_time: bool) -> None:
+        self.threshold, self.window, self.by_time = threshold, window, by_time
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.groups = handle.getMapState("groups", "seq bigint", _GROUP_STATE)
+
+    def _open(self) -> list[list]:
+        """[seq, signature, latest time, count, first stamp, last stamp] in order of creation."""
+        return sorted([k[0], *v] for k, v in self.groups.iterator())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        order = ["us", "seq"] if self.by_time else ["seq"]
+        batch = pd.concat(list(rows)).sort_values(order, kind="stable")
+        groups = self._open()
+        timeless = key[2] == NO_TIME
+        index = SignatureIndex(self.threshold)
+        for g in groups:
+            index.number(g[1])
+        accepting: dict[str, tuple[int, set[str]]] = {}
+        touched: dict[int, list] = {}
+        for seq, us, signature, stamp in zip(batch["seq"].tolist(), batch["us"].tolist(), batch["signature"], batch["stamp"]):
+            stamp = None if pd.isna(stamp) else stamp
+            number = index.number(signature)
+            known, fits = accepting.get(signature, (0, set()))
+            if known < len(index.texts):
+                fits = fits | {index.texts[k] for k in index.matching(number, known)}
+                accepting[signature] = (len(index.texts), fits)
+            for g in groups:
+                if g[1] in fits and abs(g[2] - us) <= self.window:
+                    g[2], g[3] = max(g[2], us), g[3] + 1
+                    if stamp is not None:
+                        g[4] = stamp if g[4] is None else min(g[4], stamp)
+                        g[5] = stamp if g[5] is None else max(g[5], stamp)
+                    break
+            else:
+                g = [seq, signature, us, 1, stamp, stamp]
+                groups.append(g)
+            touched[g[0]] = g
+        for g in touched.values():
+            self.groups.updateValue((g[0],), tuple(g[1:]))
+        if not timeless:
+            now = timerValues.getCurrentWatermarkInMs()
+            for due in {self._due(g) for g in touched.values()}:
+                self.handle.registerTimer(max(due, now + 1))
+        return iter(())
+
+    def _due(self, group: list) -> int:
+        """Milliseconds from which no alert can join any more."""
+        return (group[2] + self.window) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        closed = [g for g in self._open() if self._due(g) <= now]
+        for g in closed:
+            self.groups.removeKey((g[0],))
+        if closed:
+            rows = [(g[0], key[0], key[1], key[2], g[1], g[3], g[4], g[5]) for g in closed]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def _merged(alerts: DataFrame, cfg: TriageConfig, delay: str, threshold: float, extra: list[str]) -> DataFrame:
     return (
-        with_event_time(alerts, cfg)
-        .filter("ts_us is not null")
-        .withColumn("event_time", F.timestamp_micros("ts_us"))
-        .withWatermark("event_time", delay)
+        _keyed(alerts, cfg, delay)
+        .groupBy("src_key", "dest_key", "zone", *extra)
+        .transformWithStateInPandas(
+            statefulProcessor=OpenGroups(threshold, cfg.window_micros, cfg.dedup_order == "time"),
+            outputStructType=GROUP_OUT,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )
 
 
 def exact_dedup_stream(alerts: DataFrame, cfg: TriageConfig, delay: str) -> DataFrame:
-    """Equal signatures of an address pair, merged while gaps stay within the window. A group comes
-    out once it is closed."""
-    # A session ends at its last event plus the gap, exclusive; one microsecond more makes it inclusive.
-    gap = f"{cfg.window_micros + 1} microseconds"
+    """Equal signatures of an address pair, merged as in the batch. A group comes out once it is
+    closed; ``open_groups`` has the others."""
+    return _merged(alerts, cfg, delay, 2.0, ["signature"])
+
+
+def fuzzy_dedup_stream(alerts: DataFrame, cfg: TriageConfig, delay: str) -> DataFrame:
+    """Similar signatures of an address pair, merged as in the batch."""
+    return _merged(alerts, cfg, delay, cfg.dedup_fuzzy_threshold, [])
+
+
+def open_groups(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The groups that a merging stream still holds, read from its state; the stream may go on later."""
+    state = spark.read.format("statestore").option("stateVarName", "groups").load(checkpoint)
+    return state.select(
+        F.col("user_map_key.seq").alias("group_seq"), F.col("key.src_key").alias("src_key"),
+        F.col("key.dest_key").alias("dest_key"), F.col("key.zone").alias("zone"),
+        F.col("user_map_value.signature").alias("signature"),
+        F.col("user_map_value.n").cast("int").alias("occurrence_count"),
+        F.col("user_map_value.first_seen").alias("first_seen"), F.col("user_map_value.last_seen").alias("last_seen"),
+    )
+
+
+def start(stream: DataFrame, folder: str, **trigger):
+    """The running query that appends a stream's rows to ``folder``/out. ``trigger`` as in ``trigger()``; by
+    default it takes what there is and ends. Started again on the same folder it goes on where it stopped."""
+    # Merging keeps a row per group, which only this store does.
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
-        _timed(alerts, cfg, delay)
-        .groupBy(F.session_window("event_time", gap), "src_ip", "dest_ip", "ts_zone", "signature")
-        .agg(
-            F.count("*").cast("int").alias("occurrence_count"),
-            F.min("timestamp").alias("first_seen"),
-            F.max("timestamp").alias("last_seen"),
-        )
+        stream.writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("append")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
 
 
-_GROUP_OUT = "group_seq bigint, signature string, occurrence_count int, first_seen string, last_seen string"
-
-
-def _fuzzy_state(threshold: float, window: int):
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        # Open groups in order of creation:
-        # [signature, zone, latest time, first seq, count, first stamp, last stamp].
-        groups = json.loads(state.get[0]) if state.exists else []
-        if not state.hasTimedOut:
-            rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-            index = SignatureIndex(threshold)
-            number_of = {g[0]: index.number(g[0]) for g in groups}
-            accepting: dict[str, tuple[int, set[int]]] = {}
-            for seq, us, zone, signature, stamp in zip(
-                rows["seq"].tolist(), rows["ts_us"].tolist(), rows["ts_zone"].tolist(), rows["signature"], rows["timestamp"]
-            ):
-                number = number_of.setdefault(signature, index.number(signature))
-                known, fits = accepting.get(signature, (0, set()))
-                if known < len(index.texts):
-                    fits = fits | set(index.matching(number, known))
-                    accepting[signature] = (len(index.texts), fits)
-                for g in groups:
-                    if g[1] == zone and abs(g[2] - us) <= window and number_of[g[0]] in fits:
-                        g[2] = max(g[2], us)
-                        g[4] += 1
-                        g[5], g[6] = min(g[5], stamp), max(g[6], stamp)
-                        break
-                else:
-                    groups.append([signature, zone, us, seq, 1, stamp, stamp])
-        watermark = state.getCurrentWatermarkMs() * 1000
-        closed = [g for g in groups if g[2] + window < watermark]
-        still_open = [g for g in groups if g[2] + window >= watermark]
-        if still_open:
-            state.update((json.dumps(still_open),))
-            nearest = min(g[2] for g in still_open) + window
-            state.setTimeoutTimestamp(max(nearest, watermark) // 1000 + 1)
-        elif state.exists:
-            state.remove()
-        if closed:
-            yield pd.DataFrame(
-                [(g[3], g[0], g[4], g[5], g[6]) for g in closed],
-                columns=["group_seq", "signature", "occurrence_count", "first_seen", "last_seen"],
-            )
+def batch_of(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over everything there is and give its output as a table."""
+    start(stream, folder).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
-    return step
 
+def all_groups(stream: DataFrame, folder: str) -> DataFrame:
+    """The same for a merging stream, with the groups still open at the end."""
 
-def fuzzy_dedup_stream(alerts: DataFrame, cfg: TriageConfig, delay: str) -> DataFrame:
-    """Similar signatures of an address pair, merged as in the batch. State per pair is its open
-    groups; event-time timers close them."""
-    return (
-        _timed(alerts, cfg, delay)
-        .select(
-            "seq", "event_time", "ts_us", "ts_zone", "timestamp",
-            F.coalesce("signature", F.lit("")).alias("signature"),
-            _key("src_ip").alias("src_key"), _key("dest_ip").alias("dest_key"),
-        )
-        .groupBy("src_key", "dest_key")
-        .applyInPandasWithState(
-            _fuzzy_state(cfg.dedup_fuzzy_threshold, cfg.window_micros),
-            _GROUP_OUT,
-            "groups string",
-            "append",
-            "EventTimeTimeout",
-        )
+    def address(key: str) -> Column:
+        return F.when(F.col(key) != "", F.substring(key, 2, 2**31 - 1))
+
+    closed = batch_of(stream, folder).withColumn("closed", F.lit(True))
+    still_open = open_groups(stream.sparkSession, f"{folder}/checkpoint").withColumn("closed", F.lit(False))
+    return closed.unionByName(still_open).select(
+        "group_seq", address("src_key").alias("src_ip"), address("dest_key").alias("dest_ip"), "signature",
+        "occurrence_count", "first_seen", "last_seen", "closed",
     )
 
 
 def enrich_stream(
     alerts: DataFrame,
-    snapshot: str,
+    snapshot: str | Callable[[int], str],
     cfg: TriageConfig,
     folder: str,
     as_of: Column | None = None,
-) -> str:
-    """Attach reputations to alerts as they arrive and return the output folder.
+    **trigger,
+):
+    """The running query that attaches reputations to alerts as they arrive and writes ``folder``/out, a folder per micro-batch.
 
-    Each micro-batch reads the snapshot anew and takes what is fresh at that moment; a repeated
-    batch overwrites its own output.
+    ``snapshot`` is the path of the reputation table, or gives it by the number of the micro-batch; a
+    path is read anew each time. ``trigger`` as in ``trigger()``; by default the query takes what there is and ends. A
+    repeated micro-batch overwrites its own output.
     """
-    out = f"{folder}/out"
+    path_of = snapshot if callable(snapshot) else lambda batch_id: snapshot
 
     def attach(batch: DataFrame, batch_id: int) -> None:
         now = as_of if as_of is not None else F.current_timestamp()
-        known = intel.fresh(batch.sparkSession.read.parquet(snapshot), now, cfg)
+        known = intel.fresh(batch.sparkSession.read.parquet(path_of(batch_id)), now, cfg)
         results = intel.attach(ioc_table(batch), known, cfg)
-        results.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        results.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    query = (
+    return (
         alerts.writeStream.foreachBatch(attach)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return out
-
-
-def batch_of(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over everything there is and give its output as a table."""
-    flat = stream.drop("session_window") if "session_window" in stream.columns else stream
-    query = (
-        flat.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(flat.schema).parquet(f"{folder}/out")
