@@ -59,9 +59,8 @@ class TriageConfig:
     lenient_timestamps: bool = True
 
     # Physical bounds.
-    # A lookup table up to this many rows may be broadcast; beyond it the join is salted.
-    broadcast_row_limit: int = 200_000
-    # Replicas of a lookup table in a salted join, i.e. the tasks one hot key is spread over.
+    # A key with so many rows is hot: a join deals its rows out over this many tasks.
+    hot_key_rows: int = 1_000_000
     join_salts: int = 16
     # Rows per (key, sequence block) in ordered scans and per task in ordered grouping.
     block_rows: int = 500_000

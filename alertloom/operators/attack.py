@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertloom.config import TriageConfig
 from alertloom.functions.settle import settle
-from alertloom.operators.skew import fits_broadcast
+from alertloom.operators.skew import lookup_join
 from alertloom.schemas import TECHNIQUE
 
 # Keywords, technique id, technique, tactic.
@@ -133,7 +133,7 @@ def match_index(alerts: DataFrame, index: DataFrame, cfg: TriageConfig) -> DataF
     """(seq, mitre): one entry per technique sharing a word with the alert, by technique id.
 
     Words are made distinct inside the row before the explode, and only words found in the index
-    reach the shuffle. The index is broadcast when its counted size allows, else the join shuffles.
+    reach the last shuffles. Words that very many alerts share are dealt out.
     """
     words = alerts.select(
         "seq",
@@ -141,8 +141,7 @@ def match_index(alerts: DataFrame, index: DataFrame, cfg: TriageConfig) -> DataF
             F.array_distinct(F.regexp_extract_all(F.lower(haystack()), F.lit(WORD_PATTERN), F.lit(0)))
         ).alias("word"),
     )
-    lookup = F.broadcast(index) if fits_broadcast(index, cfg) else index
-    hits = words.join(lookup, "word")
+    hits = lookup_join(words, index, ["word"], cfg, how="inner")
     # One entry per technique id even where two catalogue objects share it.
     per_technique = hits.groupBy("seq", "technique_id").agg(
         F.min(F.struct("technique", "tactic")).alias("t")

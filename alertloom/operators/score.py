@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertloom.config import TriageConfig
 from alertloom.functions.settle import settle
 from alertloom.operators.attack import TECHNIQUE_LIST
-from alertloom.operators.skew import fits_broadcast, lookup_join
+from alertloom.operators.skew import lookup_join
 
 TIERS = ["P1", "P2", "P3", "P4"]
 
@@ -125,17 +125,13 @@ def with_asset_points(alerts: DataFrame, assets: DataFrame | None, cfg: TriageCo
     """Adds ``asset_points``: weights of source address, target address and sensor, summed."""
     if assets is None:
         return alerts.withColumn("asset_points", F.lit(0))
-    small = fits_broadcast(assets, cfg)
-    fields = ["src_ip", "dest_ip", "source"]
-    df = alerts
-    for f in fields:
-        weights = assets.filter("asset <> ''").select(F.col("asset").alias(f), F.col("weight").alias(f"_w_{f}"))
-        if small:
-            df = df.join(F.broadcast(weights), f, "left")
-        else:
-            df = lookup_join(df, weights, [f], cfg)
-    total = sum((F.coalesce(f"_w_{f}", F.lit(0)) for f in fields), F.lit(0))
-    return df.withColumn("asset_points", total).drop(*[f"_w_{f}" for f in fields])
+    fields = F.array(*[F.col(f) for f in ("src_ip", "dest_ip", "source")])
+    # An asset named twice counts twice.
+    named = alerts.select("seq", F.explode(F.filter(fields, lambda f: f.isNotNull() & (f != ""))).alias("asset"))
+    points = lookup_join(named, assets.select("asset", "weight"), ["asset"], cfg, how="inner").groupBy("seq").agg(
+        F.sum("weight").alias("asset_points")
+    )
+    return alerts.join(points, "seq", "left").withColumn("asset_points", F.coalesce("asset_points", F.lit(0)).cast("int"))
 
 
 def priority_score(cfg: TriageConfig) -> Column:

@@ -195,7 +195,31 @@ def _texts_by(pattern: str, delimiter: str, alias: str, order: str = "") -> str:
 
 GROUPS = "SELECT group_seq, bucket_seq, occurrence_count, first_seen, last_seen FROM g"
 TRIAGE_COLS = "id, priority_score, priority_tier, occurrence_count_ AS occurrence_count, first_seen, last_seen"
-CLOSED = "last_ts + INTERVAL 60 MINUTE < (SELECT max(ts) FROM a) - INTERVAL 10 MINUTE"
+# Input order that has little to do with time: a fold over each pair's and rule's alerts, whose state is the groups so far.
+UNORDERED = """
+o AS (
+  SELECT list_concat([{'g': NULL::BIGINT, 'us': NULL::BIGINT, 'open': []::STRUCT(g BIGINT, us BIGINT)[], 'placed': []::STRUCT(g BIGINT, s BIGINT)[]}],
+      list({'g': (seq % 7) * 1000000000 + seq, 'us': epoch_us(ts), 'open': []::STRUCT(g BIGINT, us BIGINT)[], 'placed': []::STRUCT(g BIGINT, s BIGINT)[]}
+        ORDER BY (seq % 7) * 1000000000 + seq)) AS steps
+  FROM a GROUP BY src_ip, dest_ip, replace(signature, '-', ' ')),
+h AS (
+  SELECT list_reduce(steps, lambda x, y: {'g': y.g, 'us': y.us,
+      'open': CASE WHEN len(list_filter(x.open, lambda e: abs(e.us - y.us) <= 3600000000)) = 0 THEN list_append(x.open, {'g': y.g, 'us': y.us})
+        ELSE list_transform(x.open, lambda e: CASE WHEN e.g = list_filter(x.open, lambda f: abs(f.us - y.us) <= 3600000000)[1].g
+          THEN {'g': e.g, 'us': greatest(e.us, y.us)} ELSE e END) END,
+      'placed': list_append(x.placed, {'g': coalesce(list_filter(x.open, lambda e: abs(e.us - y.us) <= 3600000000)[1].g, y.g), 's': y.g})}) AS last FROM o)"""
+# Zone classes, missing times and missing addresses.
+MIXED_TIMES = """
+t AS (
+  SELECT seq, ts, src_ip, CASE WHEN seq % 5 = 0 THEN NULL ELSE dest_ip END AS dest_ip, replace(signature, '-', ' ') AS sig,
+    CASE seq % 6 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS zone,
+    CASE seq % 6 WHEN 3 THEN substr("timestamp", 1, 26) WHEN 4 THEN NULL ELSE "timestamp" END AS stamp FROM a),
+n AS (
+  SELECT *, sum(is_new) OVER (PARTITION BY src_ip, dest_ip, sig, zone ORDER BY seq ROWS UNBOUNDED PRECEDING) AS no FROM (
+    SELECT *, CASE WHEN zone = 0 AND lag(seq) OVER w IS NOT NULL THEN 0 WHEN ts - lag(ts) OVER w <= INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS is_new
+    FROM t WINDOW w AS (PARTITION BY src_ip, dest_ip, sig, zone ORDER BY seq)))"""
+MIXED_GROUPS = """SELECT min(seq) AS group_seq, min(pair_seq) AS bucket_seq, CAST(count(*) AS INTEGER) AS occurrence_count, min(stamp) AS first_seen, max(stamp) AS last_seen
+  FROM (SELECT *, min(seq) OVER (PARTITION BY src_ip, dest_ip) AS pair_seq FROM n) GROUP BY src_ip, dest_ip, sig, zone, no"""
 
 ORACLES: dict[str, str] = {
     "scan_files": q(A, select=f"""SELECT seq // 500 AS file_no, md5(CASE WHEN (seq // 500) % 3 = 0
@@ -289,6 +313,9 @@ ORACLES: dict[str, str] = {
         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY src_ip, dest_ip ORDER BY ts) > INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS c FROM a)"""),
     "dedup_exact": q(A, groups("signature"), select=GROUPS),
     "dedup_fuzzy": q(A, groups(), select=GROUPS),
+    "dedup_unordered": q(A, UNORDERED, select="SELECT p.g AS group_seq, p.s AS seq FROM (SELECT unnest(last.placed) AS p FROM h)"),
+    "dedup_mixed_times": q(A, MIXED_TIMES, select=MIXED_GROUPS),
+    "dedup_many_signatures": q(A, groups("(user_id % 20) || '-' || signature", src="1", dest="1"), select=GROUPS),
     "dedup_time_order": q(A, groups(), select="SELECT (group_seq % 7) * 1000000000 + group_seq AS group_seq, occurrence_count, first_seen, last_seen FROM g"),
     "dedup_without_addresses": q(A, groups(src="1", dest="1"), select=GROUPS),
     "dedup_members": q(A, groups(), select="SELECT group_seq, seq, id FROM mem"),
@@ -309,6 +336,12 @@ ORACLES: dict[str, str] = {
     "fresh_triage": q(A, L, REP, FRESH, att("fresh"), CONF, W, groups(), FIRST, scored("f", occurrences="a.occurrence_count"), select=f"SELECT {TRIAGE_COLS} FROM tr"),
     "triage_given_alerts": q(A, L, REP, att(), CONF, W, groups(), FIRST, scored("f", severity="CASE WHEN a.seq % 10 > 0 THEN a.severity ELSE 5 END", mitre=False, occurrences="a.occurrence_count"),
         select=f"SELECT {TRIAGE_COLS} FROM tr"),
+    "jsonl_alerts": q(A, select="""SELECT id, "timestamp", source, signature, severity, src_ip, dest_ip, "user", message, (SELECT count(*) FROM a) AS n_seq FROM a"""),
+    "pipeline_rejects": q(A, DIRTY, select="SELECT seq, reason FROM d WHERE reason IS NOT NULL"),
+    "pipeline_members": q(A, groups(), select="SELECT group_seq, seq, id FROM mem"),
+    "pipeline_lookups": q(A, L, REP, FRESH, groups(), select="""SELECT DISTINCT l.ioc_type, l.ioc FROM l JOIN g ON l.seq = g.group_seq LEFT JOIN fresh USING (ioc_type, ioc)
+        WHERE fresh.n IS NULL AND NOT (l.ioc_type = 'ip' AND l.ioc LIKE '10.%')"""),
+    "unvalidated_triage": "SELECT count(*) AS alerts, CAST(0 AS INTEGER) AS rejected FROM events",
     "tier_counts": q(*TRIAGE, select="""SELECT tier, (SELECT count(*) FROM tr WHERE tier = 'total' OR priority_tier = tier) AS alerts FROM (VALUES ('P1'), ('P2'), ('P3'), ('P4'), ('total')) t(tier)"""),
     "top_incident": q(*TRIAGE, select="""SELECT signature, priority_tier, CAST(priority_score AS VARCHAR) AS priority_score, src_ip, dest_ip,
         CASE WHEN techniques = '' THEN 'No MITRE technique matched' ELSE array_to_string(list_transform(string_split(techniques, ','), lambda x: x || ' — ' || CASE x WHEN 'T1110' THEN 'Brute Force'
@@ -325,9 +358,10 @@ ORACLES: dict[str, str] = {
     "compact_top": q(*TRIAGE, select="""SELECT CAST(row_number() OVER (ORDER BY priority_score DESC, bucket_seq, seq) AS INTEGER) AS rank, id, priority_score,
         (SELECT verdict FROM att WHERE att.seq = tr.seq AND slot = 'dest_ip') AS dest_verdict, CAST(length(message) AS INTEGER) AS n_message FROM tr ORDER BY priority_score DESC, bucket_seq, seq LIMIT 25"""),
     "triage_listing": q(*TRIAGE, select="SELECT priority_tier AS priority, CAST(priority_score AS VARCHAR) AS score, signature, src_ip AS source, dest_ip AS target FROM tr"),
-    "stream_normalize": q(A, select=f"""SELECT "timestamp", 'Acme/' || source AS source, severity, src_ip, dest_ip, message FROM a WHERE (seq // 500) % 2 = 0
-        UNION ALL SELECT {SYSLOG_TIME}, source, 5, src_ip, dest_ip, {SYSLOG_MESSAGE} FROM a WHERE (seq // 500) % 2 = 1"""),
-    "stream_dedup_exact": q(A, groups("signature"), select=f"""SELECT m.src_ip, m.dest_ip, m.signature, g.occurrence_count, g.first_seen, g.last_seen FROM g JOIN a m ON m.seq = g.group_seq WHERE {CLOSED}"""),
-    "stream_dedup_fuzzy": q(A, groups(), select=f"SELECT group_seq, occurrence_count, first_seen, last_seen FROM g WHERE {CLOSED}"),
+    "stream_normalize": q(A, select=f"""SELECT *, count(*) AS n_seq, count(*) AS n_id FROM (
+        SELECT "timestamp", 'Acme/' || source AS source, severity, src_ip, dest_ip, message FROM a WHERE (seq // 500) % 2 = 0
+        UNION ALL SELECT {SYSLOG_TIME}, source, 5, src_ip, dest_ip, {SYSLOG_MESSAGE} FROM a WHERE (seq // 500) % 2 = 1) GROUP BY ALL"""),
+    "stream_dedup_exact": q(A, groups("signature"), select="""SELECT g.group_seq, m.src_ip, m.dest_ip, m.signature, g.occurrence_count, g.first_seen, g.last_seen FROM g JOIN a m ON m.seq = g.group_seq"""),
+    "stream_dedup_fuzzy": q(A, groups(), select="SELECT group_seq, occurrence_count, first_seen, last_seen FROM g"),
     "stream_reputation_join": q(A, L, REP, FRESH, att("fresh"), select="SELECT seq, slot, ioc, verdict, score FROM att"),
 }

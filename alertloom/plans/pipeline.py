@@ -13,7 +13,7 @@ from alertloom.operators.dedup import dedup, with_event_time, without_dedup
 from alertloom.operators.ioc import ioc_table, with_extraction
 from alertloom.operators.materialize import staged
 from alertloom.operators.normalize import normalize
-from alertloom.operators.validate import project_alert, with_reason
+from alertloom.operators.validate import project_alert, require_valid, with_reason
 from alertloom.sources.alerts import read_alert_array
 from alertloom.sources.assets import read_assets
 from alertloom.sources.attack_bundle import load_index
@@ -57,8 +57,11 @@ def run(
     as_of: dt.datetime | Column | None = None,
     index: DataFrame | None = None,
     nested: bool = False,
+    validate: bool = True,
+    strict: bool = False,
 ) -> TriageResult:
-    """Normalised records to ranked incidents.
+    """Normalised records to ranked incidents. ``validate=False`` takes bad records as they are,
+    ``strict`` fails on the first.
 
     Groups form before tagging and enrichment: neither changes what dedup reads, and only a
     group's first alert is tagged, enriched and scored. So both run on the survivors.
@@ -66,7 +69,10 @@ def run(
     Records are parsed once and written with their times. Grouping reads the narrow columns of that
     table; whole alerts are read again only where they lead a group.
     """
-    checked = staged(with_event_time(with_reason(parsed), cfg))
+    if strict:
+        parsed = require_valid(parsed)
+    checked = with_reason(parsed) if validate else parsed.withColumn("reason", F.lit(None).cast("string"))
+    checked = staged(with_event_time(checked, cfg))
     alerts = checked.filter("reason is null").select("seq", *[f.name for f in PARSED.fields], "ts_us", "ts_zone")
     rejected = checked.filter("reason is not null").drop("ts_us", "ts_zone")
 
@@ -103,6 +109,8 @@ def analyze(
     reputations: DataFrame | None = None,
     as_of: dt.datetime | Column | None = None,
     nested: bool = False,
+    validate: bool = True,
+    strict: bool = False,
 ) -> TriageResult:
     """Log files to ranked incidents."""
     cfg = cfg or TriageConfig()
@@ -114,6 +122,8 @@ def analyze(
         as_of=as_of,
         index=load_index(spark, bundle_path, bundle_as_of, cfg),
         nested=nested,
+        validate=validate,
+        strict=strict,
     )
     if mode != "auto":
         return result

@@ -527,6 +527,31 @@ def dedup_unordered(spark, sf):
     return dedup(shuffled, CFG).members().select("group_seq", "seq")
 
 
+@query
+def dedup_mixed_times(spark, sf):
+    """Times with and without a zone, missing ones, and pairs of which one address is missing."""
+    rows = fx.alerts(spark, sf).withColumns(
+        {
+            "timestamp": F.expr("case seq % 6 when 3 then substring(timestamp, 1, 26) when 4 then null else timestamp end"),
+            "dest_ip": F.expr("if(seq % 5 = 0, null, dest_ip)"),
+        }
+    )
+    return dedup(rows, CFG).groups
+
+
+@query
+def dedup_many_signatures(spark, sf):
+    """One address pair, and a signature of its own for every twentieth user and rule."""
+    rows = fx.alerts(spark, sf).withColumns(
+        {
+            "signature": F.expr("concat(md5(concat(cast(substring(user, 5) as int) % 20, '-', signature)), if(seq % 2 = 0, '!', '?'))"),
+            "src_ip": F.lit("10.0.0.1"),
+            "dest_ip": F.lit(None).cast("string"),
+        }
+    )
+    return dedup(rows, CFG).groups
+
+
 @query
 def dedup_time_order(spark, sf):
     shuffled = fx.alerts(spark, sf).withColumn("seq", F.expr("(seq % 7) * 1000000000 + seq"))
@@ -669,6 +694,40 @@ def analyze_files(spark, sf):
     return result.triaged.select("id", "signature", "priority_score", "priority_tier", "occurrence_count")
 
 
+@query
+def jsonl_alerts(spark, sf):
+    """One JSON object per line, in splittable files."""
+    path = fx.scratch_path(spark)
+    fx.records(spark, sf, "json").select(F.format_string("f%04d", F.expr("seq div 2000")).alias("file"), "record").write.partitionBy("file").text(path)
+    parsed = normalize(ingest.read_records(spark, path, "jsonl"))
+    distinct = parsed.groupBy().agg(F.count_distinct("seq").alias("n_seq"))
+    return parsed.crossJoin(F.broadcast(distinct)).select("id", "timestamp", "source", "signature", "severity", "src_ip", "dest_ip", "user", "message", "n_seq")
+
+
+@query
+def pipeline_rejects(spark, sf):
+    """What the whole run turns away."""
+    return pipeline.run(_dirty(spark, sf), CFG).rejected.select("seq", "reason")
+
+
+@query
+def pipeline_members(spark, sf):
+    return _run(spark, sf).members
+
+
+@query
+def pipeline_lookups(spark, sf):
+    """Indicators of the groups' first alerts that nobody has a fresh reputation for."""
+    return _run(spark, sf, as_of=fx.as_of()).lookups
+
+
+@query
+def unvalidated_triage(spark, sf):
+    """Without validation bad alerts are grouped and scored like others."""
+    groups = pipeline.run(_dirty(spark, sf), CFG, validate=False)
+    return groups.members.groupBy().agg(F.count("*").alias("alerts")).withColumn("rejected", F.lit(groups.rejected.count()))
+
+
 # --- reports -------------------------------------------------------------------------------
 
 

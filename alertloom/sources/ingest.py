@@ -6,6 +6,10 @@ Order matters to dedup, so every record carries ``seq``, a bigint that grows wit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from alertloom.functions.text import is_blank, lines, strip
@@ -80,14 +84,32 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def _with_row_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``row``, counted anew for each file split; a task reads its splits one after another."""
+    current, rows = None, 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        files = batch.column("file").dictionary_encode()
+        codes, starts = files.indices.to_numpy(zero_copy_only=False), batch.column("start").to_numpy(zero_copy_only=False)
+        change = (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])
+        begins = np.concatenate(([0], np.flatnonzero(change) + 1))
+        row = np.arange(batch.num_rows) - np.repeat(begins, np.diff(np.append(begins, batch.num_rows)))
+        if (files.dictionary[int(codes[0])].as_py(), int(starts[0])) == current:
+            row[: begins[1] if len(begins) > 1 else None] += rows
+        current, rows = (files.dictionary[int(codes[-1])].as_py(), int(starts[-1])), int(row[-1]) + 1
+        yield batch.append_column("row", pa.array(row, pa.int64()))
+
+
 def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """The same of files as they arrive. A stream has no order of files, so ``seq`` is a hash of the
     line's place (file, split, row): equal lines stay apart, and a repeated batch gives the same numbers."""
-    lines = spark.readStream.option("recursiveFileLookup", "true").text(path)
-    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), _row_in_task())
-    return lines.select(
-        place.alias("seq"), F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("record")
-    ).filter(~is_blank(F.col("record")))
+    lines = spark.readStream.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    placed = lines.mapInArrow(_with_row_in_split, "value string, file string, start bigint, row bigint")
+    rows = placed.select(F.xxhash64("file", "start", "row").alias("seq"), "file", strip(F.col("value")).alias("record"))
+    return rows.filter(~is_blank(F.col("record")))
 
 
 def reject_empty(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:

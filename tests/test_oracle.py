@@ -14,7 +14,8 @@ NAMES = [
     "tagged_alerts", "index_tagged_alerts", "text_addresses", "text_hashes", "alert_indicators", "hash_reputations",
     "ip_reputations", "reputation_upsert", "lookup_requests", "attached_reputations", "event_times", "gap_islands_by_pair",
     "dedup_fuzzy", "dedup_without_addresses", "related_ids", "confidence", "fresh_triage", "triage_given_alerts",
-    "stream_normalize", "stream_dedup_exact", "stream_dedup_fuzzy", "stream_reputation_join",
+    "dedup_unordered", "dedup_mixed_times", "dedup_many_signatures", "jsonl_alerts", "pipeline_rejects", "pipeline_members",
+    "pipeline_lookups", "unvalidated_triage", "asset_points", "full_triage", "stream_normalize", "stream_dedup_exact", "stream_dedup_fuzzy", "stream_reputation_join",
 ]
 
 

@@ -227,7 +227,7 @@ def test_technique_index(spark, tmp_path):
     assert tagged == {0: (["T1110", "T1110.003"], "stix"), 1: (["T1110"], "stix"), 2: ([], "stix")}
     tagged = {r.seq: ([m.technique_id for m in r.mitre], r.mitre_source) for r in tag(alerts, CFG).collect()}
     assert tagged[1] == (["T1110"], "heuristic") and tagged[0][0] == []
-    small = match_index(alerts, index, TriageConfig(broadcast_row_limit=1))
+    small = match_index(alerts, index, TriageConfig(hot_key_rows=1))
     assert small.count() == 2
     assert technique_index(read_bundle(spark, bare, None, CFG)).count() == 6
 
@@ -389,7 +389,7 @@ def test_assets(spark, tmp_path):
         read_assets(spark, str(tmp_path / "b.json")).collect()
     alerts = spark.createDataFrame([(0, "10.0.0.1", None, "web")], "seq bigint, src_ip string, dest_ip string, source string")
     table = read_assets(spark, str(tmp_path / "a.json"))
-    for cfg in (CFG, TriageConfig(broadcast_row_limit=1)):
+    for cfg in (CFG, TriageConfig(hot_key_rows=1)):
         assert score.with_asset_points(alerts, table, cfg).first().asset_points == 8
 
 
