@@ -17,8 +17,9 @@ with it. Spans of the same words (A-Z in lower case, by a 128-bit hash) are one;
 stays, those behind it are removed. Adjoining spans together
 are the whole of a repeated passage from its first cut to its last, and the first place of every unit stays.
 
-Null or empty text: no units. Rows with equal doc_id are one document with the units of all of them. A null
-doc_id counts as the least. Other columns are ignored. No rows: no rows.
+Null or empty text: no units. A document is a doc_id with a text: rows equal in both are one and stay or lose the same
+units, rows with one doc_id and different texts are documents of their own, ordered by a hash of the text. A null doc_id
+counts as the least. Other columns are ignored. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm.chosen_path import LEAF, NO_ID, SKETCH, confirmed, groups_of, stray_groups, unsettled
@@ -192,7 +193,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 ["id", "n_bytes", "ends", "spans", "paragraphs"],
             )
 
-    return docs.mapInArrow(run, f"id long, n_bytes long, ends array<int>, {_SPANS}, {_PARAGRAPHS}")
+    return docs.mapInArrow(run, f"id binary, n_bytes long, ends array<int>, {_SPANS}, {_PARAGRAPHS}")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -217,7 +218,8 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
                 ["id", "key", "n", "sketch", "text"],
             )
 
-    return docs.join(wanted, "id").select("text", "own").mapInArrow(run, "id long, key binary, n long, sketch binary, text string")
+    found = docs.join(wanted, "id").select("text", "own").mapInArrow(run, "id long, key binary, n long, sketch binary, text string")
+    return found.dropDuplicates(["id"])  # a repeated row gives its paragraphs again
 
 
 def clusters(docs: DataFrame, held: DataFrame) -> DataFrame:
@@ -276,18 +278,29 @@ def repeated_spans(held: DataFrame, gone: DataFrame) -> DataFrame:
                     free = bisect.bisect_right(ends, s["begin"]) == bisect.bisect_left(begins, s["end"])
                     rows.append((name, s["x"], s["y"], s["begin"], s["end"], free))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "x", "y", "begin", "end", "free"])
 
-    left = saved(by_doc.join(gone, "id", "left").mapInArrow(run, "id long, x long, y long, begin int, end int, free boolean"))
+    left = saved(by_doc.join(gone, "id", "left").mapInArrow(run, "id binary, x long, y long, begin int, end int, free boolean"))
     firsts = left.where("free").groupBy("x", "y").agg(F.min(F.struct("id", "begin")).alias("first"))
     later = left.join(firsts, ["x", "y"]).where("first.id < id OR first.id = id AND first.begin < begin")
     return later.groupBy("id").agg(F.collect_set(F.struct("begin", "end")).alias("more"))
 
 
+def _identity() -> Column:
+    """16 bytes that order as (doc_id, hash of the text)."""
+    high = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).bitwiseXOR(F.lit(NO_ID))
+    return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (high, F.xxhash64("text"))]))
+
+
+def _doc_id(identity: bytes) -> int | None:
+    value = int.from_bytes(identity[:8]) + NO_ID
+    return None if value == NO_ID else value
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_paragraphs (units), n_removed (bytes), n_spans and the removed units (bytes) of every row."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    docs = docs.select(_identity().alias("id"), "text")
     held = saved(paragraphs(docs))
     named = saved(clusters(docs, held))
     firsts = named.groupBy("cluster").agg(F.min("f").alias("first"))
@@ -308,14 +321,13 @@ def removals(docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("n_bytes"), pc.list_value_length(batch.column("ends")).cast(pa.int64()),
+                    pa.array(map(_doc_id, batch.column("id").to_pylist()), pa.int64()), batch.column("n_bytes"), pc.list_value_length(batch.column("ends")).cast(pa.int64()),
                     pa.array(total, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind),
                 ],
-                ["id", "n_bytes", "n_paragraphs", "n_removed", "n_spans", "spans"],
+                ["doc_id", "n_bytes", "n_paragraphs", "n_removed", "n_spans", "spans"],
             )
 
-    judged = whole.mapInArrow(run, f"id long, n_bytes long, n_paragraphs long, n_removed long, n_spans long, spans {_PLACES}")
-    return judged.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_paragraphs", "n_removed", "n_spans", "spans")
+    return whole.mapInArrow(run, f"doc_id long, n_bytes long, n_paragraphs long, n_removed long, n_spans long, spans {_PLACES}")
 
 
 def op10_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
