@@ -6,25 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.operators.validate import project_alert
 from alertloom.schemas import ALERT
-from alertloom.sources.ingest import _seq, read_blobs
+from alertloom.sources.json_array import read_array_elements
 
 
 def read_alert_array(spark: SparkSession, path: str) -> DataFrame:
-    """Files that are JSON arrays of alerts, in order. Anything but an array of objects whose fields fit fails the query."""
-    blob = F.col("blob")
-    elements = F.from_json(blob, "array<string>")
-    checked = F.when(F.ltrim(blob).startswith("["), elements)
-    must = F.coalesce(
-        checked,
-        F.raise_error(F.lit("triage input must be a JSON array of alerts")).cast("array<string>"),
-    )
-    text = F.when(F.ltrim("text").startswith("{"), F.col("text"))
-    whole = F.coalesce(text, F.raise_error(F.lit("every element of the array must be an alert object")).cast("string"))
-    alerts = (
-        read_blobs(spark, path)
-        .select("file_no", F.posexplode(must).alias("pos", "text"))
-        .select(_seq().alias("seq"), F.from_json(whole, ALERT, {"mode": "FAILFAST"}).alias("a"))
-    )
+    """Files that are JSON arrays of alerts, in order; a large one is read by many tasks. Anything but an array of
+    objects whose fields fit fails the query."""
+    parsed = F.from_json("record", ALERT, {"mode": "FAILFAST"})
+    alerts = read_array_elements(spark, path).select("seq", parsed.alias("a"))
     return project_alert(alerts.select("seq", "a.*"))
 
 

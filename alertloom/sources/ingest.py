@@ -38,13 +38,13 @@ def read_blobs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return blobs.join(_file_numbers(spark, paths), "file").select("file", "file_no", "blob")
 
 
-def _split_bytes(spark: SparkSession) -> int:
+def split_bytes(spark: SparkSession) -> int:
     """What every file split but a file's last is at least long, by the reader's settings."""
     conf = spark._jsparkSession.sessionState().conf()
     return max(1, min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
 
 
-def _first_splits(spark: SparkSession, paths: str | list[str], unit: int) -> DataFrame:
+def first_splits(spark: SparkSession, paths: str | list[str], unit: int) -> DataFrame:
     """(file, first_split): numbers of splits so far, in name order, if each were ``unit`` bytes."""
     files = spark.read.format("binaryFile").load(paths).select(
         F.col("_metadata.file_path").alias("file"), (F.floor(F.col("length") / unit) + 1).alias("splits")
@@ -69,7 +69,7 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     where they start, so the text is read once and never moved. Numbers grow with (file, position), with gaps.
     They stay the same as long as the reader's split settings and the number of cores do.
     """
-    unit = _split_bytes(spark)
+    unit = split_bytes(spark)
     text = spark.read.text(paths).select(
         F.col("value").alias("record"),
         F.col("_metadata.file_path").alias("file"),
@@ -78,7 +78,7 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     seq = F.shiftleft(F.col("first_split") + F.col("split"), ROW_BITS).bitwiseOR(F.col("row"))
     return (
-        text.join(F.broadcast(_first_splits(spark, paths, unit)), "file")
+        text.join(F.broadcast(first_splits(spark, paths, unit)), "file")
         .select(seq.alias("seq"), "file", strip(F.col("record")).alias("record"))
         .filter(~is_blank(F.col("record")))
     )

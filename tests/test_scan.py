@@ -1,4 +1,4 @@
-"""Line scans: order and numbers of lines, in batches and streams."""
+"""Scans of lines and of large arrays: order and numbers of rows, in batches and streams."""
 
 import random
 
@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.sources import ingest
+from alertloom.sources import ingest, json_array
+from alertloom.sources.alerts import read_alert_array
 from alertloom.streaming import jobs
 
 
@@ -60,3 +61,46 @@ def test_equal_lines_of_a_stream_stay_apart(spark, tmp_path, small_splits):
     stream = jobs.normalized_stream(jobs.read_lines(spark, str(tmp_path / "in")))
     rows = jobs.batch_of(stream, str(tmp_path / "run"))
     assert rows.agg(F.count("*"), F.count_distinct("seq"), F.count_distinct("id")).first() == (4500, 4500, 4500)
+
+
+def arrays(folder, rng):
+    """Arrays of objects with braces, quotes and backslashes in strings, nested values and any white space between."""
+    want = []
+    for f in range(6):
+        rows = []
+        for k in range(rng.choice([0, 1, 30, 1500])):
+            text = rng.choice(["a}b", 'say \\"}{\\"', "\\\\", "]", "[{", "é" * rng.randint(0, 300), ""])
+            rows.append(f'{{"id":"{f}-{k}",{rng.choice(["", " ", chr(10)])}"message":"{text}","x":{{"y":[{{}},[1,{{"z":"}}"}}]]}}}}')
+        gap = lambda: rng.choice(["", " ", "\n  ", "\r\n"])
+        inner = "".join(("," if k else "") + gap() + r + gap() for k, r in enumerate(rows))
+        (folder / f"f{f}.json").write_text(f"{gap()}[{inner}{gap()}]{gap()}", encoding="utf-8", newline="")
+        want += rows
+    return want
+
+
+def test_elements_of_large_arrays(spark, tmp_path, small_splits):
+    want = arrays(tmp_path, random.Random(2))
+    rows = json_array.read_array_elements(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.record for r in rows] == want and len({r.seq for r in rows}) == len(want) > 1000
+    # a piece per task is far less than a file
+    pieces = spark.read.option("lineSep", "}").text(str(tmp_path))
+    assert pieces.rdd.getNumPartitions() >= 10
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["  \n", "{}", '{"a":1}', '[{"a":1}', '[{"a":1}]]', '[{"a":1}] x', "[1]", '[{"a":1},2]', '[{"a":1},,{"a":2}]', '[{"a":1} {"a":2}]',
+     '[{"a":1},]', '["x"]', '[[{"a":1}]]', '[{"a":"}]', 'x[{"a":1}]', '[,{"a":1}]', "[null]"],
+)
+def test_no_arrays_of_objects(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception):
+        json_array.read_array_elements(spark, str(tmp_path)).collect()
+
+
+def test_alert_fields_have_to_fit(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id":"1","severity":3},{"id":"2","severity":3.7}]')
+    with pytest.raises(Exception):
+        read_alert_array(spark, str(tmp_path)).collect()
+    (tmp_path / "a.json").write_text('[{"id":"1","severity":3}]')
+    assert [r.id for r in read_alert_array(spark, str(tmp_path)).collect()] == ["1"]
