@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from alertloom.operators.materialize import staged
 from alertloom.operators.score import TIERS, order_keys
 
+# Fixed texts.
 EMPTY_BATCH = "No alerts to summarize."
 QUIET_BATCH = "No P1/P2 alerts in this batch — likely routine noise, spot-check P3s."
 CLOSING_NOTE = "\n[Note: generated from a template.]"
@@ -104,20 +106,28 @@ def reading_order() -> list[Column]:
     return [F.asc("section"), F.desc("priority_score"), F.asc("bucket_seq"), F.asc("seq")]
 
 
-def summary_text(lines: DataFrame, max_lines: int = 100_000) -> DataFrame:
-    """One row, the lines joined to a text. For batches a person would read: beyond
-    ``max_lines`` the query fails rather than cut the text; write the ordered lines instead."""
-    order = F.struct(
-        "section", (-F.coalesce("priority_score", F.lit(0))).alias("score"), "bucket_seq", "seq", "line"
-    )
-    limited = lines.orderBy(*reading_order()).limit(max_lines + 1)
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n"
-    )
-    too_long = F.raise_error(F.lit("summary too long for one text: write summary_lines instead"))
-    return limited.agg(
-        F.when(F.count("*") > max_lines, too_long.cast("string")).otherwise(joined).alias("summary")
-    )
+def ranked_lines(lines: DataFrame) -> DataFrame:
+    """(line_no, section, line): the summary's lines numbered from 0 in reading order.
+
+    A range sort gives every task a stretch of the order; the stretches' sizes (a row per task) give
+    the number each begins with. No task sees all lines.
+    """
+    order = reading_order()
+    laid = staged(
+        lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ).withColumn("stretch", F.shiftright("at", 33))
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("stretch").agg(F.count("*").alias("n"))
+    begins = sizes.select("stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.join(F.broadcast(begins), "stretch").select((F.col("begin") + place).alias("line_no"), "section", "line")
+
+
+def summary_text(lines: DataFrame, part_lines: int = 10_000) -> DataFrame:
+    """(part, summary): the text in order, in parts of so many lines; most batches are one part."""
+    numbered = ranked_lines(lines).withColumn("part", F.floor(F.col("line_no") / part_lines))
+    own = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return numbered.groupBy("part").agg(F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("summary"))
 
 
 def compact_top(triaged: DataFrame, max_alerts: int = 25) -> DataFrame:

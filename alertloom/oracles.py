@@ -146,6 +146,20 @@ FRESH = """
 fresh AS (SELECT * FROM rep WHERE TIMESTAMP '2024-01-31 01:00:00' < fetched_at + INTERVAL 3600 SECOND)"""
 TRIAGE = [A, L, REP, att(), CONF, W, groups(), FIRST, scored("f", occurrences="a.occurrence_count")]
 
+# The summary's lines in reading order: by section, then as alerts rank.
+LINES = """
+lines AS (
+  SELECT CAST(0 AS INTEGER) AS section, NULL AS priority_score, NULL AS bucket_seq, NULL AS seq, 'Incident batch: ' || count(*) || ' alerts after dedup.' AS line FROM tr
+  UNION ALL SELECT 1, NULL, NULL, NULL, chr(10) || count(*) || ' P1 (critical) alert(s):' FROM tr WHERE priority_tier = 'P1' HAVING count(*) > 0
+  UNION ALL SELECT 2, priority_score, bucket_seq, seq, '  - [' || priority_score || '] ' || signature || ' src=' || src_ip || ' dest=' || dest_ip || ' (x' || occurrence_count_ || ')' FROM tr WHERE priority_tier = 'P1'
+  UNION ALL SELECT 3, NULL, NULL, NULL, chr(10) || count(*) || ' P2 (high) alert(s):' FROM tr WHERE priority_tier = 'P2' HAVING count(*) > 0
+  UNION ALL SELECT 4, priority_score, bucket_seq, seq, '  - [' || priority_score || '] ' || signature || ' src=' || src_ip || ' dest=' || dest_ip FROM tr WHERE priority_tier = 'P2'
+  UNION ALL SELECT 5, NULL, NULL, NULL, 'No P1/P2 alerts in this batch — likely routine noise, spot-check P3s.' FROM tr HAVING count(*) > 0 AND count(*) FILTER (priority_tier IN ('P1', 'P2')) = 0
+  UNION ALL SELECT 6, NULL, NULL, NULL, chr(10) || '[Note: generated from a template.]')"""
+NUMBERED = """
+numbered AS (
+  SELECT row_number() OVER (ORDER BY section, priority_score DESC, bucket_seq, seq) - 1 AS line_no, section, line FROM lines)"""
+
 STRIDE = 4294967296
 BLOB_SEQ = f"(seq // 500) * {STRIDE} + seq % 500"
 PARSED_COLS = 'seq, id, "timestamp", source, signature, severity, src_ip, dest_ip, "user", message'
@@ -347,13 +361,10 @@ ORACLES: dict[str, str] = {
         CASE WHEN techniques = '' THEN 'No MITRE technique matched' ELSE array_to_string(list_transform(string_split(techniques, ','), lambda x: x || ' — ' || CASE x WHEN 'T1110' THEN 'Brute Force'
           WHEN 'T1136' THEN 'Create Account' WHEN 'T1071' THEN 'Application Layer Protocol' WHEN 'T1046' THEN 'Network Service Discovery' ELSE 'Exfiltration Over C2 Channel' END), ', ') END AS mitre_attack
         FROM tr ORDER BY tr.priority_score DESC, bucket_seq, seq LIMIT 1"""),
-    "summary_lines": q(*TRIAGE, select="""SELECT CAST(0 AS INTEGER) AS section, 'Incident batch: ' || count(*) || ' alerts after dedup.' AS line FROM tr
-        UNION ALL SELECT 1, count(*) || ' P1 (critical) alert(s):' FROM tr WHERE priority_tier = 'P1' HAVING count(*) > 0
-        UNION ALL SELECT 2, '  - [' || priority_score || '] ' || signature || ' src=' || src_ip || ' dest=' || dest_ip || ' (x' || occurrence_count_ || ')' FROM tr WHERE priority_tier = 'P1'
-        UNION ALL SELECT 3, count(*) || ' P2 (high) alert(s):' FROM tr WHERE priority_tier = 'P2' HAVING count(*) > 0
-        UNION ALL SELECT 4, '  - [' || priority_score || '] ' || signature || ' src=' || src_ip || ' dest=' || dest_ip FROM tr WHERE priority_tier = 'P2'
-        UNION ALL SELECT 5, 'No P1/P2 alerts in this batch — likely routine noise, spot-check P3s.' FROM tr HAVING count(*) > 0 AND count(*) FILTER (priority_tier IN ('P1', 'P2')) = 0
-        UNION ALL SELECT 6, '[Note: generated from a template.]'"""),
+    "summary_lines": q(*TRIAGE, LINES, select="SELECT section, replace(line, chr(10), '') AS line FROM lines"),
+    "summary_ranked": q(*TRIAGE, LINES, NUMBERED, select="SELECT line_no, section, replace(line, chr(10), '') AS line FROM numbered"),
+    "summary_text": q(*TRIAGE, LINES, NUMBERED, select="""SELECT line_no // 50 AS part, CAST(sum(length(line)) + count(*) - 1 AS INTEGER) AS n_chars,
+        CAST(count(*) + count(*) FILTER (starts_with(line, chr(10))) AS INTEGER) AS n_lines FROM numbered GROUP BY line_no // 50"""),
     "empty_summary": "SELECT 'No alerts to summarize.' AS summary",
     "compact_top": q(*TRIAGE, select="""SELECT CAST(row_number() OVER (ORDER BY priority_score DESC, bucket_seq, seq) AS INTEGER) AS rank, id, priority_score,
         (SELECT verdict FROM att WHERE att.seq = tr.seq AND slot = 'dest_ip') AS dest_verdict, CAST(length(message) AS INTEGER) AS n_message FROM tr ORDER BY priority_score DESC, bucket_seq, seq LIMIT 25"""),

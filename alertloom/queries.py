@@ -747,16 +747,23 @@ def summary_lines(spark, sf):
     return lines.select("section", F.replace("line", F.lit("\n"), F.lit("")).alias("line"))
 
 
+@query
+def summary_ranked(spark, sf):
+    """Every line of the summary with its number."""
+    lines = report.ranked_lines(report.summary_lines(_triaged(spark, sf)))
+    return lines.select("line_no", "section", F.replace("line", F.lit("\n"), F.lit("")).alias("line"))
+
+
 @query
 def summary_text(spark, sf):
-    text = report.summary_text(report.summary_lines(_triaged(spark, sf)))
-    return text.select(F.length("summary").alias("n_chars"), F.size(F.split("summary", "\n")).alias("n_lines"))
+    text = report.summary_text(report.summary_lines(_triaged(spark, sf)), part_lines=50)
+    return text.select("part", F.length("summary").alias("n_chars"), F.size(F.split("summary", "\n")).alias("n_lines"))
 
 
 @query
 def empty_summary(spark, sf):
     nothing = _triaged(spark, sf).filter("priority_score > 100")
-    return report.summary_text(report.summary_lines(nothing))
+    return report.summary_text(report.summary_lines(nothing)).select("summary")
 
 
 @query
