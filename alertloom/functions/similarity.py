@@ -9,7 +9,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 _BINS = 64
 
@@ -30,12 +30,6 @@ def signature_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """An upper bound of the ratio from lengths alone, for filtering before the Python call."""
-    la, lb = F.length(F.lower(a)), F.length(F.lower(b))
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))
-
-
 def _bins(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return np.bincount(codes % _BINS, minlength=_BINS).astype(np.int32)

@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertloom.config import TriageConfig
 from alertloom.functions.settle import settle
-from alertloom.functions.similarity import SignatureIndex, ratio_bound, signature_ratio
+from alertloom.functions.similarity import SignatureIndex, signature_ratio
 from alertloom.functions.timestamps import NO_TIME, parse_timestamp
 from alertloom.operators.materialize import staged
-from alertloom.operators.signatures import blocks
+from alertloom.operators.signatures import blocks, candidates
 from alertloom.operators.skew import lookup_join
 
 PAIR = ["src_key", "dest_key", "zone"]
@@ -598,12 +598,18 @@ def without_dedup(alerts: DataFrame) -> DataFrame:
 
 
 def match_signatures(pairs: DataFrame, cfg: TriageConfig) -> DataFrame:
-    """(group_signature, signature) pairs with their ``ratio`` and whether they ``match``.
+    """(group_signature, signature) of the distinct pairs with their ``ratio`` and whether they ``match``.
 
-    Pairs that cannot match by length never reach Python; distinct pairs are rated once.
+    Equal ones have ratio 1. Of the others only those that the candidate join over distinct
+    signatures brings together can match; they alone are rated, the rest has no ratio.
     """
-    a, b = F.col("group_signature"), F.col("signature")
-    distinct = pairs.select("group_signature", "signature").distinct()
-    possible = distinct.filter((a == b) | (ratio_bound(a, b) >= cfg.dedup_fuzzy_threshold))
-    rated = possible.withColumn("ratio", signature_ratio(a, b))
-    return rated.withColumn("match", (a == b) | (F.col("ratio") >= cfg.dedup_fuzzy_threshold))
+    key = ["group_signature", "signature"]
+    distinct = pairs.select(*key).distinct()
+    unequal = distinct.filter("group_signature <> signature")
+    texts = unequal.select("signature").union(unequal.select("group_signature")).distinct()
+    met = candidates(texts, cfg.dedup_fuzzy_threshold)
+    met = met.toDF(*key).union(met.select("b", "a").toDF(*key))
+    rated = unequal.join(met, key).withColumn("ratio", signature_ratio("group_signature", "signature"))
+    ratio = F.when(F.col("group_signature") == F.col("signature"), F.lit(1.0)).otherwise(F.col("ratio"))
+    rated = distinct.join(rated, key, "left").withColumn("ratio", ratio)
+    return rated.withColumn("match", F.coalesce(F.col("ratio") >= cfg.dedup_fuzzy_threshold, F.lit(False)))

@@ -130,6 +130,18 @@ tr AS (
   SELECT *, CASE WHEN priority_score >= 80 THEN 'P1' WHEN priority_score >= 55 THEN 'P2' WHEN priority_score >= 30 THEN 'P3' ELSE 'P4' END AS priority_tier FROM sc)"""
 
 
+FILED_SCORES = f"""
+k AS (SELECT p.g AS g, CAST(count(*) AS INTEGER) AS occurrence_count FROM (SELECT unnest(last.placed) AS p FROM h) GROUP BY p.g),
+sc AS (
+  SELECT x.id, x.signature, k.occurrence_count, CAST(greatest(0, least(100, x.severity * 6
+      + CASE WHEN k.occurrence_count > 1 THEN least(20, (k.occurrence_count - 1) * 3) ELSE 0 END
+      + (c.mal * 4 + c.sus * 2) * 2 + CASE c.consensus WHEN 'strong' THEN 6 WHEN 'mixed' THEN 3 ELSE 0 END
+      + CASE WHEN {TECH.format(t="lower(x.signature || ' ' || x.message)")} <> '' THEN 5 ELSE 0 END)) AS INTEGER) AS priority_score
+  FROM x JOIN k ON k.g = x.seq JOIN cons c ON c.seq = x.seq),
+tr AS (
+  SELECT *, CASE WHEN priority_score >= 80 THEN 'P1' WHEN priority_score >= 55 THEN 'P2' WHEN priority_score >= 30 THEN 'P3' ELSE 'P4' END AS priority_tier FROM sc)"""
+
+
 def att(rep: str = "rep") -> str:
     return ATT.format(priv=PRIV, rep=rep)
 
@@ -222,6 +234,24 @@ h AS (
         ELSE list_transform(x.open, lambda e: CASE WHEN e.g = list_filter(x.open, lambda f: abs(f.us - y.us) <= 3600000000)[1].g
           THEN {'g': e.g, 'us': greatest(e.us, y.us)} ELSE e END) END,
       'placed': list_append(x.placed, {'g': coalesce(list_filter(x.open, lambda e: abs(e.us - y.us) <= 3600000000)[1].g, y.g), 's': y.g})}) AS last FROM o)"""
+# Alerts of mixed files as they are parsed, files and lines in the order of seq; similar signatures share a key.
+FILED = f"""
+x AS (
+  SELECT seq, id0 AS id, src_ip, dest_ip, message, severity, signature, zone, us,
+    replace(regexp_replace(signature, '^[0-9]:', ''), '-', CASE WHEN zone = 1 THEN '-' ELSE ' ' END) AS sig FROM (
+    SELECT seq, src_ip, dest_ip, (seq // 500) % 3 AS kind,
+      CASE WHEN (seq // 500) % 3 < 2 THEN id ELSE substr(sha256(((seq // 500) * 4294967296 + 2 * (seq % 500) + 1) || '|' || {SYSLOG_TEXT}), 1, 12) END AS id0,
+      CASE (seq // 500) % 3 WHEN 2 THEN 'from ' || src_ip || ' to ' || dest_ip || ' ' || message ELSE message END AS message,
+      CAST(CASE (seq // 500) % 3 WHEN 2 THEN 5 ELSE severity END AS INTEGER) AS severity,
+      CASE (seq // 500) % 3 WHEN 0 THEN signature WHEN 1 THEN (seq % 7) || ':' || signature ELSE 'proc-' || (seq % 9) END AS signature,
+      CASE (seq // 500) % 3 WHEN 2 THEN 1 ELSE 2 END AS zone,
+      CASE (seq // 500) % 3 WHEN 2 THEN epoch_us(TIMESTAMP '2024-01-01 10:00:00' + INTERVAL 1 DAY * (seq % 28) + INTERVAL 1 MINUTE * (seq % 60)) ELSE epoch_us(ts) END AS us
+    FROM a)),
+o AS (
+  SELECT list_concat([{{'g': NULL::BIGINT, 'us': NULL::BIGINT, 'open': []::STRUCT(g BIGINT, us BIGINT)[], 'placed': []::STRUCT(g BIGINT, s BIGINT)[]}}],
+      list({{'g': seq, 'us': us, 'open': []::STRUCT(g BIGINT, us BIGINT)[], 'placed': []::STRUCT(g BIGINT, s BIGINT)[]}} ORDER BY seq)) AS steps
+  FROM x GROUP BY src_ip, dest_ip, sig, zone)"""
+FOLD = UNORDERED[UNORDERED.index("\nh AS (") :]
 # Zone classes, missing times and missing addresses.
 MIXED_TIMES = """
 t AS (
@@ -356,6 +386,9 @@ ORACLES: dict[str, str] = {
     "pipeline_lookups": q(A, L, REP, FRESH, groups(), select="""SELECT DISTINCT l.ioc_type, l.ioc FROM l JOIN g ON l.seq = g.group_seq LEFT JOIN fresh USING (ioc_type, ioc)
         WHERE fresh.n IS NULL AND NOT (l.ioc_type = 'ip' AND l.ioc LIKE '10.%')"""),
     "unvalidated_triage": "SELECT count(*) AS alerts, CAST(0 AS INTEGER) AS rejected FROM events",
+    "signature_matches": q(A, groups(), select="""SELECT DISTINCT l.signature AS group_signature, m.signature AS signature,
+        CASE WHEN l.signature = m.signature THEN 1.0 ELSE 0.965517 END AS ratio, CAST(1 AS INTEGER) AS match FROM mem m JOIN a l ON l.seq = m.group_seq"""),
+    "analyze_files": q(A, L, REP, att(), CONF, FILED, FOLD, FILED_SCORES, select="SELECT id, signature, priority_score, priority_tier, occurrence_count FROM tr"),
     "tier_counts": q(*TRIAGE, select="""SELECT tier, (SELECT count(*) FROM tr WHERE tier = 'total' OR priority_tier = tier) AS alerts FROM (VALUES ('P1'), ('P2'), ('P3'), ('P4'), ('total')) t(tier)"""),
     "top_incident": q(*TRIAGE, select="""SELECT signature, priority_tier, CAST(priority_score AS VARCHAR) AS priority_score, src_ip, dest_ip,
         CASE WHEN techniques = '' THEN 'No MITRE technique matched' ELSE array_to_string(list_transform(string_split(techniques, ','), lambda x: x || ' — ' || CASE x WHEN 'T1110' THEN 'Brute Force'

@@ -220,7 +220,8 @@ def test_match_signatures(spark):
         spark.createDataFrame(pairs * 2, "group_signature string, signature string"), TriageConfig()
     ).collect()
     got = {(r.group_signature, r.signature): r.match for r in rows}
-    assert got == {pairs[0]: True, pairs[1]: True, pairs[2]: False}
+    assert got == {pairs[0]: True, pairs[1]: True, pairs[2]: False, pairs[3]: False}
+    assert [r.ratio for r in rows if not r.match] == [None, None]
 
 
 def test_islands(spark):

@@ -15,7 +15,7 @@ NAMES = [
     "ip_reputations", "reputation_upsert", "lookup_requests", "attached_reputations", "event_times", "gap_islands_by_pair",
     "dedup_fuzzy", "dedup_without_addresses", "related_ids", "confidence", "fresh_triage", "triage_given_alerts",
     "dedup_unordered", "dedup_mixed_times", "dedup_many_signatures", "jsonl_alerts", "pipeline_rejects", "pipeline_members",
-    "pipeline_lookups", "unvalidated_triage", "asset_points", "full_triage", "summary_ranked", "summary_text",
+    "pipeline_lookups", "unvalidated_triage", "asset_points", "full_triage", "summary_ranked", "summary_text", "signature_matches", "analyze_files",
     "empty_summary", "summary_lines", "read_alert_array", "stream_normalize", "stream_dedup_exact", "stream_dedup_fuzzy", "stream_reputation_join",
 ]
 
