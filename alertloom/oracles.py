@@ -380,7 +380,7 @@ ORACLES: dict[str, str] = {
     "fresh_triage": q(A, L, REP, FRESH, att("fresh"), CONF, W, groups(), FIRST, scored("f", occurrences="a.occurrence_count"), select=f"SELECT {TRIAGE_COLS} FROM tr"),
     "triage_given_alerts": q(A, L, REP, att(), CONF, W, groups(), FIRST, scored("f", severity="CASE WHEN a.seq % 10 > 0 THEN a.severity ELSE 5 END", mitre=False, occurrences="a.occurrence_count"),
         select=f"SELECT {TRIAGE_COLS} FROM tr"),
-    "jsonl_alerts": q(A, select="""SELECT id, "timestamp", source, signature, severity, src_ip, dest_ip, "user", message, (SELECT count(*) FROM a) AS n_seq FROM a"""),
+    "jsonl_alerts": q(A, select="""SELECT id, "timestamp", source, signature, severity, src_ip, dest_ip, "user", message, 1 AS n_seq FROM a"""),
     "pipeline_rejects": q(A, DIRTY, select="SELECT seq, reason FROM d WHERE reason IS NOT NULL"),
     "pipeline_members": q(A, groups(), select="SELECT group_seq, seq, id FROM mem"),
     "pipeline_lookups": q(A, L, REP, FRESH, groups(), select="""SELECT DISTINCT l.ioc_type, l.ioc FROM l JOIN g ON l.seq = g.group_seq LEFT JOIN fresh USING (ioc_type, ioc)

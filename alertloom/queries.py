@@ -700,8 +700,8 @@ def jsonl_alerts(spark, sf):
     path = fx.scratch_path(spark)
     fx.records(spark, sf, "json").select(F.format_string("f%04d", F.expr("seq div 2000")).alias("file"), "record").write.partitionBy("file").text(path)
     parsed = normalize(ingest.read_records(spark, path, "jsonl"))
-    distinct = parsed.groupBy().agg(F.count_distinct("seq").alias("n_seq"))
-    return parsed.crossJoin(F.broadcast(distinct)).select("id", "timestamp", "source", "signature", "severity", "src_ip", "dest_ip", "user", "message", "n_seq")
+    own = ["id", "timestamp", "source", "signature", "severity", "src_ip", "dest_ip", "user", "message"]
+    return parsed.groupBy(*own).agg(F.count_distinct("seq").alias("n_seq"))
 
 
 @query
