@@ -52,13 +52,12 @@ class _Writer:
         self.held.append(ids.astype(self.dtype))
         self.size += len(ids)
         self.total += len(ids)
-        if self.size >= BATCH_ROWS * self.length:
-            self._write(self.size // self.length * self.length)
-
-    def _write(self, n: int) -> None:
-        ids = np.concatenate(self.held)
-        self.held, self.size = [ids[n:]], len(ids) - n
-        self._rows(ids[:n], n)
+        full = BATCH_ROWS * self.length
+        if self.size >= full:
+            ids = np.concatenate(self.held)
+            for n in range(full, len(ids) + 1, full):
+                self._rows(ids[n - full : n], full)
+            self.held, self.size = [ids[len(ids) // full * full :].copy()], len(ids) % full
 
     def _rows(self, ids: np.ndarray, real: int) -> None:
         mask = np.arange(len(ids)) < real
@@ -89,6 +88,11 @@ class Sequences:
         ids = rows.column(0).flatten().to_numpy().reshape(-1, self.length)
         return ids, rows.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.length)
 
+    def row(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask of row r: all batches but the last have BATCH_ROWS rows."""
+        ids, mask = self.batch(r // BATCH_ROWS)
+        return ids[r % BATCH_ROWS], mask[r % BATCH_ROWS]
+
     def stream(self):
         """The real ids, batch by batch."""
         for k in range(self.reader.num_record_batches):

@@ -71,16 +71,17 @@ def repeated_words(own: Column) -> Column:
         return F.xxhash64(*[F.get(own, i + k) for k in range(WINDOW)])
 
     def covered(hashes):
-        twice = lambda x: F.array_distinct(F.filter(x, lambda h, i: F.get(x, i - 1) == h))
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        def places(repeated):
-            return F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(repeated, h), i)), lambda i: i.isNotNull())
+        def places(x):
+            same = lambda p, k: (F.get(x, k - 1)["h"] == p["h"]) | (F.get(x, k + 1)["h"] == p["h"])
+            return F.sort_array(F.transform(F.filter(x, same), lambda p: p["i"]))
 
         def total(starts):
             step = lambda x, k: F.least(F.coalesce(F.get(starts, k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW))
             return F.aggregate(F.transform(starts, step), F.lit(0), lambda a, x: a + x)
 
-        return _let(_let(_let(F.sort_array(hashes), twice), places), total)
+        return _let(_let(ordered, places), total)
 
     def count(hashes):
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered(hashes))

@@ -6,6 +6,7 @@ Everything of one session lies below one folder named after the application, to
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError(f"set {SETTING} to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set(SETTING, root)
-    if "://" not in root and root.startswith("/"):
-        root = "file://" + root
+    if "://" not in root:
+        # the file system that Spark itself takes for such a name, local or not
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = re.sub("^file:/(?!/)", "file:///", root)
     return f"{root}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 

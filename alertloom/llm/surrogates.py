@@ -3,7 +3,7 @@
 Mentions are found by pattern and brought into a canonical form (digits of a number, lower-case address), so that
 mentions of one entity in any spelling get one surrogate, in every document: coreference holds. A surrogate is derived
 from SHA-256 over key, kind, canonical form and attempt. It keeps kind and format: separators, letter case, length,
-a card's network digit and Luhn check, an address's private range, a name's gender (from its title) and script. It is
+a card's network digit and Luhn check, an address's being private (and its range, while that has free addresses), a name's gender (from its title) and script. It is
 poured back into each mention's own spelling.
 
 Distinctness is checked, not assumed: over all entities of the corpus, two of a kind with equal surrogates, or a
@@ -24,6 +24,8 @@ from alertloom.llm.store import saved
 KEY = "training-text-surrogates"
 #: More would mean that a kind has fewer surrogates than the corpus has entities.
 MOST_ATTEMPTS = 40
+#: From this attempt on, a private address may come from the largest private network, whatever its own.
+WIDER = 4
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MALE = "Mr|Mister|Herr|Señor|Sr|Monsieur|Господин|г-н"
@@ -140,11 +142,11 @@ def _card(stream: Column, value: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def _address(stream: Column, value: Column) -> Column:
+def _address(stream: Column, value: Column, attempt: Column) -> Column:
     octet = lambda k: (_number(stream, F.lit(2 * k)) % 254 + 1).cast("string")
     first = (_number(stream, F.lit(0)) % 100 + 20).cast("string")  # 20 to 119: public
     head = (
-        F.when(value.rlike(r"^10\."), F.concat_ws(".", F.lit("10"), octet(1)))
+        F.when(value.rlike(r"^10\.") | ((attempt >= WIDER) & value.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")), F.concat_ws(".", F.lit("10"), octet(1)))
         .when(value.rlike(r"^192\.168\."), F.lit("192.168"))
         .when(value.rlike(r"^172\.(?:1[6-9]|2[0-9]|3[01])\."), F.concat_ws(".", F.lit("172"), (_number(stream, F.lit(1)) % 16 + 16).cast("string")))
         .when(value.rlike(r"^127\."), F.concat_ws(".", F.lit("127"), octet(1)))
@@ -181,7 +183,7 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
         plus = F.regexp_extract(value, r"^(\+[0-9])?(.*)$", 1)
         return (
             F.when(kind == "email", F.concat(_letters(stream, F.substring_index(value, "@", 1)), F.lit("@"), _letters(of_domain, labels), F.substring_index(domain, ".", -1)))
-            .when(kind == "ip", _address(stream, value))
+            .when(kind == "ip", _address(stream, value, attempt))
             .when(kind == "card", _card(stream, value))
             .when(kind == "ssn", _fresh_digits(stream, value))
             .when(kind == "phone", F.concat(plus, _fresh_digits(stream, F.substring(value, F.length(plus) + 1, F.length(value)))))

@@ -130,6 +130,15 @@ def test_surrogates(docs, nothing):
     assert rows_of(surrogates.replace(nothing)) == []
 
 
+def test_surrogates_of_a_full_network(spark):
+    """More addresses of a private network than it has to spare: all get distinct, private ones that are nobody's own."""
+    many = spark.range(40000).selectExpr("'ip' AS kind", "concat('192.168.', 1 + id div 200, '.', 1 + id % 200) AS value")
+    got = rows_of(surrogates.resolved(many, "k"))
+    new = {r.surrogate for r in got}
+    assert len(new) == len(got) == 40000 and not new & {r.value for r in got}
+    assert {s.split(".")[0] for s in new} == {"10", "192"}
+
+
 def test_surrogates_stay_distinct(spark):
     many = spark.range(3000).selectExpr("'ssn' AS kind", "lpad(cast(id AS string), 3, '0') AS value").distinct()
     found = surrogates.resolved(many.where("length(value) = 3").limit(200), "k")
@@ -244,6 +253,15 @@ def test_arrow_files(spark, docs, nothing):
         ids = encoded("word_bpe_49k.json", by_id[r.doc_id]) + [2]
         assert (r.start, r.n_tokens, r.ids_crc32, list(r.ids)) == (at, len(ids), crc(ids), ids)
         at += len(ids)
+    folder, copies = shared_folder(spark), spark.createDataFrame([(i, "some words of this text " * 400) for i in range(40)], "doc_id long, text string")
+    one = arrow_files.write(copies, folder, tokenizer_path("word_bpe_49k.json"), shards=1, length=128).first()
+    small = arrow_files.Sequences(one.sequences)
+    counts = [small.reader.get_batch(k).num_rows for k in range(small.reader.num_record_batches)]
+    whole = np.concatenate(list(small.stream()))
+    assert len(counts) > 2 and set(counts[:-1]) == {arrow_files.BATCH_ROWS}
+    for r in range(sum(counts)):
+        ids, mask = small.row(r)
+        assert ids[: mask.sum()].tolist() == whole[r * small.length : (r + 1) * small.length].tolist()
     sequences = arrow_files.Sequences(manifest.first().sequences)
     ids, mask = sequences.batch(0)
     assert ids.shape[1] == mask.shape[1] == arrow_files.LENGTH and ids.base is not None
@@ -333,6 +351,7 @@ def test_large_nodes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, rows_of(chosen_path.near_duplicates(df))))
     monkeypatch.setattr(chosen_path, "LEAF", 8)
+    monkeypatch.setattr(chosen_path, "CELL", 16)
     assert sorted(map(tuple, rows_of(chosen_path.near_duplicates(df)))) == want
 
 
