@@ -8,8 +8,9 @@ exhaustively. With TREES x BRANCHES branches at the roots a pair at the threshol
 0.2^8 (under 3e-6) where these are leaves, and under 2e-5 below them.
 
 Trees come one pass after another: nodes whose classes an earlier pass has already connected are dropped, so later
-trees cost little. A larger node is first dealt into blocks of about LEAF classes in which a few hubs of the node
-stand each, so that a large group of near copies becomes one component by its links to hubs. If many of its classes are
+trees cost little. A larger node is first cut by set size: classes whose sizes differ by more than the threshold allows
+can't be linked, so each goes into two bands of sizes and every possible pair meets in one. What is still large is dealt
+into blocks of about LEAF classes in which a few hubs of the node stand each, so that a large group of near copies becomes one component by its links to hubs. If many of its classes are
 still outside its main component (they only share a frequent passage), the node branches again, DEPTH levels at
 most. Otherwise, and at the last level, the classes outside (strays) meet every block of the node, in cells of bounded
 size: every pair of the node is then compared but for pairs already connected. No task holds a whole large node.
@@ -43,6 +44,8 @@ LEAF = 512
 DEPTH = 2
 HUBS = 4
 LEAST_AGREEING = 34
+#: Classes of a node that meet in a cell: half of them strays, half of them any.
+CELL = 2048
 #: Share of a large node that may be strays for them to meet all of it at once.
 FEW_STRAYS = 8
 #: Rounds towards components between passes: equal labels mean connected, which is all that a pass needs.
@@ -92,6 +95,15 @@ def branched(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.select("id", "sketch"), "id").select("id", F.explode(below).alias("node"))
 
 
+def by_size(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, id) of these nodes cut into bands of set sizes, each class in its own band and the next; linked classes share one."""
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) - F.lit(1e-9))
+    below = [F.struct(F.xxhash64("node", F.lit("size"), band + F.lit(k)).alias("node"), F.lit(k == 0).alias("own")) for k in range(2)]
+    held = rows.join(classes.select("id", "n"), "id").select("id", F.explode(F.array(*below)).alias("b")).select("b.*", "id")
+    # a band without classes of its own holds only pairs that the one before it holds, too
+    return held.join(held.where("own").select("node").distinct(), "node", "left_semi").select("node", "id")
+
+
 def unsettled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     """(node, id, label, size, n_main, main) of nodes with classes not yet connected; main is the commonest label."""
     if found is None:
@@ -138,7 +150,7 @@ def _least_in_part(ranked, k: int):
 
 def stray_groups(rows: DataFrame) -> DataFrame:
     """(group, id): cells in which classes outside their node's main component meet all of the node."""
-    size, half = F.col("size"), LEAF // 2
+    size, half = F.col("size"), CELL // 2
     n_blocks, n_parts = F.ceil(size / half), F.ceil((size - F.col("n_main")) / half)
     block = F.pmod(F.xxhash64("id", F.lit("cell")), n_blocks)
     part = F.pmod(F.xxhash64("id", F.lit("part")), n_parts)
@@ -301,8 +313,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     for trees in (range(1), range(1, TREES)):
         rows = unsettled(roots(classes, trees), found)
-        compare(groups_of(rows))
-        own = rows.where(F.col("size") > LEAF).select("node", "id")
+        cut = unsettled(by_size(rows.where(F.col("size") > LEAF).select("node", "id"), classes, percent), found)
+        compare(groups_of(rows.where(F.col("size") <= LEAF).unionByName(cut)))
+        own = cut.where(F.col("size") > LEAF).select("node", "id")
         large = own if large is None else large.unionByName(own)
         if found is None:
             learn()
