@@ -8,7 +8,9 @@ are texts that hold an added token such as <|endoftext|>: it gets its own id, as
 
 from __future__ import annotations
 
+import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 #: Any character that some definition counts as white space, next to a blank.
 BESIDE_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}] | [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Words kept between batches; beyond that the memory is emptied.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 1_000_000
 #: Words put into one line for the tokenizer.
 LINE = 1000
 
@@ -48,7 +50,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many words in one line, taken apart again at the tokens that begin or end a word."""
@@ -89,10 +91,14 @@ class Encoder:
         if len(self.known) > KEPT_WORDS:
             self._forget()
         known = self.known
-        self._learn([w for w in names if w not in known])
+        of_name = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(of_name < 0)
+        words = [names[k] for k in new]
+        self._learn(words)
+        of_name[new] = [known[w] for w in words]
         signs = [m for m in marks.dictionary.to_pylist() if m]
         bare = dict(zip(signs, self._bare(signs)))
-        of_stem = np.fromiter((known[w] for w in names), np.int64, len(names))[stems.indices.to_numpy()]
+        of_stem = of_name[stems.indices.to_numpy()]
         of_mark = np.array([bare.get(m, 0) for m in marks.dictionary.to_pylist()], np.int64)[marks.indices.to_numpy()]
         entries = np.stack((of_stem, of_mark), axis=1).ravel()
         sizes = self.sizes[entries]
@@ -173,6 +179,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 def encoder(path: str, style: str) -> Encoder:
     """One per Python worker."""
     if (path, style) not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _encoders[path, style] = Encoder(path, style)
     return _encoders[path, style]
 
