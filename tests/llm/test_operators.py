@@ -390,6 +390,39 @@ def test_predictive_sums_to_one():
         assert np.allclose(total, 1)
 
 
+def test_pitman_yor_contexts_are_words(spark):
+    """Contexts that end alike tell what follows them; probabilities in each context, with the unseen word, sum to one."""
+    import pyarrow as pa
+
+    lines = [(i, " ".join(f"{w}ing {n}" for _ in range(20) for w, n in random.Random(i).sample([("sail", "boat"), ("read", "book"), ("play", "ball")], 3))) for i in range(60)]
+    train = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    boat, book = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [*zip(train, (t for _, t in lines)), (boat, "sailing boat " * 30), (book, "sailing book " * 30)]
+    got = {r.doc_id: r.score for r in pitman_yor.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[boat] > got[book] + 5  # the last two bytes of the words before are the same
+
+    table = pa.table({"doc_id": pa.array(train[:20]), "text": pa.array([t for _, t in lines[:20]])})
+    words, _, _, _, which, counts, _ = pitman_yor._pairs(table)
+    every = np.append(words, np.uint64(1))  # and one unseen word
+    every.sort()
+    n = len(every)
+    seen = np.zeros((n, n), np.int32)
+    hashes = pitman_yor.tokens(table["text"].combine_chunks())[0]
+    np.add.at(seen, (np.searchsorted(every, hashes), np.searchsorted(every, np.insert(hashes[:-1], 0, np.uint64(pitman_yor._END)))), 1)
+    assert seen.sum() == counts.sum()
+    asked = pa.table({
+        "b": [0], "words": [every.tobytes()], "pairs": [pitman_yor._packed(np.full(n, n), np.int32)], "contexts": [every.tobytes()],
+        "classes": [(np.arange(n) % pitman_yor.CLASSES).astype(np.uint8).tobytes()],
+        "places": [pitman_yor._steps(np.tile(np.arange(n), n))], "counts": [pitman_yor._packed(seen.ravel(), np.int32)],
+    })
+    model = pitman_yor._Contexts(asked)
+    for sweep in range(3):
+        model.context_tables, model.context_count = model.own()
+        totals = model.totals()
+        assert np.allclose(np.bincount(model.context, model.leaves(totals), n), 1)
+        model.sweep(totals, (0, sweep))
+
+
 def test_hilbert(spark, docs, nothing):
     grid = spark.range(64 * 64).select((F.col("id") / 64).cast("long").alias("x"), (F.col("id") % 64).alias("y"))
     walk = grid.withColumn("h", hilbert.curve_index([F.col("x"), F.col("y")], 6)).orderBy("h").collect()
