@@ -17,6 +17,7 @@ from alertloom.config import TriageConfig
 
 # Zone classes. Times of different classes are never comparable.
 NO_TIME, NAIVE, AWARE = 0, 1, 2
+SHAPE = "_shape"
 
 # Shapes the built-in parser reads by itself.
 _ISO = (
@@ -63,6 +64,12 @@ def _dateutil_parser(reference_year: int):
 def parse_timestamp(df: DataFrame, text: str, cfg: TriageConfig) -> DataFrame:
     """Adds ``ts_us`` (UTC micros; times without a zone read as UTC; null when there is no
     usable time) and ``ts_zone``. Done in steps so that each pattern runs once per row."""
+    parsed = parse_built_in(df, text, cfg)
+    return (parse_rest(parsed, text, cfg) if cfg.lenient_timestamps else parsed).drop(SHAPE)
+
+
+def parse_built_in(df: DataFrame, text: str, cfg: TriageConfig) -> DataFrame:
+    """The same without dateutil, and the text's shape: "other" where only dateutil may read it."""
     stamp = F.col(text)
     # Year 0 does not exist for the lenient parser, so not for the built-in one either.
     is_iso = stamp.rlike(_ISO) & ~stamp.startswith("0000")
@@ -82,21 +89,23 @@ def parse_timestamp(df: DataFrame, text: str, cfg: TriageConfig) -> DataFrame:
         F.col("_shape") == "syslog", F.try_to_timestamp(with_year, F.lit("yyyy MMM d HH:mm:ss X"))
     ).when(F.col("_shape") != "other", F.concat(stamp, suffix).try_cast("timestamp"))
     zone = F.when(F.col("ts_us").isNull(), NO_TIME).when(F.col("_shape") == "zoned", AWARE).otherwise(NAIVE)
-    parsed = (
-        df.withColumn("_shape", shape)
+    return (
+        df.withColumn(SHAPE, shape)
         .withColumn("ts_us", F.unix_micros(instant))
         .withColumn("ts_zone", zone.cast("int"))
     )
-    if cfg.lenient_timestamps:
-        other = F.col("_shape") == "other"
-        lenient = _dateutil_parser(cfg.reference_year)(F.when(other, stamp))
-        parsed = (
-            parsed.withColumn("_t", lenient)
-            .withColumn("ts_us", F.coalesce("ts_us", F.col("_t.us")))
-            .withColumn("ts_zone", F.when(other, F.col("_t.zone")).otherwise(F.col("ts_zone")))
-            .drop("_t")
-        )
-    return parsed.drop("_shape")
+
+
+def parse_rest(parsed: DataFrame, text: str, cfg: TriageConfig) -> DataFrame:
+    """Rows of ``parse_built_in`` with the times of other shapes."""
+    other = F.col(SHAPE) == "other"
+    lenient = _dateutil_parser(cfg.reference_year)(F.when(other, F.col(text)))
+    return (
+        parsed.withColumn("_t", lenient)
+        .withColumn("ts_us", F.coalesce("ts_us", F.col("_t.us")))
+        .withColumn("ts_zone", F.when(other, F.col("_t.zone")).otherwise(F.col("ts_zone")))
+        .drop("_t")
+    )
 
 
 def within_window(a_us: Column, a_zone: Column, b_us: Column, b_zone: Column, cfg: TriageConfig) -> Column:

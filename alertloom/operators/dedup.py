@@ -32,9 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertloom.config import TriageConfig
-from alertloom.functions.settle import settle
 from alertloom.functions.similarity import SignatureIndex, signature_ratio
-from alertloom.functions.timestamps import NO_TIME, parse_timestamp
+from alertloom.functions.timestamps import NO_TIME, SHAPE, parse_built_in, parse_rest, parse_timestamp
 from alertloom.operators.materialize import staged
 from alertloom.operators.signatures import blocks, candidates
 from alertloom.operators.skew import lookup_join
@@ -60,13 +59,30 @@ def with_event_time(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
     return parse_timestamp(alerts, "timestamp", cfg)
 
 
-def _narrow(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
+def staged_with_time(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """The same, written. Only rows whose time no built-in expression reads go through Python, from the written table."""
+    if not cfg.lenient_timestamps:
+        return staged(with_event_time(alerts, cfg))
+    first = staged(parse_built_in(alerts, "timestamp", cfg))
+    other = F.coalesce(F.col(SHAPE) == "other", F.lit(False))
+    if first.filter(other).isEmpty():
+        return first.drop(SHAPE)
+    rest = staged(parse_rest(first.filter(other), "timestamp", cfg))
+    return first.filter(~other).unionByName(rest).drop(SHAPE)
+
+
+def _written(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """What grouping reads of alerts, with their times; a table that has these is read as it is."""
+    if "ts_us" in alerts.columns:
+        return alerts
+    kept = [c for c in ("seq", "id", "src_ip", "dest_ip", "timestamp", "signature") if c in alerts.columns]
+    return staged_with_time(alerts.select(*kept), cfg)
+
+
+def _narrow(timed: DataFrame, cfg: TriageConfig) -> DataFrame:
     """Only what grouping reads. Rows without a time share one instant of their own zone class."""
-    timed = alerts if "ts_us" in alerts.columns else with_event_time(alerts, cfg)
     us = F.coalesce("ts_us", F.lit(0).cast("bigint"))
     width = F.lit(_cell_micros(cfg))
-    if "ts_us" not in alerts.columns:
-        timed = settle(timed, ["ts_us", "ts_zone"])
     return timed.select(
         "seq",
         (F.col("id") if "id" in timed.columns else F.lit(None).cast("string")).alias("id"),
@@ -86,7 +102,7 @@ def _narrow(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
 def gap_islands(alerts: DataFrame, cfg: TriageConfig) -> DataFrame:
     """(seq, src_ip, dest_ip, ts_zone, island): the independent stretch each alert falls into,
     numbered per pair; a new one starts after each silence longer than the window."""
-    rows = _narrow(alerts, cfg)
+    rows = _narrow(_written(alerts, cfg), cfg)
     in_time = Window.partitionBy(*PAIR).orderBy("cell")
     cells = (
         rows.groupBy(*PAIR, "cell")
@@ -481,9 +497,11 @@ class Dedup:
         )
 
     def representatives(self) -> DataFrame:
-        """The first alert of each group with its count and first/last seen."""
-        stats = self.groups.select(
-            F.col("group_seq").alias("seq"), "bucket_seq", "occurrence_count", "first_seen", "last_seen"
+        """The first alert of each group with its count and first/last seen.
+
+        The groups are written first: where they are few their size shows, and the alerts need no shuffle to meet them."""
+        stats = staged(
+            self.groups.select(F.col("group_seq").alias("seq"), "bucket_seq", "occurrence_count", "first_seen", "last_seen")
         )
         kept = [c for c in self.alerts.columns if c not in [*stats.columns, "ts_us", "ts_zone"] or c == "seq"]
         return self.alerts.select(*kept).join(stats, "seq")
@@ -524,8 +542,7 @@ def dedup(alerts: DataFrame, cfg: TriageConfig, fuzzy: bool = True) -> Dedup:
     ``fuzzy=False`` merges equal signatures only. Alerts that come with ``ts_us`` and ``ts_zone``
     are read several times as they are (a written table is meant); others are parsed once first.
     """
-    rows = _narrow(alerts, cfg)
-    rows = _in_blocks(rows if "ts_us" in alerts.columns else staged(rows), cfg, fuzzy)
+    rows = _in_blocks(_narrow(_written(alerts, cfg), cfg), cfg, fuzzy)
 
     def placed(cells: DataFrame) -> DataFrame:
         cells = _session_cells(cells, cfg)

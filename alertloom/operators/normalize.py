@@ -147,9 +147,9 @@ def _normalize(records: DataFrame, kinds: list[str]) -> DataFrame:
         "syslog": lambda: F.lit(None).cast("string"),
     }
     df = df.withColumns({f"f_{name}": value for name, value in field.items()})
-    df = df.withColumn(
-        "ips", loose_ips(_by_kind({k: record if k == "syslog" else F.col("f_message") for k in kinds}))
-    ).withColumn("level", severity(F.col("f_severity")))
+    text = _by_kind({k: record if k == "syslog" else F.col("f_message") for k in kinds})
+    missing = F.col("f_src_ip").isNull() | F.col("f_dest_ip").isNull()
+    df = df.withColumn("ips", F.when(missing, loose_ips(text))).withColumn("level", severity(F.col("f_severity")))
     reject = F.coalesce(
         _by_kind({k: rejects[k]() for k in kinds}),
         F.when(F.col("level").isNull(), F.lit("severity_not_finite")),

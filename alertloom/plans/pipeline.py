@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertloom.config import TriageConfig
 from alertloom.operators import attack, intel, report, score
-from alertloom.operators.dedup import dedup, with_event_time, without_dedup
+from alertloom.operators.dedup import dedup, staged_with_time, without_dedup
 from alertloom.operators.ioc import ioc_table, with_extraction
 from alertloom.operators.materialize import staged
 from alertloom.operators.normalize import normalize
@@ -72,7 +72,7 @@ def run(
     if strict:
         parsed = require_valid(parsed)
     checked = with_reason(parsed) if validate else parsed.withColumn("reason", F.lit(None).cast("string"))
-    checked = staged(with_event_time(checked, cfg))
+    checked = staged_with_time(checked, cfg)
     alerts = checked.filter("reason is null").select("seq", *[f.name for f in PARSED.fields], "ts_us", "ts_zone")
     rejected = checked.filter("reason is not null").drop("ts_us", "ts_zone")
 

@@ -233,3 +233,36 @@ def test_islands(spark):
     ]
     got = {r.seq: (r.ts_zone, r.island) for r in gap_islands(spark.createDataFrame(rows, SCHEMA), TriageConfig()).collect()}
     assert got == {0: (1, 0), 2: (1, 0), 1: (1, 1), 3: (0, 0)}
+
+
+def test_only_odd_times_go_through_python(spark, monkeypatch):
+    """Times that built-in expressions read never meet dateutil; the others still get their time."""
+    from alertloom.operators import dedup as module
+
+    stamps = ["2025-01-01T10:00:00Z", "2025-01-01 10:00:00", "Jan  1 10:00:00", "2025-01-01", None, ""]
+    odd = ["1 January 2025 10:00 UTC", "no time at all"]
+    row = lambda i, t: (i, str(i), t, f"rule {i}", "10.0.0.1", "10.0.0.2")
+    schema = "seq long, id string, timestamp string, signature string, src_ip string, dest_ip string"
+    sent = []
+    parse_rest = module.parse_rest
+
+    def watched(rows, text, cfg):
+        sent.extend(r.timestamp for r in rows.select(text).collect())
+        return parse_rest(rows, text, cfg)
+
+    monkeypatch.setattr(module, "parse_rest", watched)
+    cfg = TriageConfig()
+    assert dedup(spark.createDataFrame([row(i, t) for i, t in enumerate(stamps)], schema), cfg).groups.count() == 6
+    assert sent == []
+    df = spark.createDataFrame([row(i, t) for i, t in enumerate(stamps + odd)], schema)
+    want = {(r.seq, r.ts_us, r.ts_zone) for r in with_event_time(df, cfg).collect()}
+    assert {(r.seq, r.ts_us, r.ts_zone) for r in module.staged_with_time(df, cfg).collect()} == want
+    assert sorted(sent) == sorted(odd)
+
+
+def test_few_groups_meet_alerts_without_a_shuffle(spark):
+    schema = "seq long, id string, timestamp string, signature string, src_ip string, dest_ip string"
+    df = spark.createDataFrame([(i, str(i), "2025-01-01T10:00:00Z", "rule", "10.0.0.1", "10.0.0.2") for i in range(50)], schema)
+    first = dedup(df, TriageConfig()).representatives()
+    assert [r.occurrence_count for r in first.collect()] == [50]
+    assert "BroadcastHashJoin" in first._jdf.queryExecution().sparkPlan().toString()
