@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm.store import shared_folder
+from alertloom.llm.store import shared_folder, shuffles_dropped
 
 CLASSES, GROUPS = 64, 8
 #: By level: root, groups, classes, contexts.
@@ -42,26 +42,32 @@ STRENGTH = (1.0, 1.0, 1.0, 1.0)
 SWEEPS, BURN_IN = 3, 1
 EXACT = 16
 BLOCK_TEXT = 16 << 20
-_END = xxhash.xxh3_64_intdigest(b"\0end of text")
+#: A word's class stands in the last bits of its hash. The end of text has class 0.
+_CLASS = CLASSES - 1
+_END = xxhash.xxh3_64_intdigest(b"\0end of text") & ~_CLASS
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and class of every token, and where each text's tokens begin (one more than texts)."""
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words, every token's place among these, and where each text's tokens begin (one more than texts)."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     bounds = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
     bounds = bounds - bounds[0]
+    real = pc.binary_length(flat).to_numpy() > 0
     coded = flat.dictionary_encode()
+    del lists, flat
     words = [w.encode() for w in pc.ascii_lower(coded.dictionary).to_pylist()]
-    names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    kinds = np.fromiter((zlib.crc32(w[-2:]) % (CLASSES - 1) + 1 for w in words), np.uint8, len(words))
-    index = coded.indices.to_numpy()
-    real = pc.binary_length(flat).to_numpy() > 0
+    kinds = (zlib.crc32(w[-2:]) % (CLASSES - 1) + 1 for w in words)
+    names = np.fromiter((xxhash.xxh3_64_intdigest(w) & ~_CLASS | k for w, k in zip(words, kinds)), np.uint64, len(words))
     bounds = np.concatenate(([0], np.cumsum(real)))[bounds]
-    index = index[real]
-    hashes = np.insert(names[index] if len(index) else np.empty(0, np.uint64), bounds[1:], np.uint64(_END))
-    own = np.insert(kinds[index] if len(index) else np.empty(0, np.uint8), bounds[1:], 0)
-    return hashes, own, bounds + np.arange(len(bounds))
+    index = np.insert(coded.indices.to_numpy()[real], bounds[1:], len(names))
+    return np.append(names, np.uint64(_END)), index, bounds + np.arange(len(bounds))
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and class of every token, and where each text's tokens begin (one more than texts)."""
+    names, index, bounds = _coded(texts)
+    return names[index], (names & np.uint64(_CLASS)).astype(np.uint8)[index], bounds
 
 
 def held_out(doc_ids: list) -> np.ndarray:
@@ -70,16 +76,24 @@ def held_out(doc_ids: list) -> np.ndarray:
 
 def _pairs(table: pa.Table):
     """A block's distinct pairs in order of word and context: words, pairs of each word, contexts, their classes, the token's pair, training counts."""
-    hashes, own, bounds = tokens(table["text"].combine_chunks())
-    words, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+    names, index, bounds = _coded(table["text"].combine_chunks())
+    # of the dictionary only what stands in a text, words that differ in case as one
+    used = np.bincount(index, minlength=len(names)) > 0
+    words, place = np.unique(names[used], return_inverse=True)
+    word = place[(np.cumsum(used) - 1)[index]]
+    del index
     # the token before a text's first is the end of the one before; the block's first token has the same context
     begin = np.searchsorted(words, np.uint64(_END))
-    context = np.concatenate(([begin], word[:-1]))
-    pair, which = np.unique(word * len(words) + context, return_inverse=True)
+    pair = word * len(words)
+    pair[0] += begin
+    pair[1:] += word[:-1]
+    del word
+    pair, which = np.unique(pair, return_inverse=True)
     trained = np.repeat(~held_out(table["doc_id"].to_pylist()), np.diff(bounds))
     counts = np.bincount(which[trained], minlength=len(pair))
     at = pair % len(words)
-    return words, np.bincount(pair // len(words), minlength=len(words)), words[at], own[first][at], which, counts, bounds
+    contexts = words[at]
+    return words, np.bincount(pair // len(words), minlength=len(words)), contexts, (contexts & np.uint64(_CLASS)).astype(np.uint8), which, counts, bounds
 
 
 def _packed(values: np.ndarray, kind) -> bytes:
@@ -103,8 +117,27 @@ def _places(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data, np.uint32), dtype=np.uint32).astype(np.int64)
 
 
-#: Of a block's pairs in a bucket: words, pairs of each, the contexts that occur with their classes, the pairs' places among these, training counts.
-_ASKED = "bucket int, b int, words binary, pairs binary, contexts binary, classes binary, places binary, counts binary"
+def _ascending(hashes: np.ndarray) -> bytes:
+    """Ascending hashes by their differences, whose upper bits are mostly zero."""
+    return _packed(np.diff(hashes, prepend=np.uint64(0)), np.uint64)
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
+#: Of a block's pairs in a bucket: words, pairs of each, the contexts that occur, the pairs' places among these, training counts.
+_ASKED = "bucket int, b int, words binary, pairs binary, contexts binary, places binary, counts binary"
+
+
+def _opened(asked: pa.Table) -> pa.Table:
+    """The same with hashes in full, and the contexts' classes."""
+    words, contexts = ([_hashes(x) for x in asked[c].to_pylist()] for c in ("words", "contexts"))
+    classes = [(x & np.uint64(_CLASS)).astype(np.uint8) for x in contexts]
+    out = asked.drop_columns(["words", "contexts"])
+    for name, values in (("words", words), ("contexts", contexts), ("classes", classes)):
+        out = out.append_column(name, pa.array([x.tobytes() for x in values], pa.binary()))
+    return out
 
 
 def _bucket_cuts(words: np.ndarray, n: int) -> np.ndarray:
@@ -115,18 +148,18 @@ def _bucket_cuts(words: np.ndarray, n: int) -> np.ndarray:
 
 def _asked(blocks: DataFrame, n: int) -> DataFrame:
     def run(key, table):
-        words, sizes, contexts, classes, _, counts, _ = _pairs(table)
+        words, sizes, contexts, _, _, counts, _ = _pairs(table)
         cuts, ends = _bucket_cuts(words, n), np.concatenate(([0], np.cumsum(sizes)))
         rows = []
         for k in range(n):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 x, y = ends[a], ends[b]
-                own, first, places = np.unique(contexts[x:y], return_index=True, return_inverse=True)
-                packed = (_packed(sizes[a:b], np.int32), own.tobytes(), classes[x:y][first].tobytes(), _steps(places), _packed(counts[x:y], np.int32))
-                rows.append((k, key[0].as_py(), words[a:b].tobytes(), *packed))
+                own, places = np.unique(contexts[x:y], return_inverse=True)
+                packed = (_packed(sizes[a:b], np.int32), _ascending(own), _steps(places), _packed(counts[x:y], np.int32))
+                rows.append((k, key[0].as_py(), _ascending(words[a:b]), *packed))
         names = [f.split()[0] for f in _ASKED.split(", ")]
-        kinds = [pa.int32()] * 2 + [pa.binary()] * 6
+        kinds = [pa.int32()] * 2 + [pa.binary()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return blocks.groupBy("b").applyInArrow(run, _ASKED)
@@ -272,7 +305,7 @@ _UPPER = -1  # in the place of a part or bucket: totals of the upper restaurants
 
 def _sampled(asked: pa.Table, replies: pa.Table, bucket: int, history: tuple):
     """The bucket after each sweep whose totals before it are known, with the totals after it where they are known."""
-    model = _Contexts(asked)
+    model = _Contexts(_opened(asked))
     sweeps, parts = replies["sweep"].to_numpy(), replies["part"].to_numpy()
     for sweep in range(len(history) + 1):
         if sweep:
@@ -308,7 +341,7 @@ def _sent(history: tuple, n: int):
             places = dict(zip(first["part"].to_pylist(), first["places"].to_pylist()))
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[k], cuts[k + 1]
-                names = places[k] if history else model.contexts[a:b].tobytes()
+                names = places[k] if history else _ascending(model.contexts[a:b])
                 rows.append((k, bucket, names, _packed(tables[a:b], np.int32), None if history else _packed(customers[a:b], np.int64), None))
         return _rows(rows, _SENT, [pa.int32()] * 2 + [pa.binary()] * 3 + [pa.list_(pa.int64())])
 
@@ -326,8 +359,9 @@ def _added(sweep: int):
         if sweep:
             places = [_places(x) for x in table["contexts"].to_pylist()]
         else:
-            names, flat = np.unique(np.concatenate(_arrays(table, "contexts", np.uint64)), return_inverse=True)
-            places = np.split(flat, np.cumsum([len(x) // 8 for x in table["contexts"].to_pylist()])[:-1])
+            names = [_hashes(x) for x in table["contexts"].to_pylist()]
+            _, flat = np.unique(np.concatenate(names), return_inverse=True)
+            places = np.split(flat, np.cumsum([len(x) for x in names])[:-1])
         add = lambda c, t: np.bincount(np.concatenate(places), np.concatenate([_unpacked(x, t) for x in table[c].to_pylist()])).astype(np.int64)
         tables, customers = add("tables", np.int32), None if sweep else add("customers", np.int64)
         rows = []
@@ -367,8 +401,8 @@ def _answers(asked: DataFrame, history: list[np.ndarray], replies: DataFrame) ->
             logs = np.log10(total / used).astype(np.float32)[model.asked_leaf]
             counts = model.word_count[model.asked].astype(np.int64)
             ends, word_ends = np.cumsum(model.asked_pairs), np.cumsum(model.asked_words)
-            scores = [logs[e - n : e].tobytes() for e, n in zip(ends, model.asked_pairs)]
-            known = [counts[e - n : e].tobytes() for e, n in zip(word_ends, model.asked_words)]
+            scores = [_packed(logs[e - n : e], np.float32) for e, n in zip(ends, model.asked_pairs)]
+            known = [_packed(counts[e - n : e], np.int64) for e, n in zip(word_ends, model.asked_words)]
             rows = [(b, bucket, x, y) for b, x, y in zip(model.blocks, scores, known)]
         return _rows(rows, _ANSWER, [pa.int32()] * 2 + [pa.binary()] * 2)
 
@@ -383,7 +417,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int)
     def score(table, found):
         _, sizes, _, _, which, _, bounds = _pairs(table)
         order = np.argsort(found["bucket"].to_numpy())
-        join = lambda c, t: np.concatenate([np.frombuffer(found[c][int(k)].as_py(), t) for k in order])
+        join = lambda c, t: np.concatenate([_unpacked(found[c][int(k)].as_py(), t) for k in order])
         logs = join("scores", np.float32).astype(np.float64)[which]
         counts = np.repeat(join("counts", np.int64), sizes)[which]
         base = np.log10((counts + 1.0) / (n_tokens + n_words + 1))
@@ -413,7 +447,8 @@ def _bucketed(df: DataFrame, n: int, column: str, name: str | None = None) -> st
     if name is None:
         name = f"llm_{column}_{uuid.uuid4().hex}"
         writer = writer.option("path", shared_folder(df.sparkSession))
-    writer.mode("append").saveAsTable(name)
+    with shuffles_dropped(df.sparkSession):
+        writer.mode("append").saveAsTable(name)
     return name
 
 

@@ -6,7 +6,9 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -423,6 +425,44 @@ def test_pitman_yor_contexts_are_words(spark):
         model.sweep(totals, (0, sweep))
 
 
+def test_pitman_yor_messages_are_small(spark):
+    """Hashes travel by their differences and carry the class of the word; nothing of them is lost."""
+    text = " ".join(f"w{random.Random(k).randrange(5000)}" for k in range(40_000))
+    block = spark.createDataFrame([(0, 1, text)], "b int, doc_id long, text string")
+    asked = pitman_yor._asked(block, 4).toArrow()
+    whole = pitman_yor._opened(asked)
+    words, sizes, contexts, classes, _, _, _ = pitman_yor._pairs(block.toArrow())
+    held = pitman_yor._arrays(whole, "words", np.uint64)
+    assert sorted(np.concatenate(held).tolist()) == words.tolist()
+    pairs = {(w, c, k) for w, c, k in zip(np.repeat(words, sizes).tolist(), contexts.tolist(), classes.tolist())}
+    got = set()
+    for own, n, names, kinds, places in zip(*(whole[c].to_pylist() for c in ("words", "pairs", "contexts", "classes", "places"))):
+        at = pitman_yor._places(places)
+        own = np.repeat(np.frombuffer(own, np.uint64), pitman_yor._unpacked(n, np.int32))
+        got |= set(zip(own.tolist(), np.frombuffer(names, np.uint64)[at].tolist(), np.frombuffer(kinds, np.uint8)[at].tolist()))
+    assert got == pairs
+    raw = sum(len(x) for c in ("words", "contexts", "classes") for x in whole[c].to_pylist())
+    assert sum(len(x) for c in ("words", "contexts") for x in asked[c].to_pylist()) < 0.85 * raw
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from alertloom.llm import store
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(store.CLEANUP, None)
+    table = store.saved(spark.range(1000).repartition(7, "id"))
+    name = pitman_yor._bucketed(spark.range(1000), 5, "id")
+    assert table.count() == 1000 and spark.table(name).count() == 1000
+    for _ in range(100):  # they are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError("shuffle files are still there")
+    assert spark.conf.get(store.CLEANUP, None) == setting
+
+
 def test_hilbert(spark, docs, nothing):
     grid = spark.range(64 * 64).select((F.col("id") / 64).cast("long").alias("x"), (F.col("id") % 64).alias("y"))
     walk = grid.withColumn("h", hilbert.curve_index([F.col("x"), F.col("y")], 6)).orderBy("h").collect()
