@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from alertloom.operators.materialize import ensure_checkpoint_dir
 
 BLOB_RECORDS = 500
+#: Spark numbers the files that a task writes into a folder with three digits; their order is that of their names up to 1000.
+FOLDER_FILES = 100
 AS_OF = "2024-01-31 01:00:00"
 
 
@@ -102,8 +104,10 @@ def blobs(spark: SparkSession, sf: str, kinds: str = "mixed") -> DataFrame:
 
 
 def write_files(blobs: DataFrame, path: str) -> str:
-    """One text file per blob."""
-    blobs.select("file", "blob").write.partitionBy("file").text(path)
+    """One text file per blob, in the order of their names. FOLDER_FILES of them share a folder: listing takes a task per folder."""
+    folder = F.format_string("d%09d", F.floor(F.substring("file", 2, 18).cast("bigint") / FOLDER_FILES))
+    placed = blobs.select(folder.alias("folder"), "file", "blob").repartition("folder").sortWithinPartitions("folder", "file")
+    placed.select("folder", "blob").write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
     return path
 
 

@@ -104,3 +104,17 @@ def test_alert_fields_have_to_fit(spark, tmp_path):
         read_alert_array(spark, str(tmp_path)).collect()
     (tmp_path / "a.json").write_text('[{"id":"1","severity":3}]')
     assert [r.id for r in read_alert_array(spark, str(tmp_path)).collect()] == ["1"]
+
+
+def test_files_of_blobs_share_folders(spark, tmp_path):
+    """Each blob is a file of its own, files are in the order of the blobs' names, and folders are far fewer than files."""
+    from pyspark.sql import functions as F
+
+    from alertloom import fixtures
+    from alertloom.sources.ingest import read_blobs
+
+    names = spark.range(350).select(F.format_string("f%06d", "id").alias("file"), F.concat(F.lit("a\nb"), "id").alias("blob"))
+    path = fixtures.write_files(names.repartition(5), str(tmp_path / "files"))
+    got = read_blobs(spark, path).select("file_no", "blob").collect()
+    assert sorted((r.file_no, r.blob.strip()) for r in got) == [(k, f"a\nb{k}") for k in range(350)]
+    assert len([p for p in (tmp_path / "files").iterdir() if p.is_dir()]) == 4
