@@ -817,5 +817,5 @@ def stream_reputation_join(spark, sf):
 
 def _alert_files(spark, sf):
     path = fx.scratch_path(spark)
-    fx.alerts(spark, sf).repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(path)
+    fx.alerts(spark, sf).repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(path)
     return path

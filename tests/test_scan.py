@@ -118,3 +118,22 @@ def test_files_of_blobs_share_folders(spark, tmp_path):
     got = read_blobs(spark, path).select("file_no", "blob").collect()
     assert sorted((r.file_no, r.blob.strip()) for r in got) == [(k, f"a\nb{k}") for k in range(350)]
     assert len([p for p in (tmp_path / "files").iterdir() if p.is_dir()]) == 4
+
+
+def test_alert_files_take_as_many_tasks_as_the_session_deals(spark):
+    """Files of the streams' input are in order of the alerts, and not of a fixed number."""
+    from pyspark.sql import functions as F
+
+    from alertloom import queries
+
+    wanted = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        path = queries._alert_files(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_name")).agg(F.min("seq"), F.max("seq")).orderBy("file_name").collect()
+    assert len(files) == 7 and all(a[2] < b[1] for a, b in zip(files, files[1:]))
