@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 
 #: Any character that some definition counts as white space, next to a blank.
 BESIDE_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}] | [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
-#: Words kept between batches; beyond that the memory is emptied.
-KEPT_WORDS = 1_000_000
+#: Words kept between batches; beyond that at most half of them stay, those met most often.
+KEPT_WORDS = 150_000
 #: Words put into one line for the tokenizer.
 LINE = 1000
+#: Characters given to the tokenizer in one call.
+AT_ONCE = 1 << 18
 
 
 class Encoder:
@@ -40,17 +42,35 @@ class Encoder:
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.border[number] = token.startswith("Ġ") if style == "bytes" else token.endswith("</w>")
-        self._forget()
-
-    def _forget(self) -> None:
-        """Entry 0 is the empty word."""
+        # Entry 0 is the empty word; entries are numbered in the order in which their names came.
         self.known: dict[str, int] = {"": 0}
         self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.met = np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        """Drops the words met once, and of the others those met less, until half the room is free."""
+        least = 2 if (self.met > 1).sum() < KEPT_WORDS // 2 else int(np.partition(self.met, -(KEPT_WORDS // 2))[-(KEPT_WORDS // 2)]) + 1
+        stays = self.met >= least
+        stays[0] = True
+        at = np.flatnonzero(stays)
+        self.known = dict(zip(compress(self.known, stays.tolist()), range(len(at))))
+        self.flat = gathered(self.flat, self.starts[at], self.sizes[at])
+        self.sizes, self.met = self.sizes[at], self.met[at] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+        """A few texts at a time: the library holds about a hundred bytes for each token of a call."""
+        flat, sizes, at = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
+        while at < len(texts):
+            upto, held = at, 0
+            while upto < len(texts) and held < AT_ONCE:
+                held += len(texts[upto])
+                upto += 1
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:upto], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+            at = upto
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many words in one line, taken apart again at the tokens that begin or end a word."""
@@ -78,6 +98,7 @@ class Encoder:
                 self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
                 self.sizes = np.concatenate((self.sizes, sizes))
                 self.flat = np.concatenate((self.flat, flat))
+                self.met = np.concatenate((self.met, np.zeros(len(some), np.int64)))
 
     def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and number of ids of each word; a full stop or comma behind a letter is a token of its own."""
@@ -96,6 +117,7 @@ class Encoder:
         words = [names[k] for k in new]
         self._learn(words)
         of_name[new] = [known[w] for w in words]
+        self.met[of_name] += 1
         signs = [m for m in marks.dictionary.to_pylist() if m]
         bare = dict(zip(signs, self._bare(signs)))
         of_stem = of_name[stems.indices.to_numpy()]
@@ -114,6 +136,7 @@ class Encoder:
                 self.starts = np.append(self.starts, len(self.flat))
                 self.sizes = np.append(self.sizes, sizes)
                 self.flat = np.append(self.flat, flat)
+                self.met = np.append(self.met, 1)
         return [self.known[n] for n in names]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -121,7 +121,7 @@ def pack(
                 names.append("ids")
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in blocks(batches, most_bytes=8 << 20):
+        for batch in blocks(batches, most_bytes=1 << 20):
             ids, bounds = code.batch(batch.column("text"))
             done = []
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):

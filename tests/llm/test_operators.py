@@ -246,6 +246,36 @@ def test_added_tokens(name, style):
         assert list(ids[bounds[k] : bounds[k + 1]]) == plain.encode(text or "", add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name, style", [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
+def test_encoder_keeps_frequent_words_in_little_memory(monkeypatch, name, style):
+    """Words met often outlive those met once, the tokenizer gets few characters a call, ids are as without any of this."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from alertloom.llm import encoder
+
+    monkeypatch.setattr(encoder, "KEPT_WORDS", 400)
+    monkeypatch.setattr(encoder, "AT_ONCE", 2000)
+    code, plain = encoder.Encoder(tokenizer_path(name), style), Tokenizer.from_file(tokenizer_path(name))
+    calls, rng = [], random.Random(4)
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            calls.append([len(t) for t in texts])
+            return plain.encode_batch_fast(texts, **how)
+
+    code.tokenizer = Counted()
+    common = ["common" + chr(97 + k) for k in range(20)]
+    for turn in range(12):
+        rare = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(150)]
+        texts = [" ".join(rng.sample(common + rare, 170)) + (".  Two\tblanks\n x" if k > 7 else ".") for k in range(10)]
+        ids, bounds = code.batch(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert set(common) <= set(code.known) or turn == 0
+    assert len(code.known) < 400 + 200
+    assert max(sum(c) - c[-1] for c in calls) < 2000
+
+
 def test_arrow_files(spark, docs, nothing):
     manifest = arrow_files.write(docs, shared_folder(spark), tokenizer_path("word_bpe_49k.json"), shards=4)
     got = sorted(rows_of(arrow_files.read(manifest)), key=lambda r: r.start)
