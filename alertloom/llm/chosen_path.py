@@ -11,9 +11,9 @@ Trees come one pass after another: nodes whose classes an earlier pass has alrea
 trees cost little. A larger node is first cut by set size: classes whose sizes differ by more than the threshold allows
 can't be linked, so each goes into two bands of sizes and every possible pair meets in one. What is still large is dealt
 into blocks of about LEAF classes in which a few hubs of the node stand each, so that a large group of near copies becomes one component by its links to hubs. If many of its classes are
-still outside its main component (they only share a frequent passage), the node branches again, DEPTH levels at
-most. Otherwise, and at the last level, the classes outside (strays) meet every block of the node, in cells of bounded
-size: every pair of the node is then compared but for pairs already connected. No task holds a whole large node.
+still outside its main component (they only share a frequent passage) and they would fill more than a few cells, the node branches
+again, DEPTH levels at most, which leaves fewer classes in a node each time. Otherwise, and at the last level, the classes
+outside (strays) meet every block of the node, in cells of bounded size: every pair of the node is then compared but for pairs already connected. No task holds a whole large node.
 
 Comparison has two steps. The sketches of a group alone tell which of its classes have a partner at all; only the
 texts of these are brought to the group. Pairs whose sketches agree in under LEAST_AGREEING of SKETCH places are passed over (a pair at the threshold
@@ -41,13 +41,15 @@ PERCENT = 80
 SKETCH = 64
 TREES, BRANCHES = 4, 2
 LEAF = 512
-DEPTH = 2
+DEPTH = 6
 HUBS = 4
 LEAST_AGREEING = 34
 #: Classes of a node that meet in a cell: half of them strays, half of them any.
 CELL = 2048
 #: Share of a large node that may be strays for them to meet all of it at once.
 FEW_STRAYS = 8
+#: Blocks and parts of a node with many strays for them to meet all of it at once; more would cost more than branching.
+FEW_CELLS = 4
 #: Rounds towards components between passes: equal labels mean connected, which is all that a pass needs.
 ROUNDS = 2
 #: Stands for a null doc_id.
@@ -80,10 +82,10 @@ def _value(order):
 
 
 def roots(classes: DataFrame, trees: range) -> DataFrame:
-    """(node, id) below the roots of these trees."""
+    """(node, id, n) below the roots of these trees."""
     orders = [F.lit(t * BRANCHES + k) for t in trees for k in range(BRANCHES)]
     below = F.array(*[F.xxhash64(F.lit("root"), o, _value(o)) for o in orders])
-    return classes.select("id", F.explode(below).alias("node"))
+    return classes.select("id", "n", F.explode(below).alias("node"))
 
 
 def branched(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -95,23 +97,23 @@ def branched(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.select("id", "sketch"), "id").select("id", F.explode(below).alias("node"))
 
 
-def by_size(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(node, id) of these nodes cut into bands of set sizes, each class in its own band and the next; linked classes share one."""
+def by_size(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, id) of these nodes (node, id, n) cut into bands of set sizes, each class in its own band and the next; linked classes share one."""
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) - F.lit(1e-9))
     below = [F.struct(F.xxhash64("node", F.lit("size"), band + F.lit(k)).alias("node"), F.lit(k == 0).alias("own")) for k in range(2)]
-    held = rows.join(classes.select("id", "n"), "id").select("id", F.explode(F.array(*below)).alias("b")).select("b.*", "id")
+    held = rows.select("id", F.explode(F.array(*below)).alias("b")).select("b.*", "id")
     # a band without classes of its own holds only pairs that the one before it holds, too
     return held.join(held.where("own").select("node").distinct(), "node", "left_semi").select("node", "id")
 
 
 def unsettled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(node, id, label, size, n_main, main) of nodes with classes not yet connected; main is the commonest label."""
+    """The rows (node, id and more) with label, size, n_main and main, of nodes with classes not yet connected; main is the commonest label."""
     if found is None:
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         held = rows.join(sizes, "node").withColumn("label", F.col("id"))
         return saved(held.withColumns({"n_main": F.lit(1).cast("long"), "main": F.col("id")}))
     held = rows.join(found.select(F.col("vertex").alias("id"), "component"), "id", "left")
-    held = held.select("node", "id", F.coalesce("component", "id").alias("label"))
+    held = held.select(*rows.columns, F.coalesce("component", "id").alias("label"))
     counts = held.groupBy("node", "label").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("m"))
     sizes = sizes.select("node", "size", F.col("m.n").alias("n_main"), F.col("m.label").alias("main")).where("n_main < size")
@@ -148,10 +150,15 @@ def _least_in_part(ranked, k: int):
     return F.min(F.when(F.pmod(F.xxhash64("id", F.lit("hub")), F.lit(HUBS - 1)) == k - 1, ranked)).alias(f"h{k}")
 
 
+def _cells() -> tuple:
+    """Into how many blocks a node's classes are dealt, and into how many parts those outside its main component."""
+    size, half = F.col("size"), CELL // 2
+    return F.ceil(size / half), F.ceil((size - F.col("n_main")) / half)
+
+
 def stray_groups(rows: DataFrame) -> DataFrame:
     """(group, id): cells in which classes outside their node's main component meet all of the node."""
-    size, half = F.col("size"), CELL // 2
-    n_blocks, n_parts = F.ceil(size / half), F.ceil((size - F.col("n_main")) / half)
+    n_blocks, n_parts = _cells()
     block = F.pmod(F.xxhash64("id", F.lit("cell")), n_blocks)
     part = F.pmod(F.xxhash64("id", F.lit("part")), n_parts)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -313,8 +320,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     for trees in (range(1), range(1, TREES)):
         rows = unsettled(roots(classes, trees), found)
-        cut = unsettled(by_size(rows.where(F.col("size") > LEAF).select("node", "id"), classes, percent), found)
-        compare(groups_of(rows.where(F.col("size") <= LEAF).unionByName(cut)))
+        cut = unsettled(by_size(rows.where(F.col("size") > LEAF).select("node", "id", "n"), percent), found)
+        compare(groups_of(rows.where(F.col("size") <= LEAF).drop("n").unionByName(cut)))
         own = cut.where(F.col("size") > LEAF).select("node", "id")
         large = own if large is None else large.unionByName(own)
         if found is None:
@@ -325,6 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         learn()
         rows = unsettled(large, found)
         many = F.col("size") - F.col("n_main") > F.greatest(F.lit(LEAF), F.col("size") / FEW_STRAYS)
+        many = many & (sum(_cells()) > FEW_CELLS)
         if depth == DEPTH - 1:
             compare(stray_groups(rows))
         else:

@@ -387,6 +387,28 @@ def test_large_nodes(spark, monkeypatch):
     assert sorted(map(tuple, rows_of(chosen_path.near_duplicates(df)))) == want
 
 
+def test_nodes_of_few_cells_meet_at_once(spark, monkeypatch):
+    """A node that is little larger than a cell isn't branched: its strays meet all of it, and each class's rows stay few."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(i, " ".join(base[:90] + [rng.choice(words) for _ in range(30)])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, rows_of(chosen_path.near_duplicates(df))))
+    confirmed, compared, branched = chosen_path.confirmed, [], []
+
+    def counted(groups, *more):
+        compared.append(groups.count())
+        return confirmed(groups, *more)
+
+    monkeypatch.setattr(chosen_path, "confirmed", counted)
+    monkeypatch.setattr(chosen_path, "branched", lambda rows, classes: branched.append(rows.count()) or rows)
+    monkeypatch.setattr(chosen_path, "LEAF", 8)
+    monkeypatch.setattr(chosen_path, "CELL", 128)
+    assert sorted(map(tuple, rows_of(chosen_path.near_duplicates(df)))) == want
+    assert not any(branched) and len(compared) == 3
+
+
 def test_pitman_yor(docs, nothing):
     own = [(i, WORD.findall((t or "").translate(LOW)) + ["\0"]) for i, t in everything()]
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
