@@ -196,30 +196,39 @@ def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether a suffix is smaller than the next one; how often its first character is repeated from there."""
     n = len(text)
     change = np.flatnonzero(np.append(text[1:] != text[:-1], True))  # last place of each run
-    last = change[np.searchsorted(change, np.arange(n))]
+    last = np.repeat(change, np.diff(np.append(-1, change)))
     after = np.append(text, 0)[last + 1]
     smaller = text < after
     smaller[-1] = True
     return smaller, last - np.arange(n) + 1
 
 
-def _doubled(text: np.ndarray) -> np.ndarray:
-    """Suffix array by ranks of doubled length."""
-    rank, step, n = np.unique(text, return_inverse=True)[1].astype(np.int64), 1, len(text)
+def _doubled(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Suffix array by ranks of doubled length, from the places in the order of their symbols; only what is still tied is sorted again."""
+    n, step = len(text), 1
+    order, rank = order.copy(), np.empty(n, np.int64)
+    slots, keys = np.arange(n), text[order]
     while True:
-        second = np.append(rank[step:] + 1, np.zeros(min(step, n), np.int64))[:n]
-        both = rank * (n + 2) + second
-        order = np.argsort(both, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(np.diff(both[order]) != 0)))
-        if rank[order[-1]] == n - 1:
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        firsts = np.flatnonzero(new)
+        rank[order[slots]] = np.repeat(slots[firsts], np.diff(np.append(firsts, len(slots))))
+        slots = slots[~(new & np.append(new[1:], True))]
+        if not len(slots):
             return order
+        tied = order[slots]
+        beyond = tied + step
+        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        keys = rank[tied] * (n + 1) + second
+        own = np.argsort(keys, kind="stable")
+        order[slots], keys = tied[own], keys[own]
         step *= 2
 
 
 def _common(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Common prefixes of neighbours in a sorted list of LMS suffixes, up to `most`."""
     out = np.zeros(len(order), np.int64)
+    if text.max() < 1 << 8:
+        return _common_bytes(text.astype(np.uint8), order, most)
     padded = np.append(text, np.full(4, -1)).astype(np.int64)
     if text.max() < 1 << 15:  # four symbols at a time
         packed = padded[:-3].copy()
@@ -244,6 +253,29 @@ def _common(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(out, most).astype(np.uint8)
 
 
+def _common_bytes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """The same of symbols of a byte, eight at a time: the first place where two words of eight differ tells the rest."""
+    n = len(text)
+    packed = np.zeros(n, np.uint64)
+    for k in range(min(8, n)):
+        packed[: n - k] |= text[k:].astype(np.uint64) << np.uint64(8 * k)
+    out = np.zeros(len(order), np.int64)
+    at, a, b = np.arange(1, len(order)), order[:-1], order[1:]
+    while len(at):
+        other = packed[a] ^ packed[b]
+        low = other & (~other + np.uint64(1))
+        same = np.where(other > 0, (np.frexp(low.astype(np.float64))[1] - 1) >> 3, 8)
+        # behind the text's end stand zeros, which are no symbols
+        same = np.minimum(same, n - np.maximum(a, b))
+        out[at] += same
+        on = (same == 8) & (out[at] < most)
+        at, a, b = at[on], a[on] + 8, b[on] + 8
+        inside = np.maximum(a, b) < n
+        if not inside.all():
+            at, a, b = at[inside], a[inside], b[inside]
+    return np.minimum(out, most).astype(np.uint8)
+
+
 def suffix_array(text: np.ndarray, most: int = MOST, memory: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes of a text whose last symbol is its only least one, and common prefixes up to `most`."""
     if len(text) < 3:
@@ -279,6 +311,8 @@ def suffix_array(text: np.ndarray, most: int = MOST, memory: int = QUEUE_BYTES)
         if names[-1] < SMALL:
             order = suffix_array(reduced, 1, memory)[0]
         else:
-            order = _doubled(reduced)
+            place = np.empty(len(text), np.int64)
+            place[lms] = np.arange(len(lms))
+            order = _doubled(reduced, place[sorted_lms])
         sorted_lms = lms[order]
     return _induce(text, smaller, runs, sorted_lms, _common(text, sorted_lms, most), memory)

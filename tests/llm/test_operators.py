@@ -93,6 +93,30 @@ def test_suffix_arrays():
             assert min(n, 50) == min(int(prefixes[k]), 50)
 
 
+def test_only_ties_are_sorted_again(monkeypatch):
+    from alertloom.llm import induced
+
+    rng = np.random.default_rng(2)
+    text = np.concatenate((rng.permutation(5000) + 2, [7, 8, 9, 10, 7, 8, 9, 11, 7, 8, 9], [1, 0]))
+    want = sorted(range(len(text)), key=lambda k: text[k:].tolist())
+    start, held, argsort = np.argsort(text, kind="stable"), [], np.argsort
+    monkeypatch.setattr(induced.np, "argsort", lambda x, **how: held.append(len(x)) or argsort(x, **how))
+    assert induced._doubled(text, start).tolist() == want
+    assert sum(held) < 60
+
+
+def test_common_prefixes_of_bytes():
+    from alertloom.llm import induced
+
+    rng = random.Random(6)
+    for symbols, n in (("ab", 400), ("a", 70), ("abcdefgh", 300)):
+        text = np.array([ord(rng.choice(symbols)) for _ in range(n)] + [250, 255, 255, 0])
+        order = np.array(sorted(range(len(text)), key=lambda k: text[k:].tolist()))
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(text[a:], text[b:])) if x != y), len(text) - max(a, b))
+        want = [0] + [min(common(a, b), 50) for a, b in itertools.pairwise(order.tolist())]
+        assert induced._common(text, order, 50).tolist() == want == induced._common_bytes(text.astype(np.uint8), order, 50).tolist()
+
+
 def test_suffix_dedup(docs, nothing):
     data = [(-(1 << 63) if i is None else i, (t or "").encode()) for i, t in everything()]
     first = {}
