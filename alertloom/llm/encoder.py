@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: Any character that some definition counts as white space, next to a blank.
 BESIDE_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}] | [\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Words kept between batches; beyond that at most half of them stay, those met most often.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 #: Words put into one line for the tokenizer.
 LINE = 1000
 #: Characters given to the tokenizer in one call.
