@@ -36,18 +36,22 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, bounds
 
 
-def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
-    """Each text's distinct shingles, ascending; a shorter text is one shingle, a text without words has none."""
-    rolled = hashes.copy()
+def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The shingle that begins with each word, as long as there are words."""
+    out = hashes.copy()
     if len(hashes) >= size:
-        rolled = hashes[: len(hashes) - size + 1].copy()
+        out = hashes[: len(hashes) - size + 1].copy()
         for k in range(1, size):
-            rolled = rolled * _ODD + hashes[k : len(hashes) - size + 1 + k]
-    rolled = mixed(rolled)
-    out = []
+            out = out * _ODD + hashes[k : len(hashes) - size + 1 + k]
+    return mixed(out)
+
+
+def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
+    """Each text's distinct shingles, ascending; a shorter text is one shingle, a text without words has none."""
+    shingles, out = rolled(hashes, size), []
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= size:
-            out.append(np.unique(rolled[a : b - size + 1]))
+            out.append(np.unique(shingles[a : b - size + 1]))
         elif b > a:
             whole = np.uint64(b - a)
             with np.errstate(over="ignore"):

@@ -699,6 +699,23 @@ def test_repeated_spans(spark):
     assert len(by_paragraph) < len(want) // 20
 
 
+def test_paragraphs_keep_what_may_repeat(spark, monkeypatch):
+    """Only spans and paragraphs with their like elsewhere are written; however many buckets, the result is the same."""
+    shared = " ".join(f"same{k}" for k in range(40))
+    alone = {d: "\n".join(" ".join(f"own{d}x{k}y{i}" for i in range(30)) for k in range(5)) for d in range(20)}
+    texts = {d: f"{t}\n{shared}\n" if d < 3 else t for d, t in alone.items()} | {20: None, 21: " \n", 22: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = sorted(map(tuple, rows_of(paragraphs.removals(df))), key=str)
+    assert {r[0] for r in want if r[3]} == {1, 2}
+    monkeypatch.setattr(paragraphs, "BUCKET", 50)
+    assert sorted(map(tuple, rows_of(paragraphs.removals(df))), key=str) == want
+    for r in rows_of(paragraphs.paragraphs(df.select(paragraphs._identity().alias("id"), "text"))):
+        begin = len(alone[paragraphs._doc_id(bytes(r.id))]) if paragraphs._doc_id(bytes(r.id)) < 3 else None
+        places = [(x.begin, x.end) for x in [*r.spans, *r.paragraphs]]
+        assert (begin is not None) == bool(places)
+        assert all(a >= begin for a, _ in places)
+
+
 def test_pipeline_near_duplicates(spark):
     """One word of 40 is new: 33 of 41 four-word shingles are common, but only 31 of 41 five-word ones; of 60 words 51 of 61."""
     import corpus_pipeline
