@@ -23,7 +23,6 @@ Other columns are ignored. No rows: no rows; without training rows every token i
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm.store import shared_folder, shuffles_dropped
+from alertloom.llm.store import bucketed as _bucketed
 
 CLASSES, GROUPS = 64, 8
 #: By level: root, groups, classes, contexts.
@@ -441,17 +440,6 @@ def _scored(blocks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int)
 _KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
 
-def _bucketed(df: DataFrame, n: int, column: str, name: str | None = None) -> str:
-    """Name of a new table, or of the given one with these rows added, written so that grouping by the column needs no further shuffle."""
-    writer = df.repartition(n, column).write.option("compression", "zstd").bucketBy(n, column).format("parquet")
-    if name is None:
-        name = f"llm_{column}_{uuid.uuid4().hex}"
-        writer = writer.option("path", shared_folder(df.sparkSession))
-    with shuffles_dropped(df.sparkSession):
-        writer.mode("append").saveAsTable(name)
-    return name
-
-
 def scores(docs: DataFrame) -> DataFrame:
     """One row per document: held out or not, tokens, known tokens, unigram base score and the model's score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

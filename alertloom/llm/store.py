@@ -56,3 +56,14 @@ def saved(df: DataFrame) -> DataFrame:
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, n: int, column: str, name: str | None = None) -> str:
+    """Name of a new table, or of the given one with these rows added, written so that grouping by the column needs no further shuffle."""
+    writer = df.repartition(n, column).write.option("compression", "zstd").bucketBy(n, column).format("parquet")
+    if name is None:
+        name = f"llm_{column}_{uuid.uuid4().hex}"
+        writer = writer.option("path", shared_folder(df.sparkSession))
+    with shuffles_dropped(df.sparkSession):
+        writer.mode("append").saveAsTable(name)
+    return name

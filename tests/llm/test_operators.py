@@ -716,6 +716,21 @@ def test_paragraphs_keep_what_may_repeat(spark, monkeypatch):
         assert all(a >= begin for a, _ in places)
 
 
+def test_near_duplicates_shuffle_texts_once(spark, monkeypatch):
+    """Whatever a comparison asks for, the texts lie dealt by id already."""
+    df = spark.createDataFrame([(k, " ".join(f"w{k // 2}x{i}" for i in range(50))) for k in range(20)], "doc_id long, text string")
+    confirmed, seen = chosen_path.confirmed, []
+    monkeypatch.setattr(chosen_path, "confirmed", lambda groups, classes, docs, *rest: seen.append(docs) or confirmed(groups, classes, docs, *rest))
+    rows_of(chosen_path.near_duplicates(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [spark.range(5).join(docs, "id")._jdf.queryExecution().executedPlan().toString() for docs in seen]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans and all(plan.count("Exchange hashpartitioning(id") == 1 for plan in plans)
+
+
 def test_pipeline_near_duplicates(spark):
     """One word of 40 is new: 33 of 41 four-word shingles are common, but only 31 of 41 five-word ones; of 60 words 51 of 61."""
     import corpus_pipeline
