@@ -8,9 +8,13 @@ still open can be read from the state at any time, so nothing is lost when the i
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -62,14 +66,118 @@ GROUP_OUT = (
     "group_seq bigint, src_key string, dest_key string, zone int, signature string, "
     "occurrence_count int, first_seen string, last_seen string"
 )
-_GROUP_STATE = "signature string, us bigint, n bigint, first_seen string, last_seen string"
+_GROUP_FIELDS = ["seq", "signature", "us", "n", "first_seen", "last_seen"]
+_PART_STATE = (
+    "seq array<bigint>, signature array<string>, us array<bigint>, n array<bigint>, "
+    "first_seen array<string>, last_seen array<string>"
+)
+# Open groups that share a row of the state: each access to it is a call to the JVM.
+PART_GROUPS = 256
+# Rows that are Python objects at a time; the others of a micro-batch wait in arrays.
+BLOCK_ROWS = 100_000
+
+
+class _Rows:
+    """One key's rows of a micro-batch, in arrays."""
+
+    def __init__(self, frames: Iterator[pd.DataFrame], index: SignatureIndex) -> None:
+        parts = [
+            (
+                f["seq"].to_numpy(), f["us"].to_numpy(dtype=np.int64), self._numbers(f["signature"], index),
+                pa.array(f["stamp"], pa.large_string(), from_pandas=True),
+            )
+            for f in frames
+        ]
+        seq, self.us, self.number = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.no_seq = pd.isna(seq)
+        self.seq = np.where(self.no_seq, 0, seq).astype(np.int64)
+        self.stamp = pa.concat_arrays([p[3] for p in parts])
+
+    @staticmethod
+    def _numbers(signatures: pd.Series, index: SignatureIndex) -> np.ndarray:
+        codes, distinct = pd.factorize(signatures)
+        return np.array([index.number(s) for s in distinct], dtype=np.int32)[codes]
+
+    def in_order(self, by_time: bool) -> Iterator[tuple[int | None, int, int, str | None]]:
+        order = np.lexsort((self.seq, self.no_seq, self.us) if by_time else (self.seq, self.no_seq))
+        for start in range(0, len(order), BLOCK_ROWS):
+            at = order[start : start + BLOCK_ROWS]
+            seq = self.seq[at].tolist()
+            if self.no_seq[at].any():
+                seq = [None if missing else s for s, missing in zip(seq, self.no_seq[at].tolist())]
+            yield from zip(seq, self.us[at].tolist(), self.number[at].tolist(), self.stamp.take(pa.array(at)).to_pylist())
+
+
+class _Groups:
+    """Open groups [seq, signature, latest time, count, first stamp, last stamp] in order of creation, and
+    those of each signature by the stretch of a window that their latest time lies in: a row looks at its own stretch and the
+    two beside it, however many groups are open."""
+
+    def __init__(self, window: int, index: SignatureIndex, known: list[list]) -> None:
+        self.window, self.index, self.width = window, index, max(1, window)
+        self.all: list[list] = []
+        self.number: list[int] = []
+        self.stretches: list[dict[int, list[int]]] = []
+        self.accepting: dict[int, list[dict[int, list[int]]]] = {}
+        for group in known:
+            self._add(index.number(group[1]), group)
+
+    def _of(self, number: int) -> dict[int, list[int]]:
+        while len(self.stretches) <= number:
+            self.stretches.append({})
+        return self.stretches[number]
+
+    def _add(self, number: int, group: list) -> None:
+        self._of(number).setdefault(group[2] // self.width, []).append(len(self.all))
+        self.all.append(group)
+        self.number.append(number)
+
+    def place(self, seq: int | None, us: int, number: int, stamp: str | None) -> int:
+        """The number of the first group that takes the row. All signatures have their numbers by now."""
+        accepting = self.accepting.get(number)
+        if accepting is None:
+            accepting = self.accepting[number] = [self._of(k) for k in self.index.matching(number)]
+        groups, window = self.all, self.window
+        best, here = len(groups), us // self.width
+        for stretches in accepting:
+            for k in (here, here - 1, here + 1):
+                for g in stretches.get(k, ()):
+                    if g >= best:
+                        break
+                    if -window <= groups[g][2] - us <= window:
+                        best = g
+                        break
+        if best == len(groups):
+            self._add(number, [seq, self.index.texts[number], us, 1, stamp, stamp])
+            return best
+        group = groups[best]
+        if us > group[2]:
+            was = group[2] // self.width
+            group[2] = us
+            if was != here:
+                self._move(self.stretches[self.number[best]], best, was, here)
+        group[3] += 1
+        if stamp is not None:
+            if group[4] is None or stamp < group[4]:
+                group[4] = stamp
+            if group[5] is None or stamp > group[5]:
+                group[5] = stamp
+        return best
+
+    @staticmethod
+    def _move(stretches: dict[int, list[int]], g: int, was: int, now: int) -> None:
+        left = stretches[was]
+        del left[bisect_left(left, g)]
+        if not left:
+            del stretches[was]
+        insort(stretches.setdefault(now, []), g)
 
 
 class OpenGroups(StatefulProcessor):
     """The open groups of one address pair and zone class (and of one signature, where equal ones are merged only).
 
-    Each group is a row of its own in the state, by the number of its first alert; a micro-batch
-    writes back the rows it touched. A timer per changed group closes what event time has left behind.
+    The state holds them in parts of up to PART_GROUPS; a micro-batch writes back the parts it touched. A key
+    has a timer for the group that event time leaves behind first: it closes what is due and sets the next one.
     Groups without a time have no timer: like in a batch, they stay open as long as the stream lives.
     """
 
@@ -78,59 +186,71 @@ class OpenGroups(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.groups = handle.getMapState("groups", "seq bigint", _GROUP_STATE)
+        self.groups = handle.getMapState("groups", "part bigint", _PART_STATE)
+        # Keys whose due groups this micro-batch has closed.
+        self.settled: set[tuple] = set()
+
+    def _open(self) -> dict[int, list[list]]:
+        """The state's parts."""
+        return {k[0]: [list(g) for g in zip(*v)] for k, v in self.groups.iterator()}
 
-    def _open(self) -> list[list]:
-        """[seq, signature, latest time, count, first stamp, last stamp] in order of creation."""
-        return sorted([k[0], *v] for k, v in self.groups.iterator())
+    def _write(self, part: int, groups: list[list]) -> None:
+        if groups:
+            self.groups.updateValue((part,), tuple(list(values) for values in zip(*groups)))
+        else:
+            self.groups.removeKey((part,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        order = ["us", "seq"] if self.by_time else ["seq"]
-        batch = pd.concat(list(rows)).sort_values(order, kind="stable")
-        groups = self._open()
-        timeless = key[2] == NO_TIME
+        parts = self._open()
+        places = sorted(((g, part) for part, held in parts.items() for g in held), key=lambda p: p[0][0] if p[0][0] is not None else math.inf)
         index = SignatureIndex(self.threshold)
-        for g in groups:
-            index.number(g[1])
-        accepting: dict[str, tuple[int, set[str]]] = {}
-        touched: dict[int, list] = {}
-        for seq, us, signature, stamp in zip(batch["seq"].tolist(), batch["us"].tolist(), batch["signature"], batch["stamp"]):
-            stamp = None if pd.isna(stamp) else stamp
-            number = index.number(signature)
-            known, fits = accepting.get(signature, (0, set()))
-            if known < len(index.texts):
-                fits = fits | {index.texts[k] for k in index.matching(number, known)}
-                accepting[signature] = (len(index.texts), fits)
-            for g in groups:
-                if g[1] in fits and abs(g[2] - us) <= self.window:
-                    g[2], g[3] = max(g[2], us), g[3] + 1
-                    if stamp is not None:
-                        g[4] = stamp if g[4] is None else min(g[4], stamp)
-                        g[5] = stamp if g[5] is None else max(g[5], stamp)
-                    break
-            else:
-                g = [seq, signature, us, 1, stamp, stamp]
-                groups.append(g)
-            touched[g[0]] = g
-        for g in touched.values():
-            self.groups.updateValue((g[0],), tuple(g[1:]))
-        if not timeless:
-            now = timerValues.getCurrentWatermarkInMs()
-            for due in {self._due(g) for g in touched.values()}:
-                self.handle.registerTimer(max(due, now + 1))
+        batch = _Rows(rows, index)
+        groups = _Groups(self.window, index, [g for g, _ in places])
+        touched = {groups.place(*row) for row in batch.in_order(self.by_time)}
+
+        changed = {places[g][1] for g in touched if g < len(places)}
+        last = max(parts, default=0)
+        for g in range(len(places), len(groups.all)):
+            if len(parts.get(last, ())) >= PART_GROUPS:
+                last += 1
+            parts.setdefault(last, []).append(groups.all[g])
+            changed.add(last)
+        for part in changed:
+            self._write(part, parts[part])
+        if key[2] != NO_TIME:
+            self._set_timer(groups.all, timerValues)
         return iter(())
 
     def _due(self, group: list) -> int:
         """Milliseconds from which no alert can join any more."""
         return (group[2] + self.window) // 1000 + 1
 
+    def _set_timer(self, groups: list[list], timerValues) -> None:
+        self.handle.registerTimer(max(min(map(self._due, groups)), timerValues.getCurrentWatermarkInMs() + 1))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if key in self.settled:
+            return
+        self.settled.add(key)
         now = timerValues.getCurrentWatermarkInMs()
-        closed = [g for g in self._open() if self._due(g) <= now]
-        for g in closed:
-            self.groups.removeKey((g[0],))
+        closed, left, changed = [], [], []
+        parts = self._open()
+        for part, held in parts.items():
+            kept = [g for g in held if self._due(g) > now]
+            if len(kept) < len(held):
+                closed += [g for g in held if self._due(g) <= now]
+                left += kept
+                changed.append(part)
+                parts[part] = []
+        # What is left of the parts moves together.
+        for at, part in enumerate(changed):
+            parts[part] = left[at * PART_GROUPS : (at + 1) * PART_GROUPS]
+            self._write(part, parts[part])
+        still_open = [g for held in parts.values() for g in held]
+        if still_open:
+            self._set_timer(still_open, timerValues)
         if closed:
-            rows = [(g[0], key[0], key[1], key[2], g[1], g[3], g[4], g[5]) for g in closed]
+            rows = [(g[0], key[0], key[1], key[2], g[1], g[3], g[4], g[5]) for g in sorted(closed, key=lambda g: (g[0] is None, g[0]))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
 
     def close(self) -> None:
@@ -164,12 +284,11 @@ def fuzzy_dedup_stream(alerts: DataFrame, cfg: TriageConfig, delay: str) -> Data
 def open_groups(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The groups that a merging stream still holds, read from its state; the stream may go on later."""
     state = spark.read.format("statestore").option("stateVarName", "groups").load(checkpoint)
-    return state.select(
-        F.col("user_map_key.seq").alias("group_seq"), F.col("key.src_key").alias("src_key"),
-        F.col("key.dest_key").alias("dest_key"), F.col("key.zone").alias("zone"),
-        F.col("user_map_value.signature").alias("signature"),
-        F.col("user_map_value.n").cast("int").alias("occurrence_count"),
-        F.col("user_map_value.first_seen").alias("first_seen"), F.col("user_map_value.last_seen").alias("last_seen"),
+    each = state.select("key", F.inline(F.arrays_zip(*[f"user_map_value.{c}" for c in _GROUP_FIELDS])))
+    return each.select(
+        F.col("seq").alias("group_seq"), F.col("key.src_key").alias("src_key"),
+        F.col("key.dest_key").alias("dest_key"), F.col("key.zone").alias("zone"), "signature",
+        F.col("n").cast("int").alias("occurrence_count"), "first_seen", "last_seen",
     )
 
 

@@ -1,7 +1,11 @@
 """Merging streams against the batch and the plain loop; reputations that change while a stream runs."""
 
+import datetime as dt
 import random
+from collections import Counter
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from alertloom.config import TriageConfig
@@ -59,6 +63,91 @@ def test_a_stream_goes_on(spark, tmp_path):
     assert {r.group_seq for r in rows if r.closed} == {0}
 
 
+class State:
+    """One key's state in memory, with the calls that reach it."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = {}, Counter(), set()
+
+    def getMapState(self, *_):
+        return self
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def updateValue(self, key, value):
+        self.calls["write"] += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.calls["write"] += 1
+        del self.rows[key]
+
+    def registerTimer(self, at):
+        self.calls["timer"] += 1
+        self.timers.add(at)
+
+
+HOUR = 3_600_000_000
+
+
+def micro_batch(state, rows, now=0):
+    """The rows (seq, micros, signature) of a micro-batch, then the timers; gives (first number, count) of what closes."""
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    job = jobs.OpenGroups(0.9, HOUR, False)
+    job.init(state)
+    frame = pd.DataFrame([(s, us, g, None) for s, us, g in rows], columns=["seq", "us", "signature", "stamp"])
+    if rows:
+        frames = (frame[k : k + 700] for k in range(0, len(frame), 700))
+        list(job.handleInputRows(("=a", "=b", 2), frames, times))
+    closed = []
+    for at in sorted(t for t in state.timers if t < now):
+        closed += [f for f in job.handleExpiredTimer(("=a", "=b", 2), times, None)]
+        state.timers.discard(at)
+    return sorted((r.group_seq, r.occurrence_count) for f in closed for r in f.itertuples())
+
+
+def loop_of(rows):
+    base = dt.datetime(1970, 1, 1)
+    stamped = [(s, "", (base + dt.timedelta(microseconds=us)).isoformat(), "a", "b", g) for s, us, g in sorted(rows)]
+    return sorted((k, len(v)) for k, v in naive_groups(stamped).items())
+
+
+def test_many_open_groups_of_a_key():
+    """Rows that go over the same weeks again and again, in an order unlike that of their numbers: as in the plain
+    loop, with few calls to the state and one timer."""
+    rng = random.Random(7)
+    names = ["SSH Brute Force Login Attempt", "SSH Brute-Force Login Attempt", "Port Scan Detected"]
+    passes = [sorted(rng.randrange(60) * 7 * HOUR + rng.randrange(3) * HOUR // 2 + rng.randrange(3) for _ in range(300)) for _ in range(5)]
+    rows = [(s, us, rng.choice(names)) for s, us in enumerate(us for p in passes for us in p)]
+    rng.shuffle(rows)
+    want = loop_of(rows)
+    assert len(want) > 150
+    state = State()
+    assert micro_batch(state, rows) == []
+    assert state.calls["write"] <= 1 + len(want) // 100 and state.calls["timer"] == 1
+    state.calls.clear()
+    assert micro_batch(state, [], 10**10) == want
+    assert not state.rows and state.calls["write"] <= 1 + len(want) // 100
+
+
+def test_parts_of_open_groups_close_apart():
+    """More groups than a part holds close as time goes by, those left go on."""
+    state = State()
+    first = [(s, s * 2 * HOUR, "Port Scan") for s in range(700)]
+    assert micro_batch(state, first) == []
+    assert len(state.rows) == 3
+    hours = lambda n: n * 3_600_000 + 2
+    # groups up to number 300 are an hour behind; two rows join later ones, one starts anew
+    later = [(700, 600 * 2 * HOUR + HOUR, "port scan"), (701, 699 * 2 * HOUR, "Port Scan"), (702, 3000 * HOUR, "Port Scan")]
+    assert micro_batch(state, later, hours(601)) == [(s, 1) for s in range(301)]
+    assert micro_batch(state, [], hours(1201)) == [(s, 1) for s in range(301, 600)]
+    assert micro_batch(state, [], hours(1202)) == [(600, 2)]
+    rest = [(s, 1) for s in range(601, 699)] + [(699, 2), (702, 1)]
+    assert micro_batch(state, [], hours(9999)) == rest
+    assert not state.rows and not state.timers
+
+
 def test_reputations_by_batch(spark, tmp_path):
     """Two snapshots, one for each micro-batch, and the caller's trigger."""
     table = intel.fuse(
