@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom.functions.text import SPACE, WORD, rstrip
 
-# Fixed value: a key at the start or after white space, directly followed by "=".
-KEY = rf"(?:^|(?<=[{SPACE}]))([A-Za-z][{WORD}.]*)="
+# Fixed value: a key at the start or after white space, directly followed by "=". The white space is part of the match (the value
+# before it loses its trailing white space anyway).
+KEY = rf"(?:^|[{SPACE}])([A-Za-z][{WORD}.]*)="
 
 
 def unescape(value: Column) -> Column:

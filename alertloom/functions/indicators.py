@@ -6,15 +6,15 @@ from pyspark.sql import Column, functions as F
 
 from alertloom.functions.text import DIGIT, WORD, strip
 
-# The indicator patterns.
+# The indicator patterns. A first test of what follows spares looking back where nothing can begin.
 _OCTET = rf"(?:25[0-5]|2[0-4]{DIGIT}|1?{DIGIT}?{DIGIT})"
-IP = rf"(?<![{WORD}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![{WORD}.])"
+IP = rf"(?={DIGIT})(?<![{WORD}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![{WORD}.])"
 DOMAIN = (
     rf"(?<![@{WORD}-])(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{{0,61}}[a-zA-Z0-9])?\.)+"
     rf"[a-zA-Z]{{2,63}}(?![{WORD}-])"
 )
 HASH = (
-    r"(?<![a-fA-F0-9])(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})(?![a-fA-F0-9])"
+    r"(?=[a-fA-F0-9]{32})(?<![a-fA-F0-9])(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})(?![a-fA-F0-9])"
 )
 
 

@@ -6,12 +6,15 @@ These helpers run inside tasks on the distinct signatures of one stretch of aler
 from __future__ import annotations
 
 import difflib
+import functools
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 _BINS = 64
+# So few signatures are compared one by one, with what is known of the pair.
+_FEW = 16
 
 
 def ratio(a: str, b: str) -> float:
@@ -30,6 +33,11 @@ def signature_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _accepts(a: str, b: str, threshold: float) -> bool:
+    return difflib.SequenceMatcher(None, a, b).ratio() >= threshold
+
+
 def _bins(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return np.bincount(codes % _BINS, minlength=_BINS).astype(np.int32)
@@ -67,6 +75,9 @@ class SignatureIndex:
     def matching(self, number: int, start: int = 0) -> list[int]:
         """Numbers from ``start`` on whose signature, as the group's, accepts this one."""
         n = len(self.texts)
+        if n - start <= _FEW:
+            own = self._lower[number]
+            return [i for i in range(start, n) if i == number or _accepts(self._lower[i], own, self.threshold)]
         total = self._lengths[start:n] + self._lengths[number]
         safe_total = np.maximum(total, 1)
         shorter = np.minimum(self._lengths[start:n], self._lengths[number])

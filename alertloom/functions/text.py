@@ -14,16 +14,19 @@ DIGIT = r"\p{Nd}"
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
-# Any dotted quad standing alone, range not checked.
-LOOSE_IP = rf"(?<![{WORD}])(?:{DIGIT}{{1,3}}\.){{3}}{DIGIT}{{1,3}}(?![{WORD}])"
+# Any dotted quad standing alone, range not checked. The first test only spares the second one where no digit is.
+LOOSE_IP = rf"(?={DIGIT})(?<![{WORD}])(?:{DIGIT}{{1,3}}\.){{3}}{DIGIT}{{1,3}}(?![{WORD}])"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    # Few texts have anything to cut off, and the pattern tries every place of a text.
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(rf"[{SPACE}]"), F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")).otherwise(text)
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]+\z", "")
+    last = F.substring(text, -1, 1)
+    return F.when(last.rlike(rf"[{SPACE}]"), F.regexp_replace(text, rf"[{SPACE}]+\z", "")).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:

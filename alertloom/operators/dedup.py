@@ -275,19 +275,16 @@ _STREAM_KEY = [*UNIT, "island"]
 _SESSION_OUT = "src_key string, dest_key string, zone int, block bigint, island bigint, signature string, session bigint, group_seq bigint, part bigint"
 
 
-def _runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Consecutive rows of one key, batch by batch; a key may come in several pieces."""
-    for batch in batches:
-        if len(batch) == 0:
-            continue
-        change = np.zeros(len(batch), dtype=bool)
-        for k in key:
-            values = batch[k].to_numpy()
-            change[1:] |= values[1:] != values[:-1]
-        starts = np.flatnonzero(np.concatenate([[True], change[1:]]))
-        for start, stop in zip(starts, [*starts[1:], len(batch)]):
-            piece = batch.iloc[start:stop]
-            yield tuple(piece[k].iloc[0] for k in key), piece
+def _runs(batch: pd.DataFrame, key: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """Where consecutive rows have one key: (key, start, stop). A key may go on in the next batch."""
+    columns = [batch[k].to_numpy() for k in key]
+    change = np.ones(len(batch), dtype=bool)
+    change[1:] = False
+    for values in columns:
+        change[1:] |= values[1:] != values[:-1]
+    starts = np.flatnonzero(change).tolist()
+    for start, stop in zip(starts, [*starts[1:], len(batch)]):
+        yield tuple(values[start] for values in columns), start, stop
 
 
 def _components(index: SignatureIndex) -> list[int]:
@@ -364,32 +361,31 @@ def _group_sessions(threshold: float, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, groups = None, None
 
-        def doubtful_rows() -> pd.DataFrame | None:
-            rows = groups.doubtful() if groups else []
-            if not rows:
-                return None
-            return pd.DataFrame(
-                [(*current, text, None, None, part) for text, part in rows],
-                columns=[*_STREAM_KEY, "signature", "session", "group_seq", "part"],
-            ).astype({"session": "Int64", "group_seq": "Int64", "part": "Int64"})
-
-        for key, piece in _runs(batches, _STREAM_KEY):
-            if key != current:
-                if (rows := doubtful_rows()) is not None:
-                    yield rows
-                current, groups = key, _SessionGroups(threshold, window)
-            ids = [
-                groups.place(*row)
-                for row in zip(
-                    piece["signature"], piece["session"].tolist(), piece["first_us"].tolist(),
-                    piece["end"].tolist(), piece["late"].tolist(), piece["unsure"].tolist(),
-                )
-            ]
-            yield piece[[*_STREAM_KEY, "signature", "session"]].assign(
-                group_seq=ids, part=pd.array([None] * len(ids), dtype="Int64")
+        def doubtful() -> list[tuple]:
+            return [(*current, text, None, None, part) for text, part in groups.doubtful()] if groups else []
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=[*_STREAM_KEY, "signature", "session", "group_seq", "part"]).astype(
+                {"session": "Int64", "group_seq": "Int64", "part": "Int64"}
             )
-        if (rows := doubtful_rows()) is not None:
-            yield rows
+
+        # Islands are many and mostly small: a frame per batch, not per island.
+        for batch in batches:
+            columns = [batch[c].tolist() for c in ("signature", "session", "first_us", "end", "late", "unsure")]
+            rows, ids, doubts = list(zip(*columns)), [], []
+            for key, start, stop in _runs(batch, _STREAM_KEY):
+                if key != current:
+                    doubts += doubtful()
+                    current, groups = key, _SessionGroups(threshold, window)
+                ids += [groups.place(*row) for row in rows[start:stop]]
+            if doubts:
+                yield frame(doubts)
+            if ids:
+                yield batch[[*_STREAM_KEY, "signature", "session"]].assign(
+                    group_seq=ids, part=pd.array([None] * len(ids), dtype="Int64")
+                )
+        if doubts := doubtful():
+            yield frame(doubts)
 
     return run
 
@@ -449,14 +445,14 @@ def _group_rows(threshold: float, window: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, groups = None, None
-        for k, piece in _runs(batches, key):
-            if k != current:
-                current, groups = k, _RowGroups(threshold, window)
-            ids = [
-                groups.place(*row)
-                for row in zip(piece["signature"], piece["seq"].tolist(), piece["us"].tolist())
-            ]
-            yield piece[["seq", "id", "src_key", "dest_key", "stamp"]].assign(group_seq=ids)
+        for batch in batches:
+            rows, ids = list(zip(batch["signature"].tolist(), batch["seq"].tolist(), batch["us"].tolist())), []
+            for k, start, stop in _runs(batch, key):
+                if k != current:
+                    current, groups = k, _RowGroups(threshold, window)
+                ids += [groups.place(*row) for row in rows[start:stop]]
+            if ids:
+                yield batch[["seq", "id", "src_key", "dest_key", "stamp"]].assign(group_seq=ids)
 
     return run
 

@@ -79,7 +79,7 @@ def run(
     grouped = dedup(alerts, cfg)
     # Read by every output below.
     first = staged(attack.tag(grouped.representatives(), cfg, index))
-    iocs = ioc_table(first)
+    iocs = staged(ioc_table(first))
     if reputations is None:
         known = intel.no_reputations(parsed.sparkSession)
     else:
@@ -153,7 +153,7 @@ def triage_only(
     results = lookups = None
     if reputations is not None:
         known = intel.fresh(reputations, as_of, cfg) if as_of is not None else intel.latest(reputations)
-        iocs = ioc_table(first)
+        iocs = staged(ioc_table(first))
         results = intel.attach(iocs, known, cfg)
         lookups = intel.lookup_requests(iocs, known)
     triaged = score_first(first, cfg, assets, results)

@@ -2,13 +2,14 @@ import datetime as dt
 import difflib
 import random
 
+import pandas as pd
 import pytest
 from dateutil import parser
 from pyspark.sql import functions as F
 
 from alertloom.config import TriageConfig
 from alertloom.functions.similarity import SignatureIndex, ratio
-from alertloom.operators.dedup import dedup, gap_islands, match_signatures, with_event_time
+from alertloom.operators.dedup import _group_rows, _group_sessions, dedup, gap_islands, match_signatures, with_event_time
 
 SCHEMA = "seq bigint, id string, timestamp string, src_ip string, dest_ip string, signature string"
 
@@ -266,3 +267,23 @@ def test_few_groups_meet_alerts_without_a_shuffle(spark):
     first = dedup(df, TriageConfig()).representatives()
     assert [r.occurrence_count for r in first.collect()] == [50]
     assert "BroadcastHashJoin" in first._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_small_islands_share_frames():
+    """Islands are many and small: what comes in as one batch goes out as one frame, and one for what stays in doubt."""
+    n = 300
+    rows = pd.DataFrame(
+        {"src_key": "=a", "dest_key": "=b", "zone": 2, "block": [k // 2 for k in range(n)], "island": 0, "signature": [f"S{k % 2}" for k in range(n)],
+         "session": range(n), "first_us": 0, "end": 0, "late": 0, "unsure": [k // 2 % 10 == 0 for k in range(n)]}
+    )
+    # the second batch begins inside an island
+    frames = list(_group_sessions(0.9, 10)(iter([rows[:201], rows[201:]])))
+    assert len(frames) <= 5
+    out = pd.concat(frames)
+    placed = out[out.part.isna()]
+    assert placed.session.tolist() == placed.group_seq.tolist() == list(range(n))
+    doubtful = out[out.part.notna()]
+    assert sorted(zip(doubtful.block, doubtful.signature)) == [(b, f"S{j}") for b in range(0, n // 2, 10) for j in range(2)]
+    one = rows.assign(seq=range(n), id="", us=0, stamp=None, part=0)
+    frames = list(_group_rows(0.9, 10)(iter([one[:201], one[201:]])))
+    assert len(frames) == 2 and pd.concat(frames).group_seq.tolist() == list(range(n))

@@ -254,3 +254,37 @@ def test_quality_metrics(spark):
     observed, observation = observe_quality(with_reason(df))
     assert observed.filter("reason is null").count() == 2
     assert observation.get == want
+
+
+def test_shortened_patterns(spark):
+    """Trimming that looks at the ends first, and patterns that look ahead first, against the plain patterns."""
+    from alertloom.functions import indicators
+    from alertloom.functions.text import DIGIT, LOOSE_IP, SPACE, WORD, loose_ips, rstrip, strip
+
+    digest = "0123456789abcdef" * 4
+    texts = [
+        None, "", " ", "\n\t", "a", " a", "a ", " a b ", "\x1ca\x1f", "a​ ", "\x85 a", "a \n b\r\n", "\U0001f600 ", " \U0001f600x", "x　",
+        "1.2.3.4", "v1.2.3.4 1.2.3.4", "999.1.1.1,1.2.3.4.5 ١.2.3.4 é1.2.3.4", "_1.2.3.4 (10.0.0.1)", "1111.2.3.4 11.2.3.4567 1.2.3.4",
+        digest, digest[:40], digest[:32] + "!", "x" + digest[:33], "g" + digest[:32].upper() + "g", digest + "0", f"{digest[:31]} {digest[:32]}",
+    ]
+    found = lambda pattern: lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0))
+    plain_ip, plain_hash = (p.split(")", 1)[1] for p in (indicators.IP, indicators.HASH))
+    plain_loose = LOOSE_IP.removeprefix(f"(?={DIGIT})")
+    assert plain_loose.startswith(f"(?<![{WORD}])") and plain_ip.startswith("(?<!") and plain_hash.startswith("(?<!")
+    pairs = [
+        (strip, lambda c: F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")),
+        (rstrip, lambda c: F.regexp_replace(c, rf"[{SPACE}]+\z", "")),
+        (loose_ips, found(plain_loose)), (found(indicators.IP), found(plain_ip)), (found(indicators.HASH), found(plain_hash)),
+    ]
+    for now, plain in pairs:
+        assert values(spark, texts, now) == values(spark, texts, plain)
+
+
+def test_white_space_before_cef_keys(spark):
+    """Any white space stands before a key, however much; none belongs to a value's end."""
+    texts = ["a=1 b=2\x1cc=3", "  a=  b=x\t\n c=y ", "a= =b c==d", "x y=1  z= 2", "a=1 1b=2 éc=3 dé.e=4"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = [r.m for r in with_extension(df, F.col("x"), "m").orderBy("i").collect()]
+    assert got == [
+        {"a": "1", "b": "2", "c": "3"}, {"a": "", "b": "x", "c": "y"}, {"a": " =b", "c": "=d"}, {"y": "1", "z": " 2"}, {"a": "1 1b=2 éc=3", "dé.e": "4"},
+    ]
